@@ -1,0 +1,90 @@
+"""Run a registered query in Spark and its SQL in DuckDB on the same
+parquet tables and compare: row count, column names (sorted) and the
+order-insensitive multiset of rows."""
+
+from __future__ import annotations
+
+import math
+import sys
+from collections import Counter
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute("CREATE VIEW %s AS SELECT * FROM read_parquet('%s/%s.parquet')" % (t, sf_dir, t))
+    return con
+
+
+def _norm(v):
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return round(v, 6)
+    if isinstance(v, (list, tuple)):
+        return tuple(_norm(x) for x in v)
+    return v
+
+
+def _rows(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return [tuple(_norm(r[i]) for i in order) for r in rows]
+
+
+def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
+    sdf = fn(spark, sf_dir)
+    s_cols = sdf.columns
+    s_rows = [tuple(r) for r in sdf.collect()]
+    cur = con.execute(sql)
+    d_cols = [d[0] for d in cur.description]
+    d_rows = cur.fetchall()
+    out = {"name": name, "spark_rows": len(s_rows), "oracle_rows": len(d_rows),
+           "cols_match": sorted(s_cols) == sorted(d_cols)}
+    a, b = Counter(_rows(s_cols, s_rows)), Counter(_rows(d_cols, d_rows))
+    out["values_match"] = a == b
+    if a != b:
+        out["only_spark"] = list((a - b).elements())[:3]
+        out["only_oracle"] = list((b - a).elements())[:3]
+    out["ok"] = out["cols_match"] and out["values_match"] and len(s_rows) == len(d_rows)
+    if not out["cols_match"]:
+        out["spark_cols"], out["oracle_cols"] = sorted(s_cols), sorted(d_cols)
+    return out
+
+
+def main(argv):
+    import os
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__ as E
+    from prodlens.session import local_session
+    sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+    spark = local_session()
+    con = duck(sf_dir)
+    qs, sqls = E.queries(), E.oracle_sql()
+    names = argv or sorted(qs)
+    bad = 0
+    for n in names:
+        if n not in sqls:
+            df = qs[n](spark, sf_dir)
+            print("ROWS-ONLY %-32s rows=%d" % (n, df.count()))
+            continue
+        try:
+            r = compare(spark, con, n, qs[n], sqls[n], sf_dir)
+        except Exception as e:  # report and continue
+            bad += 1
+            print("ERROR %-32s %s" % (n, str(e).splitlines()[0][:300]))
+            continue
+        if not r["ok"]:
+            bad += 1
+        print(("OK   " if r["ok"] else "FAIL ") + "%-32s %s" % (n, {k: v for k, v in r.items()
+                                                                if k not in ("name", "ok")}))
+    print("failures:", bad)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(1 if main(sys.argv[1:]) else 0)
