@@ -83,11 +83,17 @@ def ngrams(tok, n_min: int = 1, n_max: int = 2) -> Column:
             continue
         cnt = F.size(t) - n + 1
         idx = F.sequence(F.lit(0), F.greatest(cnt - 1, F.lit(0)))
-        grams = F.transform(idx, lambda i, n=n: F.array_join(F.slice(t, i + 1, n), " "))
+        grams = F.transform(idx, _gram_at(t, n))
         parts.append(F.when(cnt >= 1, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _gram_at(t: Column, n: int):
+    """One-argument lambda for ``transform``: the n-gram starting at a
+    0-based position (a two-argument lambda would receive the index)."""
+    return lambda i: F.array_join(F.slice(t, i + 1, n), " ")
+
+
 def min_length(c, n: int) -> Column:
     """Predicate: text longer than ``n`` characters (code points)."""
     return F.length(_col(c)) > n

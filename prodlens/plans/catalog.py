@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodlens.functions import paths, scores, text
-from prodlens.operators import assemble, labels, metrics, ranking
+from prodlens.operators import assemble, features, labels, metrics, ranking
 from prodlens.plans import jobs
 from prodlens.plans import standins as si
 
@@ -265,10 +265,77 @@ def q_prepare(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "text", "label", "split")
 
 
+def _prepared(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.prepare(si.documents(spark, sf), key="doc_id", route="processed") \
+        .select("doc_id", "text", "label", "split")
+
+
+def _tfidf_model(spark: SparkSession, sf: str):
+    prep = _prepared(spark, sf)
+    model = features.fit_tfidf(prep.where(F.col("split") == "train"), "doc_id", "text")
+    return prep, model
+
+
+# ---------------------------------------------------------------- features
+def _clean_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return si.table(spark, sf, "documents").select("doc_id", text.clean_text("text").alias("text"))
+
+
+def q_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    d = _clean_docs(spark, sf)
+    tok, trm = text.tokens("text"), features.terms("text")
+    return d.select("doc_id", F.size(tok).alias("n_tokens"), F.size(trm).alias("n_terms"),
+                    F.md5(F.array_join(trm, "|")).alias("terms_md5"))
+
+
+def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return features.build_vocab(_clean_docs(spark, sf), "text", size=2000)
+
+
+def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    d = _clean_docs(spark, sf)
+    v = features.build_vocab(d, "text", size=2000)
+    e = features.encode_fixed(d, v, "doc_id", "text", max_len=128)
+    return e.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+def q_fit_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    _, m = _tfidf_model(spark, sf)
+    return m.vocab.select("term", "idx", "df", _r("idf"))
+
+
+def q_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    prep, m = _tfidf_model(spark, sf)
+    return features.tfidf(prep, m, "doc_id").select("doc_id", "term", "idx", _r("weight"))
+
+
+def q_feature_summary(spark: SparkSession, sf: str) -> DataFrame:
+    prep, m = _tfidf_model(spark, sf)
+    return features.feature_summary(features.tfidf(prep, m, "doc_id"), m, "doc_id")
+
+
+def q_naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
+    prep, m = _tfidf_model(spark, sf)
+    w = features.tfidf(prep, m, "doc_id")
+    train = prep.where(F.col("split") == "train")
+    nb = features.naive_bayes_fit(w.join(train.select("doc_id"), "doc_id", "left_semi"),
+                                  train, m, "doc_id")
+    p = features.naive_bayes_predict(w, nb, "doc_id", all_keys=prep)
+    return p.select("doc_id", "prediction", _r("log_prob"))
+
+
 FLAGSHIP = "prepare"
 
 QUERIES = {
     "prepare": q_prepare,
+    "tokens": q_tokens,
+    "build_vocab": q_build_vocab,
+    "encode_fixed": q_encode_fixed,
+    "fit_tfidf": q_fit_tfidf,
+    "tfidf": q_tfidf,
+    "feature_summary": q_feature_summary,
+    "naive_bayes": q_naive_bayes,
     "clean_text": q_clean_text,
     "clean_html": q_clean_html,
     "clean_conversations": q_clean_conversations,

@@ -323,10 +323,82 @@ SELECT run_id, model, round(val_f1, 6) AS val_f1 FROM (
 WHERE r = 1"""
 
 # ---------------------------------------------------------------- jobs
-SQL["prepare"] = _w(CMAP, """
+PREPARED = CMAP + """,
 cleaned AS (SELECT d.doc_id, d.lang AS category, %s AS text, coalesce(m.label, -1)::integer AS label
-            FROM documents d LEFT JOIN cmap m ON d.lang = m.category)""" % clean("d.text"),
-    """kept AS (SELECT * FROM cleaned WHERE length(text) > 0
-              AND category IN (SELECT category FROM cleaned WHERE length(text) > 0
-                               AND category IS NOT NULL GROUP BY category HAVING count(*) >= 2))"""
-    + "," + split_sql("kept", "doc_id")) + "SELECT doc_id, text, label, split FROM split"
+            FROM documents d LEFT JOIN cmap m ON d.lang = m.category),
+kept AS (SELECT * FROM cleaned WHERE length(text) > 0
+          AND category IN (SELECT category FROM cleaned WHERE length(text) > 0
+                           AND category IS NOT NULL GROUP BY category HAVING count(*) >= 2)),""" % clean("d.text") \
+    + split_sql("kept", "doc_id") + """,
+prepared AS (SELECT doc_id, text, label, split FROM split)"""
+
+SQL["prepare"] = _w(PREPARED) + "SELECT doc_id, text, label, split FROM prepared"
+
+
+def tokens_sql(text: str) -> str:
+    return "list_filter(string_split(%s, ' '), lambda t: length(t) >= 2)" % text
+
+
+TERMS = ("list_concat(tok, CASE WHEN len(tok) >= 2 THEN list_transform(range(1, len(tok)), "
+         "lambda i: tok[i] || ' ' || tok[i + 1]) ELSE [] END)")
+
+TFIDF = """toks AS (SELECT doc_id, %s AS tok FROM prepared),
+grams AS (SELECT doc_id, %s AS terms FROM toks),
+tf_all AS (SELECT doc_id, term, count(*) AS tf
+           FROM (SELECT doc_id, unnest(terms) AS term FROM grams) GROUP BY doc_id, term),
+ndocs AS (SELECT count(*) AS n FROM prepared WHERE split = 'train'),
+dfs AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf_all
+        WHERE doc_id IN (SELECT doc_id FROM prepared WHERE split = 'train') GROUP BY term),
+kept_terms AS (SELECT dfs.* FROM dfs, ndocs WHERE df >= 2 AND df <= 0.95 * n
+               ORDER BY cf DESC, term LIMIT 10000),
+vocab AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::integer AS idx, df::bigint AS df,
+                 ln((1 + n) / (df + 1.0)) + 1 AS idf FROM kept_terms, ndocs),
+wraw AS (SELECT t.doc_id, t.term, v.idx, t.tf * v.idf AS w FROM tf_all t JOIN vocab v ON t.term = v.term),
+weights AS (SELECT doc_id, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight
+            FROM wraw)""" % (tokens_sql("text"), TERMS)
+
+CLEAN_DOCS = "cdocs AS (SELECT doc_id, %s AS text FROM documents)" % clean("text")
+
+SQL["tokens"] = _w(CLEAN_DOCS, "toks AS (SELECT doc_id, %s AS tok FROM cdocs)" % tokens_sql("text"),
+                   "grams AS (SELECT doc_id, tok, %s AS terms FROM toks)" % TERMS) + """
+SELECT doc_id, len(tok)::integer AS n_tokens, len(terms)::integer AS n_terms,
+       md5(array_to_string(terms, '|')) AS terms_md5 FROM grams"""
+
+VOCAB_IDS = """wc AS (SELECT term, count(*) AS n FROM (SELECT unnest(%s) AS term FROM cdocs)
+                GROUP BY term ORDER BY n DESC, term LIMIT 2000),
+vocab_ids AS (SELECT term, (row_number() OVER (ORDER BY n DESC, term) + 3)::integer AS id, n FROM wc)""" % (
+    tokens_sql("text"))
+
+SQL["build_vocab"] = _w(CLEAN_DOCS, VOCAB_IDS) + "SELECT term, id, n FROM vocab_ids"
+SQL["encode_fixed"] = _w(CLEAN_DOCS, VOCAB_IDS, """
+etok AS (SELECT doc_id, (%s)[1:126] AS tok FROM cdocs)""" % tokens_sql("text"),
+    """epos AS (SELECT doc_id, unnest(range(len(tok))) AS p, unnest(tok) AS term FROM etok)""",
+    """eids AS (SELECT e.doc_id, list(coalesce(v.id, 1) ORDER BY e.p) AS w
+             FROM epos e LEFT JOIN vocab_ids v ON e.term = v.term GROUP BY e.doc_id)""",
+    """seq AS (SELECT c.doc_id, list_concat([2], coalesce(i.w, []), [3]) AS s
+            FROM cdocs c LEFT JOIN eids i ON c.doc_id = i.doc_id)""") + """
+SELECT doc_id, len(s)::integer AS n_real,
+       md5(array_to_string(list_concat(s, list_transform(range(128 - len(s)), lambda x: 0)), ',')) AS ids_md5
+FROM seq"""
+
+SQL["fit_tfidf"] = _w(PREPARED, TFIDF) + "SELECT term, idx, df, round(idf, 6) AS idf FROM vocab"
+SQL["tfidf"] = _w(PREPARED, TFIDF) + "SELECT doc_id, term, idx, round(weight, 6) AS weight FROM weights"
+SQL["feature_summary"] = _w(PREPARED, TFIDF) + """
+SELECT (SELECT count(DISTINCT doc_id) FROM weights) AS n_rows, (SELECT count(*) FROM weights) AS nnz,
+       (SELECT count(*) FROM vocab) AS vocab_size"""
+SQL["naive_bayes"] = _w(PREPARED, TFIDF, """
+nct AS (SELECT p.label, w.term, sum(w.weight) AS n_ct FROM weights w JOIN prepared p ON w.doc_id = p.doc_id
+        WHERE p.split = 'train' GROUP BY p.label, w.term)""",
+    """ncls AS (SELECT label, count(*) AS n_docs FROM prepared WHERE split = 'train' GROUP BY label)""",
+    """nc AS (SELECT label, sum(n_ct) AS n_c FROM nct GROUP BY label)""",
+    """den AS (SELECT c.label, ln(coalesce(nc.n_c, 0) + 1.0 * (SELECT count(*) FROM vocab)) AS ld,
+                   ln(c.n_docs / (sum(c.n_docs) OVER ())) AS prior
+            FROM ncls c LEFT JOIN nc ON c.label = nc.label)""",
+    """lp AS (SELECT d.label, v.term, ln(coalesce(nct.n_ct, 0) + 1.0) - d.ld AS lp
+           FROM den d CROSS JOIN vocab v LEFT JOIN nct ON nct.label = d.label AND nct.term = v.term)""",
+    """sc AS (SELECT p.doc_id, d.label, d.prior + coalesce(sum(w.weight * lp.lp), 0) AS score
+           FROM prepared p CROSS JOIN den d LEFT JOIN weights w ON w.doc_id = p.doc_id
+           LEFT JOIN lp ON lp.label = d.label AND lp.term = w.term
+           GROUP BY p.doc_id, d.label, d.prior)""") + """
+SELECT doc_id, label AS prediction, round(score, 6) AS log_prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM sc) WHERE r = 1"""
