@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodlens.functions import paths, scores, text
-from prodlens.operators import assemble, features, labels, metrics, ranking
+from prodlens.operators import (active, assemble, coverage, features, fusion, labels, metrics,
+                                ranking, series)
 from prodlens.plans import jobs
 from prodlens.plans import standins as si
 
@@ -325,10 +326,147 @@ def q_naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("doc_id", "prediction", _r("log_prob"))
 
 
+# ---------------------------------------------------------------- active learning
+def _scored(spark: SparkSession, sf: str, strategy: str = "entropy") -> DataFrame:
+    return active.score_uncertainty(si.predictions(spark, sf), strategy)
+
+
+def _selection(strategy: str):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        s = active.select_samples(si.predictions(spark, sf), 50, "key", strategy)
+        return s.select("key", _r("uncertainty"))
+    q.__name__ = "q_select_" + strategy
+    return q
+
+
+def q_select_random(spark: SparkSession, sf: str) -> DataFrame:
+    return active.select_random(si.predictions(spark, sf), 50, "key", seed=42).select("key")
+
+
+def _train_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _prepared(spark, sf).where(F.col("split") == "train").select("doc_id", "label")
+
+
+def q_split_pool(spark: SparkSession, sf: str) -> DataFrame:
+    lab, pool = active.split_pool(_train_docs(spark, sf), "doc_id", frac=10, seed=42)
+    return lab.select("doc_id", F.lit("labelled").alias("part")).unionByName(
+        pool.select("doc_id", F.lit("pool").alias("part")))
+
+
+def q_move_selected(spark: SparkSession, sf: str) -> DataFrame:
+    lab, pool = active.split_pool(_train_docs(spark, sf), "doc_id", frac=10, seed=42)
+    sel = active.select_random(pool, 50, "doc_id", seed=1)
+    lab2, pool2 = active.move_selected(lab, pool, sel, "doc_id")
+    return lab2.select("doc_id", F.lit("labelled").alias("part")).unionByName(
+        pool2.select("doc_id", F.lit("pool").alias("part")))
+
+
+def q_sample_classes(spark: SparkSession, sf: str) -> DataFrame:
+    d = si.table(spark, sf, "documents")
+    return active.sample_classes(d, "source", 5, seed=42).select("doc_id", "source")
+
+
+# ---------------------------------------------------------------- series
+def q_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    e = series.early_stop(si.training_history(spark, sf), patience=3)
+    return e.select("run_id", "epoch", "improved", "since_best", "stopped", _r("best_so_far"))
+
+
+def q_best_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    b = series.best_epoch(si.training_history(spark, sf), patience=3)
+    return b.select("run_id", "best_epoch", _r("best_score"), "stop_epoch", "n_epochs")
+
+
+def q_history_series(spark: SparkSession, sf: str) -> DataFrame:
+    h = series.history_series(si.training_history(spark, sf))
+    return h.select("run_id", "step", "metric", _r("value"))
+
+
+def q_uncertainty_summary(spark: SparkSession, sf: str) -> DataFrame:
+    u = series.uncertainty_summary(_scored(spark, sf))
+    return u.select(*[_r(c) for c in ("mean", "std", "median", "min", "max")])
+
+
+def q_uncertainty_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    h = series.uncertainty_histogram(_scored(spark, sf), bins=50)
+    return h.select("bin", _r("lo"), _r("hi"), "n")
+
+
+def q_selection_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return series.selection_threshold(_scored(spark, sf), 50, "key").select(_r("threshold"))
+
+
+# ---------------------------------------------------------------- fusion
+def _emb_pair(spark: SparkSession, sf: str):
+    e = si.table(spark, sf, "embeddings")
+    text_emb = e.select("vec_id", F.col("embedding").alias("text_emb"))
+    image_emb = e.select("vec_id", F.reverse("embedding").alias("image_emb"))
+    return text_emb, image_emb
+
+
+def _matrix(spark: SparkSession, d_in: int, d_out: int, a: int, b: int, fn) -> DataFrame:
+    """A fixed projection matrix ``w[i][j] = fn(i * a + j * b) / 8``."""
+    r = spark.range(d_in * d_out)
+    i, j = (F.col("id") / d_out).cast("long"), F.col("id") % d_out
+    return r.select(i.alias("i"), j.alias("j"), (fn(i * a + j * b) / 8.0).alias("w"))
+
+
+def q_fuse_concat(spark: SparkSession, sf: str) -> DataFrame:
+    t, i = _emb_pair(spark, sf)
+    f = fusion.fuse_concat(t, i, "vec_id", image_dim=64)
+    return f.select("vec_id", F.size("fused").alias("dim"),
+                    _r(F.aggregate("fused", F.lit(0.0), lambda a, x: a + x), "total"),
+                    _r(F.aggregate("fused", F.lit(0.0), lambda a, x: a + x * x), "sq_total"))
+
+
+def q_fuse_add(spark: SparkSession, sf: str) -> DataFrame:
+    t, i = _emb_pair(spark, sf)
+    wt = _matrix(spark, 64, 8, 7, 3, F.sin)
+    wi = _matrix(spark, 64, 8, 5, 11, F.cos)
+    f = fusion.fuse_add(t, i, "vec_id", wt, wi, dim=8)
+    return f.select("vec_id", F.posexplode("fused").alias("j", "value")).select(
+        "vec_id", F.col("j").cast("int").alias("j"), _r("value"))
+
+
+# ---------------------------------------------------------------- coverage
+def _doc_status(spark: SparkSession, sf: str) -> DataFrame:
+    d = si.table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("n_chars") >= 100, paths.image_path("data/images", "doc_id", ".jpg"))
+        .alias("image_path"))
+    files = si.table(spark, sf, "labels").select(
+        paths.image_path("data/images", "doc_id", ".jpg").alias("path"))
+    return coverage.with_file_status(d, files, "image_path", "path")
+
+
+def q_with_file_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc_status(spark, sf).select("doc_id", "status")
+
+
+def q_coverage_report(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.coverage_report(_doc_status(spark, sf))
+
+
 FLAGSHIP = "prepare"
 
 QUERIES = {
     "prepare": q_prepare,
+    "select_entropy": _selection("entropy"),
+    "select_margin": _selection("margin"),
+    "select_least_confidence": _selection("least_confidence"),
+    "select_random": q_select_random,
+    "split_pool": q_split_pool,
+    "move_selected": q_move_selected,
+    "sample_classes": q_sample_classes,
+    "early_stop": q_early_stop,
+    "best_epoch": q_best_epoch,
+    "history_series": q_history_series,
+    "uncertainty_summary": q_uncertainty_summary,
+    "uncertainty_histogram": q_uncertainty_histogram,
+    "selection_threshold": q_selection_threshold,
+    "fuse_concat": q_fuse_concat,
+    "fuse_add": q_fuse_add,
+    "with_file_status": q_with_file_status,
+    "coverage_report": q_coverage_report,
     "tokens": q_tokens,
     "build_vocab": q_build_vocab,
     "encode_fixed": q_encode_fixed,

@@ -402,3 +402,108 @@ nct AS (SELECT p.label, w.term, sum(w.weight) AS n_ct FROM weights w JOIN prepar
            GROUP BY p.doc_id, d.label, d.prior)""") + """
 SELECT doc_id, label AS prediction, round(score, 6) AS log_prob FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM sc) WHERE r = 1"""
+
+# ---------------------------------------------------------------- active learning
+ENTROPY = """CASE WHEN list_sum(probs) > 0 THEN list_sum(list_transform(probs, lambda x:
+             CASE WHEN x / list_sum(probs) > 0 THEN -(x / list_sum(probs)) * ln(x / list_sum(probs))
+                  ELSE 0 END)) END"""
+MARGIN = "CASE WHEN len(probs) >= 2 THEN -(list_sort(probs, 'DESC')[1] - list_sort(probs, 'DESC')[2]) END"
+LEAST_CONF = "1 - list_max(probs)"
+SCORED = "scored AS (SELECT key, %s AS uncertainty FROM preds)" % ENTROPY
+
+for _name, _expr in (("entropy", ENTROPY), ("margin", MARGIN), ("least_confidence", LEAST_CONF)):
+    SQL["select_" + _name] = _w(PREDS) + """
+SELECT key, round(u, 6) AS uncertainty FROM (SELECT key, %s AS u FROM preds)
+ORDER BY u DESC NULLS LAST, key LIMIT 50""" % _expr
+
+SQL["select_random"] = _w(PREDS) + "SELECT key FROM preds ORDER BY md5('42:' || key::varchar), key LIMIT 50"
+
+POOL = """train_docs AS (SELECT doc_id, label FROM prepared WHERE split = 'train'),
+labelled AS (SELECT doc_id FROM train_docs ORDER BY md5('42:' || doc_id::varchar), doc_id
+             LIMIT (SELECT count(*) // 10 FROM train_docs)),
+pool AS (SELECT doc_id FROM train_docs WHERE doc_id NOT IN (SELECT doc_id FROM labelled))"""
+SQL["split_pool"] = _w(PREPARED, POOL) + """
+SELECT doc_id, 'labelled' AS part FROM labelled UNION ALL SELECT doc_id, 'pool' AS part FROM pool"""
+SQL["move_selected"] = _w(PREPARED, POOL, """
+sel AS (SELECT doc_id FROM pool ORDER BY md5('1:' || doc_id::varchar), doc_id LIMIT 50)""") + """
+SELECT doc_id, 'labelled' AS part FROM labelled
+UNION ALL SELECT doc_id, 'labelled' AS part FROM pool WHERE doc_id IN (SELECT doc_id FROM sel)
+UNION ALL SELECT doc_id, 'pool' AS part FROM pool WHERE doc_id NOT IN (SELECT doc_id FROM sel)"""
+SQL["sample_classes"] = """
+WITH cls AS (SELECT source FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+             ORDER BY md5('42:' || source), source LIMIT 5)
+SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM cls)"""
+
+# ---------------------------------------------------------------- series
+EARLY = """h1 AS (SELECT *, greatest(coalesce(max(val_f1) OVER (PARTITION BY run_id ORDER BY epoch
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS best_before,
+             row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS pos FROM history),
+h2 AS (SELECT *, val_f1 > best_before AS improved, greatest(best_before, val_f1) AS best_so_far FROM h1),
+h3 AS (SELECT *, (pos - coalesce(max(CASE WHEN improved THEN pos END) OVER (PARTITION BY run_id ORDER BY epoch
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0))::integer AS since_best FROM h2),
+h4 AS (SELECT *, min(CASE WHEN since_best >= 3 THEN pos END) OVER (PARTITION BY run_id) AS stop_pos FROM h3),
+trained AS (SELECT *, coalesce(pos = stop_pos, false) AS stopped FROM h4
+            WHERE stop_pos IS NULL OR pos <= stop_pos)"""
+SQL["early_stop"] = _w(HISTORY, EARLY) + """
+SELECT run_id, epoch, improved, since_best, stopped, round(best_so_far, 6) AS best_so_far FROM trained"""
+SQL["best_epoch"] = _w(HISTORY, EARLY) + """
+SELECT run_id, max(CASE WHEN improved THEN epoch END) AS best_epoch,
+       round(max(CASE WHEN improved THEN val_f1 END), 6) AS best_score,
+       max(CASE WHEN stopped THEN epoch END) AS stop_epoch, count(*) AS n_epochs
+FROM trained GROUP BY run_id"""
+SQL["history_series"] = _w(HISTORY) + """
+SELECT run_id, epoch AS step, metric, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT run_id, epoch, train_loss::double AS train_loss, train_acc::double AS train_acc,
+                  val_loss::double AS val_loss, val_acc::double AS val_acc, val_f1::double AS val_f1
+           FROM history)
+  ON train_loss, train_acc, val_loss, val_acc, val_f1 INTO NAME metric VALUE value)"""
+SQL["uncertainty_summary"] = _w(PREDS, SCORED) + """
+SELECT round(avg(uncertainty), 6) AS mean, round(stddev_pop(uncertainty), 6) AS std,
+       round(median(uncertainty), 6) AS median, round(min(uncertainty), 6) AS min,
+       round(max(uncertainty), 6) AS max FROM scored"""
+SQL["uncertainty_histogram"] = _w(PREDS, SCORED, """
+rng AS (SELECT min(uncertainty) AS lo, max(uncertainty) AS hi FROM scored)""",
+    """b AS (SELECT CASE WHEN hi - lo > 0 THEN least(floor((uncertainty - lo) / (hi - lo) * 50) + 1, 50)
+                    ELSE 1 END AS bin FROM scored, rng WHERE uncertainty IS NOT NULL)""",
+    """cnt AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)""") + """
+SELECT g.range::integer AS bin, round(lo + (g.range - 1) * ((hi - lo) / 50), 6) AS lo,
+       round(lo + g.range * ((hi - lo) / 50), 6) AS hi, coalesce(cnt.n, 0)::bigint AS n
+FROM range(1, 51) g CROSS JOIN rng LEFT JOIN cnt ON cnt.bin = g.range"""
+SQL["selection_threshold"] = _w(PREDS, SCORED) + """
+SELECT round(min(uncertainty), 6) AS threshold FROM (
+  SELECT uncertainty FROM scored WHERE uncertainty IS NOT NULL
+  ORDER BY uncertainty DESC, key LIMIT 50)"""
+
+# ---------------------------------------------------------------- fusion
+SQL["fuse_concat"] = """
+SELECT vec_id, (len(embedding) * 2)::integer AS dim,
+       round(list_sum(list_transform(embedding, lambda x: x::double)) * 2, 6) AS total,
+       round(list_sum(list_transform(embedding, lambda x: x::double * x::double)) * 2, 6) AS sq_total
+FROM embeddings"""
+SQL["fuse_add"] = """
+WITH ex AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::double AS x FROM embeddings),
+ey AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(list_reverse(embedding))::double AS x
+       FROM embeddings),
+wt AS (SELECT range // 8 AS i, range % 8 AS j, sin((range // 8) * 7 + (range % 8) * 3) / 8.0 AS w
+       FROM range(512)),
+wi AS (SELECT range // 8 AS i, range % 8 AS j, cos((range // 8) * 5 + (range % 8) * 11) / 8.0 AS w
+       FROM range(512)),
+pt AS (SELECT vec_id, j, sum(x * w) AS v FROM ex JOIN wt ON ex.i = wt.i GROUP BY vec_id, j),
+pi AS (SELECT vec_id, j, sum(x * w) AS v FROM ey JOIN wi ON ey.i = wi.i GROUP BY vec_id, j)
+SELECT pt.vec_id, pt.j::integer AS j, round(pt.v + pi.v, 6) AS value
+FROM pt JOIN pi ON pt.vec_id = pi.vec_id AND pt.j = pi.j"""
+
+# ---------------------------------------------------------------- coverage
+DOC_STATUS = """st_docs AS (SELECT doc_id, CASE WHEN n_chars >= 100 THEN 'data/images/' || doc_id::varchar || '.jpg'
+                                    END AS image_path FROM documents),
+st_files AS (SELECT DISTINCT 'data/images/' || doc_id::varchar || '.jpg' AS fp FROM labels),
+status AS (SELECT d.doc_id, CASE WHEN d.image_path IS NULL THEN 'missing_path'
+                                 WHEN f.fp IS NULL THEN 'missing_file' ELSE 'valid' END AS status
+           FROM st_docs d LEFT JOIN st_files f ON d.image_path = f.fp)"""
+SQL["with_file_status"] = _w(DOC_STATUS) + "SELECT doc_id, status FROM status"
+SQL["coverage_report"] = _w(DOC_STATUS) + """
+SELECT count(*) AS total, count_if(status = 'missing_path') AS missing_path,
+       count_if(status = 'missing_file') AS missing_file, count_if(status = 'valid') AS valid,
+       CASE WHEN count_if(status = 'valid') = 0 THEN 'none'
+            WHEN count_if(status = 'valid') < count(*) THEN 'partial' ELSE 'all' END AS verdict
+FROM status"""
