@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prodlens.functions.core import let
+
 # The Unicode whitespace set of Python's ``str.isspace`` /
 # ``re`` ``\s`` (Java's ``\s`` is ASCII-only, so the class is spelled out).
 # Written in the ``\x{..}`` form that both Java regex and RE2 accept.
@@ -74,24 +76,29 @@ def tokens(cleaned) -> Column:
 
 def ngrams(tok, n_min: int = 1, n_max: int = 2) -> Column:
     """Word n-grams (joined by a space) of a token array, for
-    ``n_min <= n <= n_max``; unigrams first, then bigrams, ..."""
-    t = _col(tok)
-    parts = []
-    for n in range(n_min, n_max + 1):
-        if n == 1:
-            parts.append(t)
-            continue
-        cnt = F.size(t) - n + 1
-        idx = F.sequence(F.lit(0), F.greatest(cnt - 1, F.lit(0)))
-        grams = F.transform(idx, _gram_at(t, n))
-        parts.append(F.when(cnt >= 1, grams).otherwise(F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _gram_at(t: Column, n: int):
-    """One-argument lambda for ``transform``: the n-gram starting at a
-    0-based position (a two-argument lambda would receive the index)."""
-    return lambda i: F.array_join(F.slice(t, i + 1, n), " ")
+    ``n_min <= n <= n_max``; unigrams first, then bigrams, ...
+
+    Built from shifted slices combined with ``zip_with``; the token array
+    is bound once with :func:`let`, and no lambda refers to an outer
+    expression (Spark would evaluate it once per element).
+    """
+    def body(t):
+        parts = []
+        for n in range(n_min, n_max + 1):
+            if n == 1:
+                parts.append(t)
+                continue
+            cnt = F.greatest(F.size(t) - n + 1, F.lit(0))
+            grams = F.slice(t, 1, cnt)
+            for k in range(1, n):
+                grams = F.zip_with(grams, F.slice(t, k + 1, cnt), _join_pair)
+            parts.append(F.when(cnt >= 1, grams).otherwise(F.array().cast("array<string>")))
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return let(_col(tok), body)
+
+
+def _join_pair(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" "), b)
 
 
 def min_length(c, n: int) -> Column:

@@ -15,6 +15,7 @@ from prodlens.functions import paths, scores, text
 from prodlens.operators import (active, assemble, coverage, features, fusion, labels, metrics,
                                 ranking, series)
 from prodlens.plans import jobs
+from prodlens.sources import io
 from prodlens.plans import standins as si
 
 R = 6  # decimals of every float in a registered result
@@ -283,10 +284,10 @@ def _clean_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = _clean_docs(spark, sf)
-    tok, trm = text.tokens("text"), features.terms("text")
-    return d.select("doc_id", F.size(tok).alias("n_tokens"), F.size(trm).alias("n_terms"),
-                    F.md5(F.array_join(trm, "|")).alias("terms_md5"))
+    d = _clean_docs(spark, sf).select("doc_id", text.tokens("text").alias("tok"))
+    d = d.select("doc_id", "tok", text.ngrams("tok", 1, 2).alias("trm"))
+    return d.select("doc_id", F.size("tok").alias("n_tokens"), F.size("trm").alias("n_terms"),
+                    F.md5(F.array_join("trm", "|")).alias("terms_md5"))
 
 
 def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
@@ -446,10 +447,17 @@ def q_coverage_report(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.coverage_report(_doc_status(spark, sf))
 
 
+# ---------------------------------------------------------------- sources
+def q_parse_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    e = si.table(spark, sf, "events")
+    return io.parse_json_lines(e, "props", "k int", keep=["event_id"])
+
+
 FLAGSHIP = "prepare"
 
 QUERIES = {
     "prepare": q_prepare,
+    "parse_jsonl": q_parse_jsonl,
     "select_entropy": _selection("entropy"),
     "select_margin": _selection("margin"),
     "select_least_confidence": _selection("least_confidence"),

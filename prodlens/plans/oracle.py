@@ -507,3 +507,7 @@ SELECT count(*) AS total, count_if(status = 'missing_path') AS missing_path,
        CASE WHEN count_if(status = 'valid') = 0 THEN 'none'
             WHEN count_if(status = 'valid') < count(*) THEN 'partial' ELSE 'all' END AS verdict
 FROM status"""
+
+# ---------------------------------------------------------------- sources
+SQL["parse_jsonl"] = """
+SELECT event_id, try_cast(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE json_valid(props)"""

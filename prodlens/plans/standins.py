@@ -128,10 +128,12 @@ def predictions(spark: SparkSession, sf_dir: str, digits: int = 9) -> DataFrame:
         F.aggregate(F.zip_with(e, F.array(*[F.lit(v) for v in row]), lambda a, b: a * b),
                     F.lit(0.0), lambda acc, v: acc + v)
         for row in cent])
-    probs = F.transform(softmax(logits), lambda p: F.round(p, digits))
-    return emb.select(F.col("vec_id").alias("key"), "label", probs.alias("probs")) \
-        .withColumn("prediction", argmax("probs")) \
-        .select("key", "label", "prediction", "probs")
+    # One stage per projection: a later stage refers to the earlier column
+    # several times, and Catalyst keeps such non-cheap columns computed once.
+    x = emb.select(F.col("vec_id").alias("key"), "label", logits.alias("_z"))
+    x = x.select("key", "label", softmax("_z").alias("_p"))
+    x = x.select("key", "label", F.transform("_p", lambda p: F.round(p, digits)).alias("probs"))
+    return x.select("key", "label", argmax("probs").alias("prediction"), "probs")
 
 
 def binary_scores(spark: SparkSession, sf_dir: str, target: str = "toxic") -> DataFrame:
