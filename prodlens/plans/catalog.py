@@ -453,10 +453,48 @@ def q_parse_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return io.parse_json_lines(e, "props", "k int", keep=["event_id"])
 
 
+# ---------------------------------------------------------------- models (rows-only checks)
+def q_run_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    # Solver iterations capped at 50 for this check query (each L-BFGS /
+    # OWL-QN iteration is a Spark job); the library default is 1000.
+    return jobs.run_baselines(_prepared(spark, sf), "doc_id", "text", max_iter=50)
+
+
+def q_active_learning(spark: SparkSession, sf: str) -> DataFrame:
+    h = jobs.run_active_learning(_prepared(spark, sf), "doc_id", "text", iterations=3, n=50)
+    return h.drop("seconds")
+
+
+def q_embed(spark: SparkSession, sf: str) -> DataFrame:
+    from prodlens.operators import models
+    d = models.embed(_clean_docs(spark, sf), "text", dim=64)
+    return d.select("doc_id", F.size("embedding").alias("dim"),
+                    _r(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), "norm"))
+
+
+def q_run_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    from prodlens.operators import models
+    prep = _prepared(spark, sf)
+    vec = models.embed(prep.select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
+    return jobs.run_classifier(prep, vec, "doc_id", "embedding", hidden=32, max_iter=20)
+
+
+def q_pca_2d(spark: SparkSession, sf: str) -> DataFrame:
+    from prodlens.operators import models
+    e = models.array_features(si.table(spark, sf, "embeddings"), "embedding")
+    out, _ = series.pca_2d(e, "features")
+    return out.select("vec_id", _r("pc1"), _r("pc2"))
+
+
 FLAGSHIP = "prepare"
 
 QUERIES = {
     "prepare": q_prepare,
+    "run_baselines": q_run_baselines,
+    "active_learning": q_active_learning,
+    "embed": q_embed,
+    "run_classifier": q_run_classifier,
+    "pca_2d": q_pca_2d,
     "parse_jsonl": q_parse_jsonl,
     "select_entropy": _selection("entropy"),
     "select_margin": _selection("margin"),

@@ -40,3 +40,69 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
         raise ValueError("Unknown route: %s" % route)
     d = drop_rare_classes(d, category_col, min_count)
     return stratified_split(d, "label", key, test=test, val=val, seed=seed)
+
+
+def split_frames(prepared: DataFrame, split: str = "split"):
+    """The train / val / test rows of a prepared table."""
+    return tuple(prepared.where(F.col(split) == s) for s in ("train", "val", "test"))
+
+
+def run_baselines(prepared: DataFrame, key: str = "doc_id", text_col: str = "text",
+                  names=None, max_iter: int | None = None) -> DataFrame:
+    """B4: fit TF-IDF on train, vectorise all splits, train the baselines,
+    score train/val/test; the results table rounded to 4 decimals.
+    ``max_iter`` caps the linear solvers (default: the reference's 1000)."""
+    from prodlens.operators import features, models
+    train, val, test = split_frames(prepared)
+    tm = features.fit_tfidf(train, key, text_col)
+    pm = models.tfidf_pipeline(tm, text_col, "features")
+    tr, va, te = (models.vectorize(pm, d).persist() for d in (train, val, test))
+    res, fitted = models.train_all(tr, va, key, names or models.BASELINES,
+                                   max_iter=max_iter or models.MAX_ITER)
+    out = models.evaluate_all(res, fitted, te, key)
+    return out
+
+
+def run_classifier(prepared: DataFrame, vectors: DataFrame, key: str, vec_col: str,
+                   hidden: int = 512, max_iter: int = 100) -> DataFrame:
+    """B5: an MLP head over per-row vectors (``vectors (key, vec_col)``);
+    trained on train, the best of the hidden sizes ``[hidden, hidden // 2]``
+    kept on validation, then scored on test: per-class report rows."""
+    from prodlens.operators import metrics, models
+    d = models.array_features(prepared.join(vectors, key, "inner"), vec_col)
+    dim = len(d.select(vec_col).first()[0])
+    k = prepared.agg(F.max("label")).first()[0] + 1
+    train, val, test = split_frames(d)
+    cands = {"mlp_%d" % h: models.estimator("mlp", 1, layers=[dim, h, k], maxIter=max_iter)
+             for h in (hidden, max(hidden // 2, 2))}
+    name, model, _ = models.select_on_validation(cands, train, val, key)
+    return metrics.classification_report(models.score(model, test, key))
+
+
+def run_active_learning(prepared: DataFrame, key: str = "doc_id", text_col: str = "text",
+                        iterations: int = 3, n: int = 50, strategy: str = "entropy",
+                        frac: int = 10) -> DataFrame:
+    """B6: TF-IDF vectors, a labelled set of ``train // frac`` rows, then
+    ``iterations`` rounds of naive-Bayes fit, uncertainty selection from
+    the pool, move, refit and validation F1. Returns the history."""
+    from prodlens.operators import active, features, models
+    train, val, _ = split_frames(prepared)
+    tm = features.fit_tfidf(train, key, text_col)
+    pm = models.tfidf_pipeline(tm, text_col, "features")
+    tr = models.vectorize(pm, train).select(key, "label", "features")
+    va = models.vectorize(pm, val).select(key, "label", "features")
+    labelled, pool = active.split_pool(tr, key, frac)
+    n_train = tr.count()
+
+    def fit(lab):
+        return models.estimator("naive_bayes", n_train).fit(lab)
+
+    def score(m, df):
+        return models.score(m, df, key).select(key, "probs")
+
+    def evaluate(m, df):
+        return models._acc_f1(models.score(m, df, key))[1]
+
+    hist, _, _ = active.al_loop(labelled, pool, va, key, fit, score, evaluate, iterations, n,
+                                strategy)
+    return hist
