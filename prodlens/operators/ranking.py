@@ -90,8 +90,13 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence, bucket: Colum
     return out
 
 
+# Above this n a top-n / sample uses exact bucketed ranks instead of
+# ``orderBy.limit`` (whose final task merges n rows from every map task).
+TAKE_LIMIT = 10_000
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42,
-             take_limit: int = 200_000) -> DataFrame:
+             take_limit: int = TAKE_LIMIT) -> DataFrame:
     """Exactly ``min(n, count)`` rows chosen by the hash order of ``key``.
 
     Small ``n`` uses ``orderBy(...).limit(n)`` (each task keeps its best
@@ -152,7 +157,7 @@ def exact_median(df: DataFrame, col: str, alias: str = "median") -> DataFrame:
     return cand.agg(((m1 + m2) / 2.0).alias(alias))
 
 
-def top_n(df: DataFrame, n: int, value: str, key: str, take_limit: int = 200_000,
+def top_n(df: DataFrame, n: int, value: str, key: str, take_limit: int = TAKE_LIMIT,
           name: str | None = None) -> DataFrame:
     """The ``n`` rows with the largest ``value`` (ties by ``key``
     ascending, nulls last). With ``name`` the rank is kept in that column.

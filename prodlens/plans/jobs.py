@@ -26,6 +26,11 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     """
     if route is None:
         route = "processed" if {"text", "category"} <= set(df.columns) else "raw"
+    # One hash exchange by key up front: identical in every branch below
+    # (category counts, split quotas, ranks, rows), so Spark reuses it and
+    # the text cleaning runs spread over tasks even when the input is not
+    # splittable (gzip, one large row group).
+    df = df.repartition(F.col(key))
     if route == "processed":
         d = df.withColumn("text", clean_text("text"))
         d = encode_labels(d, category_col)
@@ -69,7 +74,8 @@ def run_classifier(prepared: DataFrame, vectors: DataFrame, key: str, vec_col: s
     trained on train, the best of the hidden sizes ``[hidden, hidden // 2]``
     kept on validation, then scored on test: per-class report rows."""
     from prodlens.operators import metrics, models
-    d = models.array_features(prepared.join(vectors, key, "inner"), vec_col)
+    # iterative solvers read the input once per iteration: keep it cached
+    d = models.array_features(prepared.join(vectors, key, "inner"), vec_col).persist()
     dim = len(d.select(vec_col).first()[0])
     k = prepared.agg(F.max("label")).first()[0] + 1
     train, val, test = split_frames(d)

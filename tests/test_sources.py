@@ -81,3 +81,32 @@ def test_images_and_file_list(spark, tmpdir_path):
                                   (3, None)], "id int, image_path string")
     st = dict(coverage.with_file_status(rows, files).select("id", "status").collect())
     assert st == {1: "valid", 2: "missing_file", 3: "missing_path"}
+
+
+def test_verify_images_and_features(spark, tmpdir_path):
+    import numpy as np
+    from prodlens.operators import images
+    d = os.path.join(tmpdir_path, "imgs")
+    os.makedirs(d)
+    _bmp(os.path.join(d, "p1.jpg"), w=4, h=3)
+    with open(os.path.join(d, "p2.jpg"), "wb") as f:
+        f.write(b"corrupt")
+    rows = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "parent_asin string")
+    kept = [r[0] for r in images.verify_images(rows, d, "parent_asin", ".jpg").collect()]
+    assert kept == ["p1"]
+    feats = {os.path.basename(r["path"]): r["pixels"] for r in
+             images.image_features(io.read_images(spark, d), size=8).collect()}
+    assert feats["p2.jpg"] is None
+    px = np.array(feats["p1.jpg"]).reshape(3, 8, 8)
+    # BGR (10, 20, 30) everywhere -> RGB (30, 20, 10) / 255, normalised
+    expect = (np.array([30, 20, 10]) / 255.0 - np.array(images.IMAGENET_MEAN)) / np.array(images.IMAGENET_STD)
+    assert np.allclose(px[:, 3, 3], expect, atol=1e-5)
+
+
+def test_check_images_present(spark):
+    import pytest
+    from prodlens.operators import assemble
+    df = spark.createDataFrame([(None,), ("http://a",)], "image_url string")
+    assert assemble.check_images_present(df) == 1
+    with pytest.raises(RuntimeError):
+        assemble.check_images_present(df.where("image_url is null"))
