@@ -1,0 +1,4 @@
+"""No streaming operators: the reference processes batches only (no
+watermark, window, state or late data). The column functions of
+:mod:`prodlens.functions` and fitted ``PipelineModel``s are stateless and
+apply to a streaming DataFrame unchanged."""
