@@ -295,9 +295,9 @@ def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    d = _clean_docs(spark, sf)
-    v = features.build_vocab(d, "text", size=2000)
-    e = features.encode_fixed(d, v, "doc_id", "text", max_len=128)
+    d = si.table(spark, sf, "documents").select("doc_id", "text")
+    v = features.build_vocab(d, "text", size=2000, clean=True)
+    e = features.encode_fixed(d, v, "doc_id", "text", max_len=128, clean=True)
     return e.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 

@@ -2,7 +2,8 @@
 (documents.lang) beating the majority class on held-out rows."""
 
 import pytest
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql import functions as F
 
 from prodlens.operators import active, models
@@ -14,7 +15,9 @@ SF = "/root/testdata/sf0.001"
 def _pool(spark, n=60):
     rows = [(i, i % 2, Vectors.dense([1.0 + (i % 2) * 2, 1.0 + (i % 3), 0.5 + (i % 5) / 5.0]))
             for i in range(n)]
-    return spark.createDataFrame(rows, "k long, label int, features vector")
+    schema = StructType([StructField("k", LongType()), StructField("label", IntegerType()),
+                         StructField("features", VectorUDT())])
+    return spark.createDataFrame(rows, schema)
 
 
 @pytest.mark.parametrize("strategy", ["entropy", "margin", "least_confidence", "random"])
