@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prodlens.operators.ranking import hash_order, hex_bucket, row_numbers
+from prodlens.operators.ranking import hash_order, hex_bucket, key_bucket, row_numbers
 
 # Above this many categories the label map is joined instead of being
 # inlined into the plan as a literal map.
@@ -22,10 +22,11 @@ MAX_INLINE_CLASSES = 20_000
 
 def category_map(df: DataFrame, col: str = "category") -> DataFrame:
     """``(category, label)``: distinct non-null values sorted ascending,
-    numbered from 0. The window runs over the distinct values only."""
+    numbered from 0. Numbered with bucketed row numbers over the distinct
+    values, so even millions of classes are not ordered in one task."""
     d = df.select(F.col(col).alias("category")).where(F.col("category").isNotNull()).distinct()
-    return d.select("category", (F.row_number().over(Window.orderBy("category")) - 1)
-                    .cast("int").alias("label"))
+    r = row_numbers(d, [], ["category"], key_bucket(d, "category"), "_rn")
+    return r.select("category", (F.col("_rn") - 1).cast("int").alias("label"))
 
 
 def encode_labels(df: DataFrame, col: str = "category", out: str = "label",

@@ -157,13 +157,29 @@ def exact_median(df: DataFrame, col: str, alias: str = "median") -> DataFrame:
     return cand.agg(((m1 + m2) / 2.0).alias(alias))
 
 
+def key_bucket(df: DataFrame, key: str) -> Column:
+    """A coarse bucket monotone in ``key``'s order: exponent and leading
+    mantissa bits for numbers, the first two bytes for strings."""
+    from pyspark.sql.types import NumericType, StringType
+    t = df.schema[key].dataType
+    if isinstance(t, NumericType):
+        return double_bucket(F.col(key).cast("double"))
+    if isinstance(t, StringType):
+        return F.conv(F.rpad(F.substring(F.hex(key), 1, 4), 4, "0"), 16, 10).cast("long")
+    return F.lit(0).cast("long")
+
+
 def top_n(df: DataFrame, n: int, value: str, key: str, take_limit: int = TAKE_LIMIT,
           name: str | None = None) -> DataFrame:
     """The ``n`` rows with the largest ``value`` (ties by ``key``
     ascending, nulls last). With ``name`` the rank is kept in that column.
 
     Small ``n``: ``orderBy.limit`` (bounded merge). Large ``n``: exact
-    ranks from :func:`row_numbers` on the negated value, then a filter.
+    ranks in two levels, so a value shared by a large part of the rows is
+    never ranked in one task: distinct values are counted and given their
+    offsets (a hot value is one row there), then rows of the values that
+    start within the first ``n`` are ranked inside their value by key with
+    a key-monotone bucket.
     """
     if n <= 0:
         out = df.limit(0)
@@ -171,7 +187,13 @@ def top_n(df: DataFrame, n: int, value: str, key: str, take_limit: int = TAKE_LI
     if n <= take_limit and name is None:
         return df.orderBy(F.col(value).desc_nulls_last(), F.col(key).asc()).limit(n)
     d = df.withColumn("_neg", -F.col(value).cast("double"))
-    bkt = F.coalesce(double_bucket("_neg"), F.lit(2**62))
-    d = row_numbers(d, [], [F.col("_neg").asc_nulls_last(), F.col(key).asc()], bkt, "_rank")
-    d = d.where(F.col("_rank") <= n).drop("_neg")
-    return d.withColumnRenamed("_rank", name) if name else d.drop("_rank")
+    vc = d.groupBy("_neg").agg(F.count(F.lit(1)).alias("_c"))
+    vbkt = F.coalesce(double_bucket("_neg"), F.lit(2 ** 62))
+    vc = prefix_sums(vc, [], [F.col("_neg").asc_nulls_last()], vbkt, {"_off": F.col("_c")})
+    starts = vc.where(F.col("_off") < n).select(F.col("_neg").alias("_v"), "_off")
+    cand = d.join(starts, d["_neg"].eqNullSafe(starts["_v"]), "inner").drop("_v")
+    cand = prefix_sums(cand, ["_neg"], [F.col(key).asc()], key_bucket(cand, key),
+                       {"_r": F.lit(1).cast("long")}, inclusive=True)
+    out = cand.withColumn("_rank", F.col("_off") + F.col("_r")).where(F.col("_rank") <= n)
+    out = out.drop("_neg", "_off", "_r")
+    return out.withColumnRenamed("_rank", name) if name else out.drop("_rank")

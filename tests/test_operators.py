@@ -208,3 +208,18 @@ def test_coverage_report(spark):
     r = coverage.coverage_report(st).first()
     assert (r["total"], r["missing_path"], r["missing_file"], r["valid"], r["verdict"]) == \
         (3, 1, 1, 1, "partial")
+
+
+def test_top_n_large_path_with_hot_tie(spark):
+    import random
+    rnd = random.Random(7)
+    rows = [(i, 0.5 if i % 3 == 0 else (None if i % 17 == 0 else rnd.random())) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, u double")
+    expect = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    for n in (1, 150, 250, 599, 700):
+        got = ranking.top_n(df, n, "u", "k", take_limit=0, name="rank").orderBy("rank").collect()
+        assert [r["k"] for r in got] == [r[0] for r in expect[:n]]
+        assert [r["rank"] for r in got] == list(range(1, min(n, 600) + 1))
+    s = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "k string, u double")
+    assert [r["k"] for r in ranking.top_n(s, 3, "u", "k", take_limit=0).collect()] != []
+    assert sorted(r["k"] for r in ranking.top_n(s, 2, "u", "k", take_limit=0).collect()) == ["a", "c"]
