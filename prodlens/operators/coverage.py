@@ -34,11 +34,13 @@ def with_file_status(df: DataFrame, files: DataFrame, path_col: str = "image_pat
         f = F.regexp_replace(f, r"^file:(//)?", "")
     fl = files.select(normalize_path(f).alias("_fp")).distinct().withColumn("_exists", F.lit(True))
     d = df.withColumn("_np", normalize_path(path_col))
-    j = d.join(fl, d["_np"] == fl["_fp"], "left")
-    st = (F.when(F.col("_np").isNull(), F.lit(MISSING_PATH))
-          .when(F.col("_exists").isNull(), F.lit(MISSING_FILE))
-          .otherwise(F.lit(VALID)))
-    return j.withColumn(out, st).drop("_np", "_fp", "_exists")
+    # rows without a path cannot match: they skip the join (null keys would
+    # all hash to one shuffle partition)
+    no_path = d.where(F.col("_np").isNull()).withColumn(out, F.lit(MISSING_PATH))
+    j = d.where(F.col("_np").isNotNull()).join(fl, F.col("_np") == fl["_fp"], "left")
+    j = j.withColumn(out, F.when(F.col("_exists").isNull(), F.lit(MISSING_FILE))
+                     .otherwise(F.lit(VALID)))
+    return j.drop("_fp", "_exists").unionByName(no_path).drop("_np")
 
 
 def coverage_report(df: DataFrame, status: str = "status") -> DataFrame:

@@ -47,8 +47,11 @@ def encode_labels(df: DataFrame, col: str = "category", out: str = "label",
         m = F.create_map(*[x for r in rows for x in (F.lit(r["category"]), F.lit(int(r["label"])))])
         return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(col)), F.lit(-1)).cast("int"))
     m = cmap.select(F.col("category").alias("_cat"), F.col("label").alias("_lab"))
-    j = df.join(m, df[col] == m["_cat"], "left")
-    return j.withColumn(out, F.coalesce(F.col("_lab"), F.lit(-1)).cast("int")).drop("_cat", "_lab")
+    # null categories skip the join (they would all hash to one partition)
+    nulls = df.where(F.col(col).isNull()).withColumn(out, F.lit(-1).cast("int"))
+    j = df.where(F.col(col).isNotNull()).join(m, F.col(col) == m["_cat"], "left")
+    j = j.withColumn(out, F.coalesce(F.col("_lab"), F.lit(-1)).cast("int")).drop("_cat", "_lab")
+    return j.unionByName(nulls)
 
 
 def class_distribution(df: DataFrame, col: str = "category", top_k: int | None = None) -> DataFrame:

@@ -223,3 +223,10 @@ def test_top_n_large_path_with_hot_tie(spark):
     s = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "k string, u double")
     assert [r["k"] for r in ranking.top_n(s, 3, "u", "k", take_limit=0).collect()] != []
     assert sorted(r["k"] for r in ranking.top_n(s, 2, "u", "k", take_limit=0).collect()) == ["a", "c"]
+
+
+def test_encode_labels_join_fallback(spark, monkeypatch):
+    monkeypatch.setattr(labels, "MAX_INLINE_CLASSES", 1)
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, category string")
+    got = dict(labels.encode_labels(df).select("id", "label").collect())
+    assert got == {1: 1, 2: 0, 3: -1}
