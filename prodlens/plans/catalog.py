@@ -268,8 +268,9 @@ def q_prepare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.prepare(si.documents(spark, sf), key="doc_id", route="processed") \
-        .select("doc_id", "text", "label", "split")
+    """The prepared documents, materialised once (multi-pass consumers)."""
+    return jobs.prepare(si.documents(spark, sf).select("doc_id", "text", "category"), key="doc_id",
+                        route="processed", materialize=True)
 
 
 def _tfidf_model(spark: SparkSession, sf: str):

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from prodlens.functions.text import clean_text
 from prodlens.operators.assemble import drop_empty_text
 from prodlens.operators.labels import drop_rare_classes, encode_labels, stratified_split
+from prodlens.session import cut_lineage
 
 
 def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category",
             key: str = "doc_id", description_col: str | None = None, route: str | None = None,
-            min_count: int = 2, test: str = "0.2", val: str = "0.1", seed: int = 42) -> DataFrame:
+            min_count: int = 2, test: str = "0.2", val: str = "0.1", seed: int = 42,
+            materialize: bool = False) -> DataFrame:
     """Clean, encode, filter and split; adds ``text`` (cleaned), ``label``
     and ``split``.
 
@@ -23,6 +25,11 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     picks 'processed' when both columns are present. Classes with fewer
     than ``min_count`` rows (and null classes) are dropped, then the rows
     are split 70/10/20 per label.
+
+    ``materialize`` writes the result once with a reliable checkpoint into
+    ``spark.checkpoint.dir`` (lineage cut, survives executor loss): use it
+    when several passes follow (TF-IDF fit and transform, model fits), so
+    the cleaning and split are not recomputed by every pass.
     """
     if route is None:
         route = "processed" if {"text", "category"} <= set(df.columns) else "raw"
@@ -44,7 +51,8 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     else:
         raise ValueError("Unknown route: %s" % route)
     d = drop_rare_classes(d, category_col, min_count)
-    return stratified_split(d, "label", key, test=test, val=val, seed=seed)
+    out = stratified_split(d, "label", key, test=test, val=val, seed=seed)
+    return cut_lineage(out) if materialize else out
 
 
 def split_frames(prepared: DataFrame, split: str = "split"):
