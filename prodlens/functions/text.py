@@ -21,6 +21,8 @@ WS = (r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 TAG_PATTERN = r"<[^>]+>"
 URL_PATTERN = r"(http|www)[^" + WS + r"]+"
 NON_ALNUM_PATTERN = r"[^a-z0-9]+"
+# Fixed value: a token is a run of two or more non-space characters.
+TOKEN_PATTERN = r"[^ ]{2,}"
 
 
 def _col(c) -> Column:
@@ -70,8 +72,26 @@ def combined_text(product_title, description, review) -> Column:
 
 def tokens(cleaned) -> Column:
     """Word tokens of an already cleaned text: the space-separated runs of
-    two or more characters (cleaned text only holds [a-z0-9] and spaces)."""
-    return F.filter(F.split(_col(cleaned), " "), lambda t: F.length(t) >= 2)
+    two or more characters (cleaned text only holds [a-z0-9] and spaces).
+    A code-generated regex extraction (no higher-order function)."""
+    return F.regexp_extract_all(F.coalesce(_col(cleaned), F.lit("")), F.lit(TOKEN_PATTERN), 0)
+
+
+def text_ngrams(tok, n_min: int = 1, n_max: int = 2) -> Column:
+    """Same result as :func:`ngrams` for tokens without spaces (as
+    :func:`tokens` gives), with code-generated regex functions: the tokens
+    are joined by single spaces and every n-gram is a zero-width lookahead
+    match at a token start, so overlapping n-grams come out in order."""
+    t = _col(tok)
+    joined = F.array_join(t, " ")
+    parts = []
+    for n in range(n_min, n_max + 1):
+        if n == 1:
+            parts.append(t)
+        else:
+            pattern = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){%d}))" % (n - 1)
+            parts.append(F.regexp_extract_all(joined, F.lit(pattern), 1))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def ngrams(tok, n_min: int = 1, n_max: int = 2) -> Column:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from prodlens.operators.ranking import prefix_sums, unit_bucket
 
 MAX_CLASSES = 100_000
+# The dense confusion matrix has classes^2 cells; above this many classes
+# use the sparse ``confusion_counts`` instead.
+MAX_DENSE_CLASSES = 2_000
 
 # F1 bands of the per-class chart (below 0.5, below 0.7, rest).
 F1_BANDS = ((0.5, "low"), (0.7, "medium"))
@@ -97,6 +100,9 @@ def confusion_matrix(df: DataFrame, normalize: bool = False, label: str = "label
     the row share ``n / sum(n) over label`` (null for an empty row)."""
     cc = confusion_counts(df, label, prediction)
     classes = _class_list(cc, ["label", "prediction"])
+    if len(classes) > MAX_DENSE_CLASSES:
+        raise ValueError("%d classes: a dense matrix has %d cells; use confusion_counts"
+                         % (len(classes), len(classes) ** 2))
     grid = cc.sparkSession.createDataFrame([(c,) for c in classes], "label int") \
         .withColumn("prediction", F.explode(F.array(*[F.lit(c) for c in classes])))
     m = grid.join(cc, ["label", "prediction"], "left").select(

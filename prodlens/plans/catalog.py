@@ -286,7 +286,7 @@ def _clean_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_tokens(spark: SparkSession, sf: str) -> DataFrame:
     d = _clean_docs(spark, sf).select("doc_id", text.tokens("text").alias("tok"))
-    d = d.select("doc_id", "tok", text.ngrams("tok", 1, 2).alias("trm"))
+    d = d.select("doc_id", "tok", text.text_ngrams("tok", 1, 2).alias("trm"))
     return d.select("doc_id", F.size("tok").alias("n_tokens"), F.size("trm").alias("n_terms"),
                     F.md5(F.array_join("trm", "|")).alias("terms_md5"))
 

@@ -44,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is honoured when the cluster sets it. Only when
     it is unset (local runs, tests) do we create a folder of our own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local context (Spark Connect):
+        return spark.conf.get("spark.checkpoint.dir", None)  # the server's setting applies
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
@@ -64,3 +67,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint, survives executor loss) and return the re-read frame."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_tb: float, executor_cores: int = 4,
+                 target_partition_mb: int = 256) -> dict[str, str]:
+    """Settings for a cluster run over ``input_tb`` terabytes of input.
+
+    File splits are ``target_partition_mb`` so a task's input fits in
+    executor memory. Shuffled volume is well below the input after
+    map-side aggregation (term counts, class counts), so reduce partitions
+    are sized for an eighth of the input at the same partition size and
+    capped at 50,000 (map tasks x reduce partitions is the number of
+    shuffle blocks); AQE then coalesces small partitions and splits skewed
+    ones by measured size. 100 TB at 256 MB gives 50,000.
+    """
+    mb = target_partition_mb
+    partitions = min(50_000, max(200, int(input_tb * 1024 * 1024 / (8 * mb))))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "%dm" % mb,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "%dm" % (mb * 2),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": "%dm" % mb,
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.executor.cores": str(executor_cores),
+        "spark.ui.enabled": "false",
+    }
