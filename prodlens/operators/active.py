@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from prodlens.functions.scores import uncertainty
 from prodlens.operators.ranking import sample_n, top_n
-from prodlens.session import cut_lineage
+from prodlens.session import write_table
 
 
 def score_uncertainty(scored: DataFrame, strategy: str = "entropy", probs: str = "probs",
@@ -80,12 +80,13 @@ def al_loop(labelled: DataFrame, pool: DataFrame, val: DataFrame, key: str,
 
     Returns ``(history, labelled, pool)``; history has ``iteration,
     n_samples_added, train_size, unlabeled_size, strategy, val_f1,
-    seconds``. Labelled and pool are checkpointed every round (reliable
-    checkpoint into ``spark.checkpoint.dir``) so lineage does not grow.
+    seconds``. Labelled and pool are written every round as parquet tables
+    under ``spark.checkpoint.dir`` and read back, so lineage does not grow
+    and a lost executor does not replay earlier rounds.
     """
     spark = labelled.sparkSession
     rows = []
-    labelled, pool = cut_lineage(labelled), cut_lineage(pool)
+    labelled, pool = write_table(labelled), write_table(pool)
     model = fit(labelled)
     for it in range(1, iterations + 1):
         t0 = time.time()
@@ -97,7 +98,7 @@ def al_loop(labelled: DataFrame, pool: DataFrame, val: DataFrame, key: str,
         else:
             sel = select_samples(score(model, pool), n, key, strategy)
         labelled, pool = move_selected(labelled, pool, sel.select(key), key)
-        labelled, pool = cut_lineage(labelled), cut_lineage(pool)
+        labelled, pool = write_table(labelled), write_table(pool)
         model = fit(labelled)
         f1 = float(evaluate(model, val))
         rows.append((it, min(n, pool_size) if n > 0 else 0, labelled.count(), pool.count(),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prodlens.functions.text import clean_text
 from prodlens.operators.assemble import drop_empty_text
 from prodlens.operators.labels import drop_rare_classes, encode_labels, stratified_split
-from prodlens.session import cut_lineage
+from prodlens.session import write_table
 
 
 def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category",
@@ -26,10 +26,11 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     than ``min_count`` rows (and null classes) are dropped, then the rows
     are split 70/10/20 per label.
 
-    ``materialize`` writes the result once with a reliable checkpoint into
-    ``spark.checkpoint.dir`` (lineage cut, survives executor loss): use it
-    when several passes follow (TF-IDF fit and transform, model fits), so
-    the cleaning and split are not recomputed by every pass.
+    ``materialize`` writes the result once as a parquet table under
+    ``spark.checkpoint.dir`` and reads it back (lineage cut, survives
+    executor loss, columnar reads): use it when several passes follow
+    (TF-IDF fit and transform, model fits), so the cleaning and split are
+    not recomputed by every pass.
     """
     if route is None:
         route = "processed" if {"text", "category"} <= set(df.columns) else "raw"
@@ -52,7 +53,7 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
         raise ValueError("Unknown route: %s" % route)
     d = drop_rare_classes(d, category_col, min_count)
     out = stratified_split(d, "label", key, test=test, val=val, seed=seed)
-    return cut_lineage(out) if materialize else out
+    return write_table(out) if materialize else out
 
 
 def split_frames(prepared: DataFrame, split: str = "split"):
