@@ -17,13 +17,14 @@ At similarity 0.8 with 36 x 7, a pair is missed with probability 0.0002.
 
 *Links.* Equal texts are one node (64-bit hash of the text; two texts of n
 collide with probability n^2 / 2^65). In every band bucket all nodes are
-compared with the smallest one (a star, so a bucket of m nodes gives m - 1
-pairs). Nodes are then joined into components, and for buckets that still
+compared with one of them, the one that meets the most nodes over all bands
+(a star, so a bucket of m nodes gives m - 1 pairs). Nodes are then joined into components, and for buckets that still
 hold several components the pairs across components are compared too, each
-node outside the bucket's largest component against the others. So no link
-between different components is lost, and a large group of near copies costs
-one comparison per node and band, not the square. Every pair is verified on
-its whole shingle sets (``>= threshold``).
+node outside the bucket's largest component against the others: those that
+share an element of at most ``RARE`` nodes, and those whose sizes without
+such elements allow the threshold (an exact bound). So no link between different components is lost, and a large
+group of near copies costs one comparison per node and band, not the square.
+Every pair is verified on its whole shingle sets (``>= threshold``).
 
 *Components* by alternating large-star and small-star steps on the links,
 each step written to the shared folder. Nothing per document or link reaches
@@ -200,14 +201,37 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+#: Elements that at most so many nodes have are rare.
+RARE = 8
+
+
+def rare_elements(sets: DataFrame) -> DataFrame:
+    """(e, node, n): the elements that at most ``RARE`` nodes have."""
+    e = sets.select("node", F.explode("elements").alias("e"))
+    few = e.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE)
+    return e.join(few, "e")
+
+
+def _slab(size: Column) -> Column:
+    """Sizes in steps of one per cent."""
+    return F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(float(np.log(1.01)))).cast("int")
+
+
 def links(sigs: DataFrame, docs: DataFrame, text: str, threshold: float, width: int, weights: str) -> tuple[DataFrame, DataFrame]:
     """(verified links, components) between nodes."""
     reps = materialise(sigs.where("node is not null").groupBy("node").agg(
         F.first("total").alias("total"), F.first("bands").alias("bands")))
     rows = reps.select(F.explode("bands").alias("bucket"), "node", "total")
-    crowded = (rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top"))
-               .where("pivot != top").select("bucket", "pivot"))
+    crowded = (rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m"))
+               .where("lo != hi").select("bucket", "m"))
     members = materialise(rows.join(crowded, "bucket"))
+    # the pivot of a bucket is its node with the most company over all bands:
+    # in a group of near copies that is the text the others were made from
+    company = members.groupBy("node").agg(F.sum("m").alias("company"))
+    members = materialise(members.join(company, "node"))
+    pivots = (members.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("p"))
+              .select("bucket", F.col("p.node").alias("pivot")))
+    members = materialise(members.select("bucket", "node", "total").join(pivots, "bucket"))
     sizes = members.select("node", "total").distinct()
     nodes = materialise(sizes)
     sets = materialise(node_shingles(docs, nodes.select("node"), nodes.count(), text, width, weights))
@@ -230,10 +254,31 @@ def links(sigs: DataFrame, docs: DataFrame, text: str, threshold: float, width:
     main = count.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
     left = (m.join(main, "bucket").where("root != main")
             .select("bucket", "pivot", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("total").alias("ta"), "main"))
-    right = m.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("total").alias("tb"))
-    cross = (left.join(right, "bucket").where("rx != ry and (ry = main or x < y) and x != pivot and y != pivot")
+    rare = materialise(rare_elements(sets))
+    own = materialise(rare.groupBy("node").agg(F.count(F.lit(1)).alias("u")))
+    # pairs that share a rare element: at most RARE - 1 for each such element
+    roots = (nodes.join(comp, "node", "left").select("node", "total", F.coalesce("root", "node").alias("root")))
+    shared = rare.where("n > 1").select("e", "node").join(roots, "node")
+    astray = left.select(F.col("x").alias("node")).distinct()
+    one = shared.join(astray, "node", "left_semi").select("e", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("total").alias("ta"))
+    two = shared.select("e", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("total").alias("tb"))
+    kin = (one.join(two, (one["e"] == two["e"]) & F.expr("rx != ry") & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb") - 1e-9))
+           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ta", "tb"))
+    # other pairs share no rare element: each node has only ``total - u`` to share
+    left = left.join(own.withColumnRenamed("node", "x"), "x", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    # which partner sizes can reach the threshold?
+    c = F.col("ta") - F.col("u")
+    top = F.greatest(c, c / threshold - F.col("u"))
+    left = (left.where(F.col("u") <= (1 - threshold) * F.col("ta") + 1e-9).withColumn("top", top)
+            .withColumn("slab", F.explode(F.sequence(_slab(threshold * F.col("ta")), _slab(F.col("top"))))))
+    right = m.join(own, "node", "left").select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("total").alias("tb"),
+                                               F.coalesce("u", F.lit(0)).alias("v"), _slab(F.col("total")).alias("slab"))
+    most = F.least(F.col("ta") - F.col("u"), F.col("tb") - F.col("v"))  # elements that x and y can share
+    cross = (left.join(right, (left["bucket"] == right["bucket"]) & (left["slab"] == right["slab"]) & F.expr(
+                "rx != ry and (ry = main or x < y) and x != pivot and y != pivot")
+                & (most >= threshold * (F.col("ta") + F.col("tb") - most) - 1e-9))
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ta", "tb"))
-    second = materialise(verified(near(cross), sets, threshold))
+    second = materialise(verified(near(cross.unionByName(kin)), sets, threshold))
     both = first.unionByName(second)
     return both, (materialise(components(both)) if second.limit(1).count() else comp)
 
