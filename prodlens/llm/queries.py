@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prodlens.llm import chat, mixing, neardup, outliers, quality, sharding, urls, warc
+from prodlens.llm import chat, decontam, mixing, neardup, outliers, quality, sharding, urls, warc
 from prodlens.llm.common import local_rows, table
 
 #: The rules of the URL query (fixed values).
@@ -30,6 +30,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.class_report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = local_rows(spark, URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
@@ -51,6 +55,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_chats, op3_near_duplicates, op5_filter_urls, op6_shard,
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_chats, op3_near_duplicates, op4_decontaminate, op5_filter_urls, op6_shard,
                                    op7_warc_round_trip, op8_quality_classifier, op10_quality_rules)}
 SQL: dict[str, str] = {}
