@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prodlens.llm import chat, decontam, mixing, neardup, outliers, quality, sharding, urls, warc
+from prodlens.llm import chat, decontam, lm, mixing, neardup, outliers, quality, sharding, urls, warc
 from prodlens.llm.common import local_rows, table
 
 #: The rules of the URL query (fixed values).
@@ -51,10 +51,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_chats, op3_near_duplicates, op4_decontaminate, op5_filter_urls, op6_shard,
-                                   op7_warc_round_trip, op8_quality_classifier, op10_quality_rules)}
+                                   op7_warc_round_trip, op8_quality_classifier, op9_score_texts, op10_quality_rules)}
 SQL: dict[str, str] = {}
