@@ -21,8 +21,9 @@ compared with one of them, the one that meets the most nodes over all bands
 (a star, so a bucket of m nodes gives m - 1 pairs). Nodes are then joined into components, and for buckets that still
 hold several components the pairs across components are compared too, each
 node outside the bucket's largest component against the others: those that
-share an element of at most ``RARE`` nodes, and those whose sizes without
-such elements allow the threshold (an exact bound). So no link between different components is lost, and a large
+share an element of at most ``RARE`` nodes, and those that can reach the
+threshold without such elements, by their sizes and by what each has in common
+with the bucket's pivot (exact bounds). So no link between different components is lost, and a large
 group of near copies costs one comparison per node and band, not the square.
 Every pair is verified on its whole shingle sets (``>= threshold``).
 
@@ -162,14 +163,18 @@ def node_shingles(docs: DataFrame, nodes: DataFrame, n_nodes: int, text: str, wi
     return d.groupBy("node").agg(F.first("elements").alias("elements"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sets are at least ``threshold`` similar."""
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with ``i``, the number of common elements, and ``link``,
+    whether the sets are at least ``threshold`` similar."""
     sa = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     sb = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     j = pairs.join(sb, "b").join(sa, "a")
-    both = F.size(F.array_intersect("ea", "eb"))
-    j = j.select("a", "b", both.alias("i"), (F.size("ea") + F.size("eb")).alias("n"))
-    return j.where(F.col("i") >= threshold * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
+    j = j.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("i"), (F.size("ea") + F.size("eb")).alias("n"))
+    return j.select("a", "b", "i", (F.col("i") >= threshold * (F.col("n") - F.col("i")) - 1e-9).alias("link"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    return compared(pairs, sets, threshold).where("link").select("a", "b")
 
 
 def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
@@ -243,17 +248,21 @@ def links(sigs: DataFrame, docs: DataFrame, text: str, threshold: float, width:
     size_a = nodes.select(F.col("node").alias("a"), F.col("total").alias("ta"))
     star = (members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("total").alias("tb"))
             .distinct().join(size_a, "a"))
-    first = materialise(verified(near(star), sets, threshold))
+    arms = materialise(compared(near(star), sets, threshold))
+    first = arms.where("link").select("a", "b")
     comp = materialise(components(first))
 
     # buckets that hold several components: compare across them
     m = members.join(comp, "node", "left").select("bucket", "pivot", "node", "total", F.coalesce("root", "node").alias("root"))
     split = (m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket"))
-    m = materialise(m.join(split, "bucket"))
+    # what each member has in common with its bucket's pivot, where they were compared
+    arm = arms.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "i")
+    m = materialise(m.join(split, "bucket").join(arm, ["pivot", "node"], "left"))
     count = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = count.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
     left = (m.join(main, "bucket").where("root != main")
-            .select("bucket", "pivot", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("total").alias("ta"), "main"))
+            .select("bucket", "pivot", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("total").alias("ta"),
+                    F.col("i").alias("ix"), "main"))
     rare = materialise(rare_elements(sets))
     own = materialise(rare.groupBy("node").agg(F.count(F.lit(1)).alias("u")))
     # pairs that share a rare element: at most RARE - 1 for each such element
@@ -266,14 +275,23 @@ def links(sigs: DataFrame, docs: DataFrame, text: str, threshold: float, width:
            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ta", "tb"))
     # other pairs share no rare element: each node has only ``total - u`` to share
     left = left.join(own.withColumnRenamed("node", "x"), "x", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    of_pivot = own.select(F.col("node").alias("pivot"), F.col("u").alias("up"))
+    left = left.join(of_pivot, "pivot", "left").withColumn("up", F.coalesce("up", F.lit(0)))
     # which partner sizes can reach the threshold?
     c = F.col("ta") - F.col("u")
     top = F.greatest(c, c / threshold - F.col("u"))
     left = (left.where(F.col("u") <= (1 - threshold) * F.col("ta") + 1e-9).withColumn("top", top)
             .withColumn("slab", F.explode(F.sequence(_slab(threshold * F.col("ta")), _slab(F.col("top"))))))
     right = m.join(own, "node", "left").select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("total").alias("tb"),
-                                               F.coalesce("u", F.lit(0)).alias("v"), _slab(F.col("total")).alias("slab"))
-    most = F.least(F.col("ta") - F.col("u"), F.col("tb") - F.col("v"))  # elements that x and y can share
+                                               F.col("i").alias("iy"), F.coalesce("u", F.lit(0)).alias("v"), _slab(F.col("total")).alias("slab"))
+    # elements that x and y can share: not the rare ones; inside the pivot's set
+    # at most what either has of it, outside at most what is left of either
+    def out(t: str, i: str, u: str) -> Column:
+        rest = F.col(t) - F.col(i)
+        return F.greatest(F.least(rest, rest - F.col(u) + F.col("up")), F.lit(0))
+    most = F.least(F.col("ta") - F.col("u"), F.col("tb") - F.col("v"))
+    inside = F.least("ix", "iy") + F.least(out("ta", "ix", "u"), out("tb", "iy", "v"))
+    most = F.when(F.col("ix").isNotNull() & F.col("iy").isNotNull(), F.least(most, inside)).otherwise(most)
     cross = (left.join(right, (left["bucket"] == right["bucket"]) & (left["slab"] == right["slab"]) & F.expr(
                 "rx != ry and (ry = main or x < y) and x != pivot and y != pivot")
                 & (most >= threshold * (F.col("ta") + F.col("tb") - most) - 1e-9))
