@@ -56,9 +56,12 @@ def review_text(title="title", text="text") -> Column:
                           F.coalesce(_col(text), F.lit(""))))
 
 
-def join_description(c) -> Column:
+def join_description(c, is_list: bool = True) -> Column:
     """Description list joined by single spaces; a null list gives ''.
-    Null elements are skipped."""
+    Null elements are skipped. With ``is_list`` false the column is no
+    list and is turned into text."""
+    if not is_list:
+        return F.coalesce(_col(c).cast("string"), F.lit(""))
     return F.coalesce(F.array_join(_col(c), " "), F.lit(""))
 
 

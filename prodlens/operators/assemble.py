@@ -75,10 +75,14 @@ def check_images_present(df: DataFrame, col: str = "image_url") -> int:
     """Number of non-null image links; raises when there are none."""
     n = df.agg(F.count(col).alias("n")).first()["n"]
     if n == 0:
-        raise RuntimeError("No image URLs found: metadata parsing failed")
+        raise RuntimeError("no row has an image link")
     return n
 
 
+def _is_list(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() == "array"
+
+
 def build_dataset(reviews: DataFrame, products: DataFrame, sample_size: int | None = None,
                   key: str = "review_id", seed: int = 42, min_chars: int = 10,
                   null_safe: bool = False) -> DataFrame:
@@ -96,7 +100,7 @@ def build_dataset(reviews: DataFrame, products: DataFrame, sample_size: int | No
     p = products.select(
         "parent_asin",
         F.coalesce(F.col("title"), F.lit("")).alias("product_title"),
-        join_description("description").alias("product_description"),
+        join_description("description", _is_list(products, "description")).alias("product_description"),
         default_category("main_category").alias("category"),
         first_image_url("images").alias("image_url"))
     j = join_products(r, p, "parent_asin", null_safe=null_safe)
@@ -138,7 +142,7 @@ def build_training_table(reviews: DataFrame, products: DataFrame, image_dir: str
         "parent_asin", "title", "description", "main_category", "image_path")
     j = join_products(r, p, "parent_asin")
     d = j.select(key,
-                 combined_text("title_product", join_description("description"), "review_text").alias("text"),
+                 combined_text("title_product", join_description("description", _is_list(products, "description")), "review_text").alias("text"),
                  F.col("main_category").alias("category"), "parent_asin", "image_path",
                  "rating", "verified_purchase", "helpful_vote")
     if with_images:

@@ -151,17 +151,18 @@ def auc(df: DataFrame, label: str = "label", probs: str = "probs", average: str
     Two columns of probabilities: binary AUC on ``probs[1]`` with the
     larger label positive. More: one-vs-rest per class (column j belongs to
     the j-th smallest label), averaged by prevalence ('weighted') or
-    plainly ('macro'). Null when undefined (one class, or a class count
-    that differs from the probability width).
+    plainly ('macro'). Null when undefined (one class, a class count that
+    differs from the probability width, or a NaN probability).
 
     Scores are counted per (class, score) first; negatives below each
     score come from :func:`prefix_sums`, so no class is sorted in one task.
     """
     spark = df.sparkSession
     classes = _class_list(df, [label])
-    width_row = df.agg(F.min(F.size(probs)).alias("lo"), F.max(F.size(probs)).alias("hi")).first()
+    width_row = df.agg(F.min(F.size(probs)).alias("lo"), F.max(F.size(probs)).alias("hi"),
+                       F.max(F.exists(probs, F.isnan)).alias("nan")).first()
     k = len(classes)
-    if k < 2 or width_row["lo"] != width_row["hi"] or width_row["hi"] != k:
+    if k < 2 or width_row["lo"] != width_row["hi"] or width_row["hi"] != k or width_row["nan"]:
         return spark.createDataFrame([(None,)], "auc double")
     cls_arr = F.array(*[F.lit(c) for c in classes])
     x = df.select(F.col(label).alias("_y"), F.posexplode(probs).alias("_j", "_s"))
@@ -185,9 +186,14 @@ def log_loss(df: DataFrame, weights: DataFrame | None = None, label: str = "labe
              probs: str = "probs") -> DataFrame:
     """One row ``(loss)``: class-weighted mean of ``-ln p[label]``, i.e.
     ``sum(w_y * -ln p_y) / sum(w_y)`` over all rows. ``weights`` is
-    ``(label, weight)`` (class-sized); without it every weight is 1."""
-    d = df.select(F.col(label).alias("_y"),
-                  (-F.ln(F.element_at(F.col(probs), F.col(label) + 1))).alias("_nll"))
+    ``(label, weight)`` (class-sized); without it every weight is 1.
+    A probability of 0 for the row's class makes the loss infinite. Rows
+    whose label is null, negative (an unknown class) or beyond the
+    probabilities are left out of both sums."""
+    known = F.col(label).isNotNull() & (F.col(label) >= 0) & (F.col(label) < F.size(probs))
+    p = F.get(F.col(probs), F.col(label).cast("int"))
+    d = df.where(known).select(F.col(label).alias("_y"), F.when(p > 0, -F.ln(p)).otherwise(
+        F.when(p.isNotNull(), F.lit(float("inf")))).alias("_nll"))
     if weights is not None:
         w = weights.select(F.col("label").alias("_wl"), F.col("weight").alias("_w"))
         d = d.join(w, d["_y"] == w["_wl"], "left").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
