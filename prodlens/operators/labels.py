@@ -15,9 +15,20 @@ from pyspark.sql import functions as F
 
 from prodlens.operators.ranking import hash_order, hex_bucket, key_bucket, row_numbers
 
-# Above this many categories the label map is joined instead of being
-# inlined into the plan as a literal map.
-MAX_INLINE_CLASSES = 20_000
+# A class-sized frame up to this size is broadcast; a larger one is joined
+# as it is and Spark picks the join.
+MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def class_table(small: DataFrame) -> DataFrame:
+    """``small`` (one or two rows per class) computed once and marked for
+    broadcast if it has at most ``MAX_BROADCAST_BYTES``, else unchanged.
+    Its rows are the same either way."""
+    t = small.limit(MAX_BROADCAST_ROWS + 1).toArrow()
+    if t.num_rows > MAX_BROADCAST_ROWS or t.nbytes > MAX_BROADCAST_BYTES:
+        return small
+    return F.broadcast(small.sparkSession.createDataFrame(t, small.schema))
 
 
 def category_map(df: DataFrame, col: str = "category") -> DataFrame:
@@ -34,24 +45,19 @@ def encode_labels(df: DataFrame, col: str = "category", out: str = "label",
     """Add the integer code of ``col`` in the sorted category map; null (or
     a value missing from ``cmap``) gives -1.
 
-    The map is class-sized. It is pulled once (at most
-    ``MAX_INLINE_CLASSES + 1`` rows) and inlined as a literal map, so
-    encoding is a projection without a shuffle; a larger map falls back to
-    a left join that AQE can broadcast or shuffle by size.
+    A left join with the map as a :func:`class_table`. A category that
+    ``cmap`` holds twice is an error.
     """
-    cmap = category_map(df, col) if cmap is None else cmap
-    rows = cmap.limit(MAX_INLINE_CLASSES + 1).collect()
-    if len(rows) <= MAX_INLINE_CLASSES:
-        if not rows:
-            return df.withColumn(out, F.lit(-1).cast("int"))
-        m = F.create_map(*[x for r in rows for x in (F.lit(r["category"]), F.lit(int(r["label"])))])
-        return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(col)), F.lit(-1)).cast("int"))
-    m = cmap.select(F.col("category").alias("_cat"), F.col("label").alias("_lab"))
-    # null categories skip the join (they would all hash to one partition)
-    nulls = df.where(F.col(col).isNull()).withColumn(out, F.lit(-1).cast("int"))
-    j = df.where(F.col(col).isNotNull()).join(m, F.col(col) == m["_cat"], "left")
-    j = j.withColumn(out, F.coalesce(F.col("_lab"), F.lit(-1)).cast("int")).drop("_cat", "_lab")
-    return j.unionByName(nulls)
+    if cmap is None:
+        cmap = category_map(df, col)
+    else:
+        twice = (cmap.where(F.col("category").isNotNull()).groupBy("category")
+                 .agg(F.count(F.lit(1)).alias("n")).where("n > 1").first())
+        if twice:
+            raise ValueError("the category map holds %r twice" % twice["category"])
+    m = class_table(cmap.select(F.col("category").alias("_cat"), F.col("label").alias("_lab")))
+    j = df.drop(out).join(m, F.col(col) == m["_cat"], "left")
+    return j.withColumn(out, F.coalesce(F.col("_lab"), F.lit(-1)).cast("int")).drop("_cat", "_lab")
 
 
 def class_distribution(df: DataFrame, col: str = "category", top_k: int | None = None) -> DataFrame:
@@ -77,9 +83,11 @@ def rare_classes(df: DataFrame, col: str = "category", min_count: int = 2) -> Da
 
 def drop_rare_classes(df: DataFrame, col: str = "category", min_count: int = 2) -> DataFrame:
     """Keep rows whose class has at least ``min_count`` rows. Null classes
-    go. A semi-join against the (class-sized) set of kept classes."""
+    go. A semi-join against the set of kept classes as a
+    :func:`class_table`."""
     ok = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k"))
           .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select("_k"))
+    ok = class_table(ok)
     return df.join(ok, df[col] == ok["_k"], "left_semi")
 
 
@@ -113,9 +121,12 @@ def split_quotas(df: DataFrame, label: str = "label", test: float | str = "0.2",
     ``ceil(val / (1 - test) * (n - test_total))``; each shared over the
     classes by largest remainder. Fractions are exact decimals.
     """
+    return _quotas(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c")), label, test, val)
+
+
+def _quotas(c: DataFrame, label: str, test: float | str, val: float | str) -> DataFrame:
     ft = Fraction(str(test))
     fv = Fraction(str(val)) / (1 - ft)
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     c = c.withColumn("_n", F.sum("n_c").over(Window.partitionBy()))
     c = c.withColumn("_T", _ceil_frac("_n", ft))
     c = _largest_remainder(c, "n_c", "_n", "_T", label, "test_c")
@@ -133,19 +144,36 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id",
 
     Rows of a class are ordered by ``md5('<seed>:<key>')`` then ``key``;
     the first ``test_c`` go to test, the next ``val_c`` to val, the rest to
-    train. Row numbers come from :func:`row_numbers`, so a class that holds
-    a third of all rows is still spread over many tasks. The result does
-    not depend on partitioning.
+    train. The quotas and, per class, the hash bucket in which each one ends
+    come from counts by class and bucket; only the rows of those buckets
+    are ranked. That gives two cuts per class, and the split is a
+    comparison with them: no row of ``df`` is shuffled while the cuts are
+    a broadcast :func:`class_table`. ``key`` identifies a row; rows that
+    repeat a key go to the same split.
     """
-    quotas = split_quotas(df, label, test, val).select(
-        F.col(label).alias("_q_label"), "test_c", "val_c")
-    d = df.withColumn("_h", hash_order(key, seed))
-    d = row_numbers(d, [label], ["_h", key], hex_bucket("_h"), "_rn")
-    d = d.join(quotas, d[label].eqNullSafe(quotas["_q_label"]), "left")
-    split = (F.when(F.col("_rn") <= F.col("test_c"), F.lit("test"))
-             .when(F.col("_rn") <= F.col("test_c") + F.col("val_c"), F.lit("val"))
-             .otherwise(F.lit("train")))
-    return d.withColumn(out, split).drop("_h", "_rn", "_q_label", "test_c", "val_c")
+    at = F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"))
+    d = df.select(F.col(label).alias("_l"), at.alias("_at"))
+    d = d.withColumn("_b", F.coalesce(hex_bucket(F.col("_at.h")), F.lit(-1)))
+    counts = d.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    q = _quotas(counts.groupBy("_l").agg(F.sum("_c").alias("n_c")), "_l", test, val).select(
+        F.col("_l").alias("_q"), F.col("test_c").alias("_t"),
+        (F.col("test_c") + F.col("val_c")).alias("_tv"))
+    w = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    ends = ends.join(q, ends["_l"].eqNullSafe(q["_q"]), "inner")
+    ends = ends.where(F.col("_t").between(F.col("_lo") + 1, F.col("_hi"))
+                      | F.col("_tv").between(F.col("_lo") + 1, F.col("_hi")))
+    ends = class_table(ends.select("_q", F.col("_b").alias("_qb"), "_lo", "_t", "_tv"))
+    c = d.join(ends, d["_l"].eqNullSafe(ends["_q"]) & (d["_b"] == ends["_qb"]), "inner")
+    rn = F.row_number().over(Window.partitionBy("_q", "_qb").orderBy("_at"))
+    c = c.withColumn("_rn", rn + F.col("_lo"))
+    cuts = class_table(c.groupBy("_q").agg(
+        F.max(F.when(F.col("_rn") == F.col("_t"), F.col("_at"))).alias("_cut_t"),
+        F.max(F.when(F.col("_rn") == F.col("_tv"), F.col("_at"))).alias("_cut_tv")))
+    j = df.drop(out).join(cuts, df[label].eqNullSafe(cuts["_q"]), "left")
+    split = (F.when(at <= F.col("_cut_t"), F.lit("test"))
+             .when(at <= F.col("_cut_tv"), F.lit("val")).otherwise(F.lit("train")))
+    return j.withColumn(out, split).drop("_q", "_cut_t", "_cut_tv")
 
 
 def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:

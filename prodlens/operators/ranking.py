@@ -90,27 +90,39 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence, bucket: Colum
     return out
 
 
-# Above this n a top-n / sample uses exact bucketed ranks instead of
-# ``orderBy.limit`` (whose final task merges n rows from every map task).
-TAKE_LIMIT = 10_000
+def nth_row(d: DataFrame, n: int, order: Sequence[Column], bucket: Column, keep: Column) -> DataFrame:
+    """``keep`` of the ``n``-th row of ``d`` along ``order`` (one row; none
+    when ``d`` has fewer rows).
 
-
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42,
-             take_limit: int = TAKE_LIMIT) -> DataFrame:
-    """Exactly ``min(n, count)`` rows chosen by the hash order of ``key``.
-
-    Small ``n`` uses ``orderBy(...).limit(n)`` (each task keeps its best
-    ``n``; one task merges ``n x tasks`` rows). Large ``n`` numbers rows
-    with :func:`row_numbers` and filters, so no task ever holds ``n`` rows.
+    Rows are counted per ``bucket`` (non-decreasing along ``order``), the
+    bucket where the running count passes ``n`` is found on that small
+    frame, and only the rows of that bucket are ordered.
+    """
+    d = d.withColumn("_b", bucket)
+    tot = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = (tot.withColumn("_hi", F.sum("_c").over(w))
+           .where((F.col("_hi") >= n) & (F.col("_hi") - F.col("_c") < n)))
+    at = F.lit(n) - hit.select(F.col("_hi") - F.col("_c")).scalar()
+    return (d.where(F.col("_b").eqNullSafe(hit.select("_b").scalar()) & at.isNotNull())
+            .withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+            .where(F.col("_rn") == at).select(keep.alias("_cut")))
+
+
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """``min(n, count)`` rows, the first by the hash order of ``key``.
+
+    The hash and key of the ``n``-th row are found from key-only scans
+    (:func:`nth_row`) and the rows up to it are a filter in the scan: no
+    row is shuffled, whatever ``n`` is. ``key`` identifies a row; rows that
+    repeat the last row's key are kept with it. Null keys come first.
     """
     if n <= 0:
         return df.limit(0)
-    h = hash_order(key, seed)
-    if n <= take_limit:
-        return (df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h"))
-    d = df.withColumn("_h", h)
-    ranked = row_numbers(d, [], ["_h", key], hex_bucket("_h"), "_rn")
-    return ranked.where(F.col("_rn") <= n).drop("_h", "_rn")
+    at = F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"))
+    cut = nth_row(df.select(at.alias("_at")), n, [F.col("_at")], hex_bucket(F.col("_at.h")),
+                  F.col("_at")).scalar()
+    return df.where(cut.isNull() | (at <= cut))
 
 
 def double_bucket(x, mantissa_bits: int = 12) -> Column:
@@ -122,6 +134,7 @@ def double_bucket(x, mantissa_bits: int = 12) -> Column:
     frac = a / F.pow(F.lit(2.0), e) - 1.0
     f = (e + 1100) * (1 << mantissa_bits) + F.floor(frac * (1 << mantissa_bits))
     return (F.when(c.isNull(), F.lit(None))
+            .when(F.isnan(c) | (a == float("inf")), F.signum(F.nanvl(c, F.lit(1.0))) * 2 ** 40)
             .when(c > 0, f + 1)
             .when(c < 0, -f - 1)
             .otherwise(F.lit(0)).cast("long"))
@@ -157,43 +170,65 @@ def exact_median(df: DataFrame, col: str, alias: str = "median") -> DataFrame:
     return cand.agg(((m1 + m2) / 2.0).alias(alias))
 
 
+# String ranges are cut at this many sampled values (a power of two, less one).
+RANGE_CUTS = 255
+
+
+def range_bucket(c: Column, cuts: Sequence) -> Column:
+    """Number of the sorted ``cuts`` that are <= ``c``, by binary search."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c >= F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, len(cuts)).cast("long")
+
+
 def key_bucket(df: DataFrame, key: str) -> Column:
-    """A coarse bucket monotone in ``key``'s order: exponent and leading
-    mantissa bits for numbers, the first two bytes for strings."""
-    from pyspark.sql.types import NumericType, StringType
-    t = df.schema[key].dataType
-    if isinstance(t, NumericType):
+    """A bucket that does not decrease along ``key`` (null first): exponent
+    and leading mantissa bits for numbers, and for other types ranges
+    between ``RANGE_CUTS`` values of the column, those with the smallest
+    hashes, so a prefix shared by all keys does not put them in one bucket."""
+    from pyspark.sql.types import NumericType
+    if isinstance(df.schema[key].dataType, NumericType):
         return double_bucket(F.col(key).cast("double"))
-    if isinstance(t, StringType):
-        return F.conv(F.rpad(F.substring(F.hex(key), 1, 4), 4, "0"), 16, 10).cast("long")
-    return F.lit(0).cast("long")
-
-
-def top_n(df: DataFrame, n: int, value: str, key: str, take_limit: int = TAKE_LIMIT,
-          name: str | None = None) -> DataFrame:
-    """The ``n`` rows with the largest ``value`` (ties by ``key``
-    ascending, nulls last). With ``name`` the rank is kept in that column.
-
-    Small ``n``: ``orderBy.limit`` (bounded merge). Large ``n``: exact
-    ranks in two levels, so a value shared by a large part of the rows is
-    never ranked in one task: distinct values are counted and given their
-    offsets (a hot value is one row there), then rows of the values that
-    start within the first ``n`` are ranked inside their value by key with
-    a key-monotone bucket.
+    h = F.xxhash64(key)
+    rows = (df.select(key).where(F.col(key).isNotNull()).groupBy(h.alias("_h"))
+            .agg(F.min(key).alias("_k")).orderBy("_h").limit(RANGE_CUTS).collect())
+    return F.when(F.col(key).isNotNull(), range_bucket(F.col(key), sorted(r["_k"] for r in rows)))
+
+
+def top_n(df: DataFrame, n: int, value: str, key: str) -> DataFrame:
+    """The ``n`` rows with the largest ``value`` (NaN is the largest number,
+    nulls last; ties by ``key`` ascending, null first).
+
+    Values are compared in their own type. The value of the ``n``-th row is
+    found over counted distinct values, so a value shared by a large part
+    of the rows is one row there; among the rows of that value the last key
+    is found with :func:`nth_row`. What remains is a filter in the scan.
+    ``key`` identifies a row; rows that repeat the last row's value and key
+    are kept with it.
     """
     if n <= 0:
-        out = df.limit(0)
-        return out.withColumn(name, F.lit(None).cast("long")) if name else out
-    if n <= take_limit and name is None:
-        return df.orderBy(F.col(value).desc_nulls_last(), F.col(key).asc()).limit(n)
-    d = df.withColumn("_neg", -F.col(value).cast("double"))
-    vc = d.groupBy("_neg").agg(F.count(F.lit(1)).alias("_c"))
-    vbkt = F.coalesce(double_bucket("_neg"), F.lit(2 ** 62))
-    vc = prefix_sums(vc, [], [F.col("_neg").asc_nulls_last()], vbkt, {"_off": F.col("_c")})
-    starts = vc.where(F.col("_off") < n).select(F.col("_neg").alias("_v"), "_off")
-    cand = d.join(starts, d["_neg"].eqNullSafe(starts["_v"]), "inner").drop("_v")
-    cand = prefix_sums(cand, ["_neg"], [F.col(key).asc()], key_bucket(cand, key),
-                       {"_r": F.lit(1).cast("long")}, inclusive=True)
-    out = cand.withColumn("_rank", F.col("_off") + F.col("_r")).where(F.col("_rank") <= n)
-    out = out.drop("_neg", "_off", "_r")
-    return out.withColumnRenamed("_rank", name) if name else out.drop("_rank")
+        return df.limit(0)
+    v, k = F.col(value), F.col(key)
+    down = v.desc_nulls_last()
+    d = df.select(v, k) if value != key else df.select(v)
+    vc = d.groupBy(v).agg(F.count(F.lit(1)).alias("_c"))
+    bkt = F.coalesce(-key_bucket(d, value), F.lit(2 ** 62))
+    vc = prefix_sums(vc, [], [down], bkt, {"_off": F.col("_c")})
+    hit = vc.where((F.col("_off") < n) & (F.col("_off") + F.col("_c") >= n))
+    last = hit.select(F.struct(v.alias("v"), (F.lit(n) - F.col("_off")).alias("r")).alias("_s")).scalar()
+    ties = d.where(v.eqNullSafe(last["v"]) & last.isNotNull())
+    # rows of the last value along the key: their position is a subquery
+    tot = ties.groupBy(key_bucket(d, key).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    tot = tot.withColumn("_hi", F.sum("_c").over(w))
+    tot = tot.where((F.col("_hi") >= last["r"]) & (F.col("_hi") - F.col("_c") < last["r"]))
+    b = tot.select(F.struct(F.col("_b").alias("b"), (last["r"] - F.col("_hi") + F.col("_c")).alias("r"))).scalar()
+    cut = (ties.withColumn("_b", key_bucket(d, key)).where(F.col("_b").eqNullSafe(b["b"]))
+           .withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(k.asc())))
+           .where(F.col("_rn") == b["r"]).select(F.struct(k.alias("k"))).scalar())
+    before = F.when(last["v"].isNull(), v.isNotNull()).otherwise(F.coalesce(v > last["v"], F.lit(False)))
+    return df.where(last.isNull() | before
+                    | (v.eqNullSafe(last["v"]) & (F.struct(k.alias("k")) <= cut)))

@@ -34,11 +34,6 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     """
     if route is None:
         route = "processed" if {"text", "category"} <= set(df.columns) else "raw"
-    # One hash exchange by key up front: identical in every branch below
-    # (category counts, split quotas, ranks, rows), so Spark reuses it and
-    # the text cleaning runs spread over tasks even when the input is not
-    # splittable (gzip, one large row group).
-    df = df.repartition(F.col(key))
     if route == "processed":
         d = df.withColumn("text", clean_text("text"))
         d = encode_labels(d, category_col)

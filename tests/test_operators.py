@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prodlens.operators import (active, coverage, features, fusion, labels, metrics, ranking,
@@ -60,16 +61,12 @@ def test_sample_and_selection_bounds(spark):
     assert ranking.sample_n(df, 5, "k").count() == 5
     assert ranking.sample_n(df, 50, "k").count() == 20
     assert ranking.sample_n(df, 0, "k").count() == 0
-    sel = [r["k"] for r in active.select_uncertain(df, 4, "k", "u").collect()]
+    sel = sorted(r["k"] for r in active.select_uncertain(df, 4, "k", "u").collect())
     assert sel == [2, 5, 8, 11]                    # equal scores: smallest keys first
     assert active.select_uncertain(df, 0, "k", "u").count() == 0
     assert active.select_uncertain(df, 100, "k", "u").count() == 20
-    big = ranking.top_n(df, 7, "u", "k", take_limit=0, name="rank")
-    assert sorted(r["k"] for r in big.collect()) == [1, 2, 5, 8, 11, 14, 17]
-    big_sample = ranking.sample_n(df, 15, "k", take_limit=0)
-    small_sample = ranking.sample_n(df, 15, "k")
-    assert sorted(r[0] for r in big_sample.select("k").collect()) == \
-        sorted(r[0] for r in small_sample.select("k").collect())
+    some, more = (ranking.sample_n(df, n, "k").collect() for n in (7, 15))
+    assert len(some) == 7 and set(some) < set(more) and len(more) == 15
 
 
 def test_exact_median(spark):
@@ -210,23 +207,83 @@ def test_coverage_report(spark):
         (3, 1, 1, 1, "partial")
 
 
-def test_top_n_large_path_with_hot_tie(spark):
+def test_top_n_with_hot_tie(spark):
     import random
     rnd = random.Random(7)
     rows = [(i, 0.5 if i % 3 == 0 else (None if i % 17 == 0 else rnd.random())) for i in range(600)]
     df = spark.createDataFrame(rows, "k long, u double")
     expect = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
-    for n in (1, 150, 250, 599, 700):
-        got = ranking.top_n(df, n, "u", "k", take_limit=0, name="rank").orderBy("rank").collect()
-        assert [r["k"] for r in got] == [r[0] for r in expect[:n]]
-        assert [r["rank"] for r in got] == list(range(1, min(n, 600) + 1))
+    for n in (1, 150, 250, 590, 599, 700):
+        got = ranking.top_n(df, n, "u", "k").collect()
+        assert sorted(r["k"] for r in got) == sorted(r[0] for r in expect[:n])
     s = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "k string, u double")
-    assert [r["k"] for r in ranking.top_n(s, 3, "u", "k", take_limit=0).collect()] != []
-    assert sorted(r["k"] for r in ranking.top_n(s, 2, "u", "k", take_limit=0).collect()) == ["a", "c"]
+    assert sorted(r["k"] for r in ranking.top_n(s, 2, "u", "k").collect()) == ["a", "c"]
+    assert ranking.top_n(s.limit(0), 2, "u", "k").count() == 0
+
+
+def test_top_n_compares_in_the_own_type(spark):
+    longs = spark.createDataFrame([(1, 2 ** 53), (2, 2 ** 53 + 1), (3, -5)], "k long, u long")
+    assert [r["k"] for r in ranking.top_n(longs, 1, "u", "k").collect()] == [2]
+    x = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, None), (4, -1.0), (5, float("-inf"))],
+                              "k long, u double")
+    for n, want in enumerate([[1], [1, 2], [1, 2, 4], [1, 2, 4, 5], [1, 2, 3, 4, 5]], 1):
+        assert sorted(r["k"] for r in ranking.top_n(x, n, "u", "k").collect()) == want
+    words = spark.createDataFrame([(i, "B0%05d" % (i * 7919 % 3000)) for i in range(3000)], "k long, u string")
+    got = ranking.top_n(words, 1234, "u", "k").collect()
+    assert sorted(r["u"] for r in got) == ["B0%05d" % i for i in range(3000 - 1234, 3000)]
+
+
+def test_key_bucket_spreads_shared_prefixes(spark):
+    df = spark.createDataFrame([("B0%06d" % i,) for i in range(5000)] + [("A",), (None,)], "k string")
+    rows = df.select("k", ranking.key_bucket(df, "k").alias("b")).where("k is not null").orderBy("k").collect()
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+    assert len({r["b"] for r in rows}) > 200
+
+
+def _text_exchanges(df) -> int:
+    """Shuffles of the executed plan whose rows hold the column ``text``."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    found, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.finalPhysicalPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if kind == "ShuffleExchangeExec":
+            out = node.output()
+            found += any(out.apply(i).name() == "text" for i in range(out.size()))
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
+def test_prepare_and_sample_shuffle_no_text(spark):
+    from prodlens.plans import jobs
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("lang", "category")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        assert _text_exchanges(docs.repartition(3, "doc_id")) == 1      # the probe sees one
+        assert _text_exchanges(jobs.prepare(docs)) == 0
+        assert _text_exchanges(ranking.sample_n(docs, 50, "doc_id")) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_encode_labels_join_fallback(spark, monkeypatch):
-    monkeypatch.setattr(labels, "MAX_INLINE_CLASSES", 1)
+    monkeypatch.setattr(labels, "MAX_BROADCAST_ROWS", 1)
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, category string")
     got = dict(labels.encode_labels(df).select("id", "label").collect())
     assert got == {1: 1, 2: 0, 3: -1}
+
+
+def test_encode_labels_rejects_repeated_categories(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "b")], "id int, category string")
+    cmap = spark.createDataFrame([("b", 0), ("b", 1)], "category string, label int")
+    for rows in (labels.MAX_BROADCAST_ROWS, 1):
+        monkeypatch.setattr(labels, "MAX_BROADCAST_ROWS", rows)
+        with pytest.raises(ValueError):
+            labels.encode_labels(df, cmap=cmap)
