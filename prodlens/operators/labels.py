@@ -81,11 +81,13 @@ def rare_classes(df: DataFrame, col: str = "category", min_count: int = 2) -> Da
             .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_count))
 
 
-def drop_rare_classes(df: DataFrame, col: str = "category", min_count: int = 2) -> DataFrame:
+def drop_rare_classes(df: DataFrame, col: str = "category", min_count: int = 2,
+                      keys: DataFrame | None = None) -> DataFrame:
     """Keep rows whose class has at least ``min_count`` rows. Null classes
     go. A semi-join against the set of kept classes as a
-    :func:`class_table`."""
-    ok = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k"))
+    :func:`class_table`. ``keys`` may hold the same rows with fewer columns,
+    for a ``df`` that is costly to scan; the counts come from it."""
+    ok = ((df if keys is None else keys).where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k"))
           .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select("_k"))
     ok = class_table(ok)
     return df.join(ok, df[col] == ok["_k"], "left_semi")
@@ -139,7 +141,7 @@ def _quotas(c: DataFrame, label: str, test: float | str, val: float | str) -> Da
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id",
                      test: float | str = "0.2", val: float | str = "0.1", seed: int = 42,
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", keys: DataFrame | None = None) -> DataFrame:
     """Add ``split`` in {'train', 'val', 'test'}.
 
     Rows of a class are ordered by ``md5('<seed>:<key>')`` then ``key``;
@@ -149,10 +151,12 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id",
     are ranked. That gives two cuts per class, and the split is a
     comparison with them: no row of ``df`` is shuffled while the cuts are
     a broadcast :func:`class_table`. ``key`` identifies a row; rows that
-    repeat a key go to the same split.
+    repeat a key go to the same split. ``keys`` may hold the same rows with
+    ``key`` and ``label`` only, for a ``df`` that is costly to scan; the
+    cuts come from it.
     """
     at = F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"))
-    d = df.select(F.col(label).alias("_l"), at.alias("_at"))
+    d = (df if keys is None else keys).select(F.col(label).alias("_l"), at.alias("_at"))
     d = d.withColumn("_b", F.coalesce(hex_bucket(F.col("_at.h")), F.lit(-1)))
     counts = d.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_c"))
     q = _quotas(counts.groupBy("_l").agg(F.sum("_c").alias("n_c")), "_l", test, val).select(

@@ -268,15 +268,14 @@ def q_prepare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str, materialize: bool = False) -> DataFrame:
-    """The prepared documents. Lazy for single queries (Spark reuses the
-    exchanges of ``prepare`` inside one plan; measured faster at sf0.1);
-    written once as a table for jobs that fit many models on it."""
+    """The prepared documents; written once as a table for jobs that read
+    the text several times."""
     return jobs.prepare(si.documents(spark, sf).select("doc_id", "text", "category"), key="doc_id",
                         route="processed", materialize=materialize)
 
 
 def _tfidf_model(spark: SparkSession, sf: str):
-    prep = _prepared(spark, sf)
+    prep = _prepared(spark, sf, materialize=True)
     model = features.fit_tfidf(prep.where(F.col("split") == "train"), "doc_id", "text")
     return prep, model
 
@@ -458,9 +457,7 @@ def q_parse_jsonl(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- models (rows-only checks)
 def q_run_baselines(spark: SparkSession, sf: str) -> DataFrame:
-    # Solver iterations capped at 50 for this check query (each L-BFGS /
-    # OWL-QN iteration is a Spark job); the library default is 1000.
-    return jobs.run_baselines(_prepared(spark, sf, materialize=True), "doc_id", "text", max_iter=50)
+    return jobs.run_baselines(_prepared(spark, sf, materialize=True), "doc_id", "text")
 
 
 def q_active_learning(spark: SparkSession, sf: str) -> DataFrame:
@@ -480,7 +477,7 @@ def q_run_classifier(spark: SparkSession, sf: str) -> DataFrame:
     from prodlens.operators import models
     prep = _prepared(spark, sf, materialize=True)
     vec = models.embed(prep.select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
-    return jobs.run_classifier(prep, vec, "doc_id", "embedding", hidden=32, max_iter=20)
+    return jobs.run_classifier(prep, vec, "doc_id", "embedding")
 
 
 def q_pca_2d(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,14 +26,19 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     than ``min_count`` rows (and null classes) are dropped, then the rows
     are split 70/10/20 per label.
 
-    ``materialize`` writes the result once as a parquet table under
-    ``spark.checkpoint.dir`` and reads it back (lineage cut, survives
-    executor loss, columnar reads): use it when several passes follow
-    (TF-IDF fit and transform, model fits), so the cleaning and split are
-    not recomputed by every pass.
+    The cut values of the split come from a table of keys, classes and
+    labels of the kept rows, written once under ``spark.checkpoint.dir``, so
+    the text is cleaned for that table and for the result and never
+    shuffled. ``materialize`` writes the cleaned rows there instead and
+    reads everything from them (lineage cut, survives executor loss,
+    columnar reads): use it when several passes follow (TF-IDF fit and
+    transform, model fits), the text is then cleaned once. Rows are spread
+    by key before that, so the table's files are of even size.
     """
     if route is None:
         route = "processed" if {"text", "category"} <= set(df.columns) else "raw"
+    if materialize:
+        df = df.repartition(F.col(key))
     if route == "processed":
         d = df.withColumn("text", clean_text("text"))
         d = encode_labels(d, category_col)
@@ -46,9 +51,12 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
         d = encode_labels(d, category_col)
     else:
         raise ValueError("Unknown route: %s" % route)
-    d = drop_rare_classes(d, category_col, min_count)
-    out = stratified_split(d, "label", key, test=test, val=val, seed=seed)
-    return write_table(out) if materialize else out
+    if materialize:
+        d = keys = write_table(d)
+    else:
+        keys = write_table(d.select(*{key: 0, category_col: 0, "label": 0}))
+    d, keys = (drop_rare_classes(x, category_col, min_count, keys) for x in (d, keys))
+    return stratified_split(d, "label", key, test=test, val=val, seed=seed, keys=keys)
 
 
 def split_frames(prepared: DataFrame, split: str = "split"):
