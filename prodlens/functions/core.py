@@ -8,10 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def col_of(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
 

@@ -80,29 +80,34 @@ def al_loop(labelled: DataFrame, pool: DataFrame, val: DataFrame, key: str,
 
     Returns ``(history, labelled, pool)``; history has ``iteration,
     n_samples_added, train_size, unlabeled_size, strategy, val_f1,
-    seconds``. Labelled and pool are written every round as parquet tables
-    under ``spark.checkpoint.dir`` and read back, so lineage does not grow
-    and a lost executor does not replay earlier rounds.
+    seconds``. The two start tables are written once under
+    ``spark.checkpoint.dir``; a round writes only its ``n`` selected keys
+    there and scores the pool once. Labelled set and pool are the start
+    tables joined with the keys selected so far (``n`` keys a round), so
+    lineage does not grow and a lost executor does not replay earlier rounds.
     """
     spark = labelled.sparkSession
     rows = []
-    labelled, pool = write_table(labelled), write_table(pool)
+    start, start_pool = labelled, pool = write_table(labelled), write_table(pool)
+    train_size, pool_size = start.count(), start_pool.count()
+    picked: DataFrame | None = None
     model = fit(labelled)
     for it in range(1, iterations + 1):
         t0 = time.time()
-        pool_size = pool.count()
         if pool_size == 0:
             break
         if strategy == "random":
             sel = select_random(pool, n, key, seed=it)
         else:
             sel = select_samples(score(model, pool), n, key, strategy)
-        labelled, pool = move_selected(labelled, pool, sel.select(key), key)
-        labelled, pool = write_table(labelled), write_table(pool)
+        sel = write_table(sel.select(key))
+        added = sel.count()
+        picked = sel if picked is None else picked.unionByName(sel)
+        labelled, pool = move_selected(start, start_pool, picked, key)
+        train_size, pool_size = train_size + added, pool_size - added
         model = fit(labelled)
         f1 = float(evaluate(model, val))
-        rows.append((it, min(n, pool_size) if n > 0 else 0, labelled.count(), pool.count(),
-                     strategy, f1, time.time() - t0))
+        rows.append((it, added, train_size, pool_size, strategy, f1, time.time() - t0))
     hist = spark.createDataFrame(rows, "iteration int, n_samples_added int, train_size long, "
                                        "unlabeled_size long, strategy string, val_f1 double, "
                                        "seconds double")

@@ -3,13 +3,14 @@
 Input: a predictions frame with integer ``label`` and ``prediction``
 (and ``probs array<double>`` for AUC / log loss). The data-sized work is
 one ``groupBy(label, prediction).count()`` (map-side combined); everything
-after it runs on that class-sized count frame.
+after it runs on class-sized frames.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prodlens.operators.ranking import prefix_sums, unit_bucket
 
@@ -34,24 +35,24 @@ def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "pre
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _class_stats(cc: DataFrame) -> DataFrame:
+def _class_stats(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """``(class, tp, support, predicted)`` over the union of true and
-    predicted classes (class-sized)."""
-    sup = cc.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("support"))
-    prd = cc.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = cc.where(F.col("label") == F.col("prediction")).select(
-        F.col("label").alias("class"), F.col("n").alias("tp"))
-    classes = sup.select("class").union(prd.select("class")).distinct()
-    return (classes.join(sup, "class", "left").join(prd, "class", "left").join(tp, "class", "left")
-            .select("class", F.coalesce("tp", F.lit(0)).alias("tp"),
-                    F.coalesce("support", F.lit(0)).alias("support"),
-                    F.coalesce("predicted", F.lit(0)).alias("predicted")))
+    predicted classes: every row counts once for its label and once for its
+    prediction, in one aggregation by class with partial counts per task.
+    A null label or prediction counts for no class."""
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    hit = F.when(F.col(label) == F.col(prediction), one).otherwise(no)
+    x = df.select(F.inline(F.array(
+        F.struct(F.col(label).alias("class"), hit.alias("tp"), one.alias("support"), no.alias("predicted")),
+        F.struct(F.col(prediction).alias("class"), no.alias("tp"), no.alias("support"), one.alias("predicted")))))
+    return (x.where(F.col("class").isNotNull()).groupBy("class")
+            .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
 
 
 def per_class_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``(class, precision, recall, f1, support)`` for every class seen as a
     label or a prediction; undefined ratios are 0."""
-    s = _class_stats(confusion_counts(df, label, prediction))
+    s = _class_stats(df, label, prediction)
     return s.select(
         "class",
         _div0(F.col("tp"), F.col("predicted")).alias("precision"),
@@ -64,7 +65,7 @@ def metrics(df: DataFrame, average: str = "weighted", label: str = "label",
             prediction: str = "prediction") -> DataFrame:
     """One row ``(accuracy, precision, recall, f1, n)``; ``average`` is
     'weighted' (by support), 'macro' or 'micro'."""
-    s = _class_stats(confusion_counts(df, label, prediction))
+    s = _class_stats(df, label, prediction)
     p = _div0(F.col("tp"), F.col("predicted"))
     r = _div0(F.col("tp"), F.col("support"))
     f = _div0(2 * F.col("tp"), F.col("support") + F.col("predicted"))
@@ -97,14 +98,16 @@ def confusion_matrix(df: DataFrame, normalize: bool = False, label: str = "label
                      prediction: str = "prediction") -> DataFrame:
     """Dense long matrix ``(label, prediction, n)`` over every pair of
     classes seen as label or prediction. With ``normalize`` the value is
-    the row share ``n / sum(n) over label`` (null for an empty row)."""
+    the row share ``n / sum(n) over label`` (null for an empty row).
+    Classes are numbers or strings."""
     cc = confusion_counts(df, label, prediction)
     classes = _class_list(cc, ["label", "prediction"])
     if len(classes) > MAX_DENSE_CLASSES:
         raise ValueError("%d classes: a dense matrix has %d cells; use confusion_counts"
                          % (len(classes), len(classes) ** 2))
-    grid = cc.sparkSession.createDataFrame([(c,) for c in classes], "label int") \
-        .withColumn("prediction", F.explode(F.array(*[F.lit(c) for c in classes])))
+    kind = T.StructType([T.StructField("label", cc.schema["label"].dataType)])
+    grid = cc.sparkSession.createDataFrame([(c,) for c in classes], kind) \
+        .withColumn("prediction", F.explode(F.array(*[F.lit(c) for c in classes]).cast(T.ArrayType(kind[0].dataType))))
     m = grid.join(cc, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     if normalize:
@@ -118,7 +121,8 @@ def classification_report(df: DataFrame, names: DataFrame | None = None, label:
     """Per-class rows then 'accuracy', 'macro avg', 'weighted avg';
     columns ``(class, precision, recall, f1, support)`` rounded to
     ``digits``. ``names`` (``label int, category string``) names the
-    classes; otherwise the class code is used."""
+    classes; otherwise the class code is used. Without rows the report is
+    empty."""
     pc = per_class_metrics(df, label, prediction)
     if names is not None:
         nm = names.select(F.col("label").alias("_cl"), F.col("category").alias("_name"))
@@ -126,23 +130,24 @@ def classification_report(df: DataFrame, names: DataFrame | None = None, label:
             "_cname", F.coalesce(F.col("_name"), F.col("class").cast("string")))
     else:
         pc = pc.withColumn("_cname", F.col("class").cast("string"))
-    rows = pc.select(F.col("_cname").alias("class"), "precision", "recall", "f1", "support",
-                     F.col("class").cast("int").alias("_ord"))
+    # one grouping set per class and one over all classes
     tot = F.sum("support")
-    acc = pc.agg(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 _div0(F.sum(F.col("recall") * F.col("support")), tot).alias("f1"),
-                 tot.cast("long").alias("support"), F.lit(2_000_000_001).alias("_ord"))
-    mac = pc.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-                 F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                 tot.cast("long").alias("support"), F.lit(2_000_000_002).alias("_ord"))
-    wavg = pc.agg(F.lit("weighted avg").alias("class"),
-                  *[_div0(F.sum(F.col(m) * F.col("support")), tot).alias(m)
-                    for m in ("precision", "recall", "f1")],
-                  tot.cast("long").alias("support"), F.lit(2_000_000_003).alias("_ord"))
-    rep = rows.unionByName(acc).unionByName(mac).unionByName(wavg)
-    return rep.select("class", *[F.round(m, digits).alias(m) for m in ("precision", "recall", "f1")],
-                      "support", "_ord").orderBy("_ord").drop("_ord")
+    ms = ("precision", "recall", "f1")
+    t = pc.rollup("class").agg(
+        F.grouping("class").alias("_all"), F.max("_cname").alias("_cname"), tot.cast("long").alias("support"),
+        *[F.avg(m).alias(m) for m in ms],
+        *[_div0(F.sum(F.col(m) * F.col("support")), tot).alias("_w_" + m) for m in ms])
+
+    def row(name: Column, cols: list[Column], order: int) -> Column:
+        return F.struct(name.alias("class"), *[F.round(c, digits).alias(m) for m, c in zip(ms, cols)],
+                        F.col("support").alias("support"), F.lit(order).alias("_ord"), F.col("class").alias("_cl"))
+
+    none = F.lit(None).cast("double")
+    plain, weighted = [F.col(m) for m in ms], [F.col("_w_" + m) for m in ms]
+    rep = t.select(F.inline(F.when(F.col("_all") == 0, F.array(row(F.col("_cname"), plain, 0))).otherwise(F.array(
+        row(F.lit("accuracy"), [none, none, F.col("_w_recall")], 1), row(F.lit("macro avg"), plain, 2),
+        row(F.lit("weighted avg"), weighted, 3)))))
+    return rep.orderBy("_ord", "_cl").drop("_ord", "_cl")
 
 
 def auc(df: DataFrame, label: str = "label", probs: str = "probs", average: str = "weighted") -> DataFrame:
@@ -194,12 +199,14 @@ def log_loss(df: DataFrame, weights: DataFrame | None = None, label: str = "labe
     p = F.get(F.col(probs), F.col(label).cast("int"))
     d = df.where(known).select(F.col(label).alias("_y"), F.when(p > 0, -F.ln(p)).otherwise(
         F.when(p.isNotNull(), F.lit(float("inf")))).alias("_nll"))
+    # one row per class before the weights come in: no join sees a hot label
+    d = d.groupBy("_y").agg(F.sum("_nll").alias("_nll"), F.count(F.lit(1)).alias("_n"))
     if weights is not None:
         w = weights.select(F.col("label").alias("_wl"), F.col("weight").alias("_w"))
         d = d.join(w, d["_y"] == w["_wl"], "left").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
     else:
         d = d.withColumn("_w", F.lit(1.0))
-    return d.agg((F.sum(F.col("_w") * F.col("_nll")) / F.sum("_w")).alias("loss"))
+    return d.agg((F.sum(F.col("_w") * F.col("_nll")) / F.sum(F.col("_w") * F.col("_n"))).alias("loss"))
 
 
 def compare_models(results: DataFrame, metric: str = "f1", by: list[str] | None = None,

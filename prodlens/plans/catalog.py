@@ -127,6 +127,11 @@ def q_build_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("review_id", "text", "category", "parent_asin", _r("rating"), "image_url")
 
 
+def q_build_dataset_full(spark: SparkSession, sf: str) -> DataFrame:
+    d = assemble.build_dataset(si.reviews(spark, sf), si.products(spark, sf), key="review_id")
+    return d.select("review_id", "text", "category", "parent_asin", _r("rating"), "image_url")
+
+
 def q_build_training_table(spark: SparkSession, sf: str) -> DataFrame:
     d = assemble.build_training_table(si.reviews(spark, sf), si.products_by_size(spark, sf),
                                       image_dir="data/images", k=5, key="review_id")
@@ -224,6 +229,11 @@ def q_f1_bands(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("class", _r("f1"), "band")
 
 
+def q_top_classes_by_f1(spark: SparkSession, sf: str) -> DataFrame:
+    m = metrics.top_classes(metrics.per_class_metrics(si.predictions(spark, sf)), "f1", k=5)
+    return m.select("class", _r("f1"), "support")
+
+
 def q_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion_matrix(si.predictions(spark, sf))
 
@@ -267,6 +277,12 @@ def q_prepare(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "text", "label", "split")
 
 
+def q_prepare_raw(spark: SparkSession, sf: str) -> DataFrame:
+    d = si.documents(spark, sf).select("doc_id", "text", "source", "category")
+    d = jobs.prepare(d, key="doc_id", description_col="source", route="raw")
+    return d.select("doc_id", "text", "label", "split")
+
+
 def _prepared(spark: SparkSession, sf: str, materialize: bool = False) -> DataFrame:
     """The prepared documents; written once as a table for jobs that read
     the text several times."""
@@ -293,12 +309,12 @@ def q_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return features.build_vocab(_clean_docs(spark, sf), "text", size=2000)
+    return features.build_vocab(_clean_docs(spark, sf), "text")
 
 
 def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
     d = si.table(spark, sf, "documents").select("doc_id", "text")
-    v = features.build_vocab(d, "text", size=2000, clean=True)
+    v = features.build_vocab(d, "text", clean=True)
     e = features.encode_fixed(d, v, "doc_id", "text", max_len=128, clean=True)
     return e.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
@@ -342,6 +358,12 @@ def _selection(strategy: str):
     return q
 
 
+def q_select_uncertain_large(spark: SparkSession, sf: str) -> DataFrame:
+    r = si.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_discount").alias("uncertainty"))
+    return active.select_uncertain(r, 30_000, "key").select("key", _r("uncertainty"))
+
+
 def q_select_random(spark: SparkSession, sf: str) -> DataFrame:
     return active.select_random(si.predictions(spark, sf), 50, "key", seed=42).select("key")
 
@@ -401,12 +423,19 @@ def q_selection_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- fusion
 def _emb_pair(spark: SparkSession, sf: str):
+    """Text vectors of 64 and image vectors of 32 numbers; items of label 3
+    have no image."""
     e = si.table(spark, sf, "embeddings")
     text_emb = e.select("vec_id", F.col("embedding").alias("text_emb"))
-    image_emb = e.select("vec_id", F.reverse("embedding").alias("image_emb"))
+    image_emb = e.where("label <> 3").select("vec_id", F.transform(
+        F.slice("embedding", 1, 32), lambda x: x.cast("double") * x.cast("double")).alias("image_emb"))
     return text_emb, image_emb
 
 
+def _elements(f: DataFrame) -> DataFrame:
+    return f.select("vec_id", F.posexplode("fused").alias("j", "value")).select("vec_id", "j", _r("value"))
+
+
 def _matrix(spark: SparkSession, d_in: int, d_out: int, a: int, b: int, fn) -> DataFrame:
     """A fixed projection matrix ``w[i][j] = fn(i * a + j * b) / 8``."""
     r = spark.range(d_in * d_out)
@@ -416,19 +445,14 @@ def _matrix(spark: SparkSession, d_in: int, d_out: int, a: int, b: int, fn) -> D
 
 def q_fuse_concat(spark: SparkSession, sf: str) -> DataFrame:
     t, i = _emb_pair(spark, sf)
-    f = fusion.fuse_concat(t, i, "vec_id", image_dim=64)
-    return f.select("vec_id", F.size("fused").alias("dim"),
-                    _r(F.aggregate("fused", F.lit(0.0), lambda a, x: a + x), "total"),
-                    _r(F.aggregate("fused", F.lit(0.0), lambda a, x: a + x * x), "sq_total"))
+    return _elements(fusion.fuse_concat(t, i, "vec_id", image_dim=32))
 
 
 def q_fuse_add(spark: SparkSession, sf: str) -> DataFrame:
     t, i = _emb_pair(spark, sf)
     wt = _matrix(spark, 64, 8, 7, 3, F.sin)
-    wi = _matrix(spark, 64, 8, 5, 11, F.cos)
-    f = fusion.fuse_add(t, i, "vec_id", wt, wi, dim=8)
-    return f.select("vec_id", F.posexplode("fused").alias("j", "value")).select(
-        "vec_id", F.col("j").cast("int").alias("j"), _r("value"))
+    wi = _matrix(spark, 32, 8, 5, 11, F.cos)
+    return _elements(fusion.fuse_add(t, i, "vec_id", wt, wi, dim=8))
 
 
 # ---------------------------------------------------------------- coverage
@@ -537,7 +561,11 @@ QUERIES = {
     "join_products": q_join_products,
     "latest_per_key": q_latest_per_key,
     "build_dataset": q_build_dataset,
+    "build_dataset_full": q_build_dataset_full,
     "build_training_table": q_build_training_table,
+    "prepare_raw": q_prepare_raw,
+    "top_classes_by_f1": q_top_classes_by_f1,
+    "select_uncertain_large": q_select_uncertain_large,
     "category_map": q_category_map,
     "encode_labels": q_encode_labels,
     "class_distribution": q_class_distribution,

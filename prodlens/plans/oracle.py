@@ -181,7 +181,7 @@ LATEST = """latest AS (
                  FROM reviews WHERE parent_asin IS NOT NULL) WHERE rn <= 5)"""
 SQL["latest_per_key"] = _w(REVIEWS, LATEST) + "SELECT review_id, parent_asin, timestamp FROM latest"
 
-SQL["build_dataset"] = _w(REVIEWS, PRODUCTS, """
+SQL["build_dataset_full"] = _w(REVIEWS, PRODUCTS, """
 r AS (SELECT review_id, parent_asin, rating,
              %s AS review_text FROM reviews)""" % strip("coalesce(title, '') || ' ' || coalesce(text, '')"),
     """p AS (SELECT parent_asin, coalesce(title, '') AS product_title,
@@ -191,8 +191,8 @@ r AS (SELECT review_id, parent_asin, rating,
              FROM r JOIN p ON r.parent_asin = p.parent_asin)""" % strip(
         "p.product_title || ' ' || p.product_description || ' ' || r.review_text")) + """
 SELECT review_id, text, category, parent_asin, round(rating, 6) AS rating, image_url
-FROM j WHERE length(text) > 10
-ORDER BY md5('42:' || review_id::varchar), review_id LIMIT 10000"""
+FROM j WHERE length(text) > 10"""
+SQL["build_dataset"] = SQL["build_dataset_full"] + "\nORDER BY md5('42:' || review_id::varchar), review_id LIMIT 10000"
 
 SQL["build_training_table"] = _w(REVIEWS, PRODUCTS_B, LATEST, """
 r AS (SELECT review_id, parent_asin, title AS title_review, rating, verified_purchase, helpful_vote,
@@ -270,6 +270,8 @@ SQL["f1_bands"] = _w(PREDS, STATS) + """
 SELECT class, round(f1, 6) AS f1,
        CASE WHEN f1 < 0.5 THEN 'low' WHEN f1 < 0.7 THEN 'medium' ELSE 'high' END AS band
 FROM pc"""
+SQL["top_classes_by_f1"] = _w(PREDS, STATS) + """
+SELECT class, round(f1, 6) AS f1, support::bigint AS support FROM pc ORDER BY pc.f1 DESC, class LIMIT 5"""
 CONF = """grid AS (SELECT a.class AS label, b.class AS prediction FROM cls a, cls b),
 conf AS (SELECT g.label, g.prediction, coalesce(cc.n, 0)::bigint AS n
          FROM grid g LEFT JOIN cc ON g.label = cc.label AND g.prediction = cc.prediction)"""
@@ -290,7 +292,7 @@ SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4),
        round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
        sum(support)::bigint FROM pc"""
 SQL["auc_binary"] = """
-WITH b AS (SELECT l.toxic AS y, least(floor(d.n_chars / 2000), 20) / 20.0 AS s
+WITH b AS (SELECT l.toxic AS y, floor(d.n_chars / 2000) / (floor(d.n_chars / 2000) + 20.0) AS s
            FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 g AS (SELECT s, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS q
       FROM b GROUP BY s),
@@ -323,16 +325,26 @@ SELECT run_id, model, round(val_f1, 6) AS val_f1 FROM (
 WHERE r = 1"""
 
 # ---------------------------------------------------------------- jobs
-PREPARED = CMAP + """,
+
+
+def prepared_sql(text: str) -> str:
+    return CMAP + """,
 cleaned AS (SELECT d.doc_id, d.lang AS category, %s AS text, coalesce(m.label, -1)::integer AS label
             FROM documents d LEFT JOIN cmap m ON d.lang = m.category),
 kept AS (SELECT * FROM cleaned WHERE length(text) > 0
           AND category IN (SELECT category FROM cleaned WHERE length(text) > 0
-                           AND category IS NOT NULL GROUP BY category HAVING count(*) >= 2)),""" % clean("d.text") \
-    + split_sql("kept", "doc_id") + """,
+                           AND category IS NOT NULL GROUP BY category HAVING count(*) >= 2)),""" % text \
+        + split_sql("kept", "doc_id") + """,
 prepared AS (SELECT doc_id, text, label, split FROM split)"""
 
+
+PREPARED = prepared_sql(clean("d.text"))
 SQL["prepare"] = _w(PREPARED) + "SELECT doc_id, text, label, split FROM prepared"
+SQL["prepare_raw"] = (_w(prepared_sql("%s || ' ' || %s" % (clean("d.text"), clean("d.source"))))
+                      + "SELECT doc_id, text, label, split FROM prepared")
+SQL["select_uncertain_large"] = """
+SELECT l_orderkey * 10 + l_linenumber AS key, round(l_discount, 6) AS uncertainty FROM lineitem
+ORDER BY l_discount DESC, key LIMIT 30000"""
 
 
 def tokens_sql(text: str) -> str:
@@ -365,7 +377,7 @@ SELECT doc_id, len(tok)::integer AS n_tokens, len(terms)::integer AS n_terms,
        md5(array_to_string(terms, '|')) AS terms_md5 FROM grams"""
 
 VOCAB_IDS = """wc AS (SELECT term, count(*) AS n FROM (SELECT unnest(%s) AS term FROM cdocs)
-                GROUP BY term ORDER BY n DESC, term LIMIT 2000),
+                GROUP BY term ORDER BY n DESC, term LIMIT 30000),
 vocab_ids AS (SELECT term, (row_number() OVER (ORDER BY n DESC, term) + 3)::integer AS id, n FROM wc)""" % (
     tokens_sql("text"))
 
@@ -475,23 +487,23 @@ SELECT round(min(uncertainty), 6) AS threshold FROM (
   ORDER BY uncertainty DESC, key LIMIT 50)"""
 
 # ---------------------------------------------------------------- fusion
-SQL["fuse_concat"] = """
-SELECT vec_id, (len(embedding) * 2)::integer AS dim,
-       round(list_sum(list_transform(embedding, lambda x: x::double)) * 2, 6) AS total,
-       round(list_sum(list_transform(embedding, lambda x: x::double * x::double)) * 2, 6) AS sq_total
-FROM embeddings"""
-SQL["fuse_add"] = """
-WITH ex AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::double AS x FROM embeddings),
-ey AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(list_reverse(embedding))::double AS x
-       FROM embeddings),
+FUSED = """ex AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::double AS x FROM embeddings),
+ey AS (SELECT vec_id, i, x * x AS x FROM ex
+       WHERE i < 32 AND vec_id IN (SELECT vec_id FROM embeddings WHERE label <> 3))"""
+SQL["fuse_concat"] = _w(FUSED) + """
+SELECT vec_id, i::integer AS j, round(x, 6) AS value FROM ex
+UNION ALL
+SELECT e.vec_id, (64 + r.range)::integer, round(coalesce(ey.x, 0.0), 6)
+FROM embeddings e CROSS JOIN range(32) r LEFT JOIN ey ON ey.vec_id = e.vec_id AND ey.i = r.range"""
+SQL["fuse_add"] = _w(FUSED, """
 wt AS (SELECT range // 8 AS i, range % 8 AS j, sin((range // 8) * 7 + (range % 8) * 3) / 8.0 AS w
-       FROM range(512)),
+       FROM range(512))""", """
 wi AS (SELECT range // 8 AS i, range % 8 AS j, cos((range // 8) * 5 + (range % 8) * 11) / 8.0 AS w
-       FROM range(512)),
-pt AS (SELECT vec_id, j, sum(x * w) AS v FROM ex JOIN wt ON ex.i = wt.i GROUP BY vec_id, j),
-pi AS (SELECT vec_id, j, sum(x * w) AS v FROM ey JOIN wi ON ey.i = wi.i GROUP BY vec_id, j)
-SELECT pt.vec_id, pt.j::integer AS j, round(pt.v + pi.v, 6) AS value
-FROM pt JOIN pi ON pt.vec_id = pi.vec_id AND pt.j = pi.j"""
+       FROM range(256))""", """
+pt AS (SELECT vec_id, j, sum(x * w) AS v FROM ex JOIN wt ON ex.i = wt.i GROUP BY vec_id, j)""", """
+pi AS (SELECT vec_id, j, sum(x * w) AS v FROM ey JOIN wi ON ey.i = wi.i GROUP BY vec_id, j)""") + """
+SELECT pt.vec_id, pt.j::integer AS j, round(pt.v + coalesce(pi.v, 0.0), 6) AS value
+FROM pt LEFT JOIN pi ON pt.vec_id = pi.vec_id AND pt.j = pi.j"""
 
 # ---------------------------------------------------------------- coverage
 DOC_STATUS = """st_docs AS (SELECT doc_id, CASE WHEN n_chars >= 100 THEN 'data/images/' || doc_id::varchar || '.jpg'

@@ -138,10 +138,12 @@ def predictions(spark: SparkSession, sf_dir: str, digits: int = 9) -> DataFrame:
 
 def binary_scores(spark: SparkSession, sf_dir: str, target: str = "toxic") -> DataFrame:
     """``(key, label, probs)`` for a binary task: ``labels.<target>``
-    against a length score ``min(n_chars div 2000, 20) / 20`` (many ties)."""
+    against a length score ``k / (k + 20)`` with ``k = n_chars div 2000``
+    (many ties)."""
     lab = table(spark, sf_dir, "labels")
     doc = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    s = (F.least(F.floor(F.col("n_chars") / 2000), F.lit(20)) / 20.0).cast("double")
+    k = F.floor(F.col("n_chars") / 2000)
+    s = (k / (k + 20.0)).cast("double")
     j = lab.join(doc, "doc_id", "inner")
     return j.select(F.col("doc_id").alias("key"), F.col(target).cast("int").alias("label"),
                     F.array(F.lit(1.0) - s, s).alias("probs"))

@@ -29,7 +29,7 @@ def local_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.memory", os.environ.get("PRODLENS_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("PRODLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -76,13 +76,6 @@ def write_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable
-    checkpoint, survives executor loss) and return the re-read frame."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cluster_conf(input_tb: float, executor_cores: int = 4,
                  target_partition_mb: int = 256) -> dict[str, str]:
     """Settings for a cluster run over ``input_tb`` terabytes of input.

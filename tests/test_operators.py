@@ -103,6 +103,31 @@ def test_metrics_against_numpy(spark):
     assert cm.agg(F.sum("n")).first()[0] == 1000 and cm.count() == 25
 
 
+def test_string_classes_and_nulls(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "c"), (None, "a"), ("b", None)],
+                               "label string, prediction string")
+    got = {(r["label"], r["prediction"]): r["n"] for r in metrics.confusion_matrix(df).collect()}
+    assert len(got) == 9 and got["a", "a"] == got["a", "b"] == got["c", "c"] == 1 and sum(got.values()) == 3
+    pc = {r["class"]: r for r in metrics.per_class_metrics(df).collect()}
+    assert set(pc) == {"a", "b", "c"}
+    assert (pc["a"]["precision"], pc["a"]["recall"], pc["a"]["support"]) == (0.5, 0.5, 2)
+    assert (pc["b"]["precision"], pc["b"]["recall"], pc["b"]["support"]) == (0.0, 0.0, 1)
+
+
+def test_report_shuffles(spark):
+    df, _, _ = _demo_predictions(spark)
+    rep = metrics.classification_report(df)
+    assert [r["class"] for r in rep.collect()] == ["0", "1", "2", "3", "4", "accuracy", "macro avg", "weighted avg"]
+    plan = rep._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") <= 3
+    assert metrics.classification_report(df.limit(0)).count() == 0
+
+
+def test_top_classes_by_f1(spark):
+    pc = spark.createDataFrame([(0, 0.5), (1, 0.9), (2, 0.5), (3, 0.1)], "class int, f1 double")
+    assert [r[0] for r in metrics.top_classes(pc, "f1", 3).collect()] == [1, 0, 2]
+
+
 def test_auc_brute_force(spark):
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 300)
@@ -195,6 +220,17 @@ def test_fusion_missing_image(spark):
     assert got == {1: [13.0], 2: [7.0]}
 
 
+def test_project_literal_and_join(spark):
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(20, 6)), rng.normal(size=(6, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(20, None)], "k long, v array<double>")
+    m = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(6) for j in range(4)], "i int, j int, w double")
+    for cells in (1000, 3):
+        got = dict(fusion.project(df, "k", "v", m, "out", max_cells=cells).collect())
+        assert got.pop(20) is None
+        assert np.allclose([got[i] for i in range(20)], x @ w)
+
+
 def test_coverage_report(spark):
     df = spark.createDataFrame([(1, None), (2, "data/images/2.jpg"), (3, "data\\images\\3.jpg")],
                                "id int, image_path string")
