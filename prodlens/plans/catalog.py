@@ -493,8 +493,7 @@ def q_active_learning(spark: SparkSession, sf: str) -> DataFrame:
 def q_embed(spark: SparkSession, sf: str) -> DataFrame:
     from prodlens.operators import models
     d = models.embed(_clean_docs(spark, sf), "text", dim=64)
-    return d.select("doc_id", F.size("embedding").alias("dim"),
-                    _r(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), "norm"))
+    return d.select("doc_id", F.posexplode("embedding").alias("j", "value")).select("doc_id", "j", _r("value"))
 
 
 def q_run_classifier(spark: SparkSession, sf: str) -> DataFrame:

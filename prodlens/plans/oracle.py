@@ -523,3 +523,17 @@ FROM status"""
 # ---------------------------------------------------------------- sources
 SQL["parse_jsonl"] = """
 SELECT event_id, try_cast(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE json_valid(props)"""
+
+# ---------------------------------------------------------------- embedding
+_M = [pow(48271, 42 + j, 2147483647) for j in range(3)]
+SQL["embed"] = _w(CLEAN_DOCS, """
+ch AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)::bigint) AS c
+       FROM cdocs WHERE length(text) >= 3)""", """
+gram AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1),
+                lambda i: (c[i] * %d + c[i + 1] * %d + c[i + 2] * %d) %% 2147483647)) AS h FROM ch)""" % tuple(_M), """
+bucket AS (SELECT doc_id, h % 64 AS j, sum(1 - 2 * (h // 64 % 2))::double AS v FROM gram GROUP BY ALL)""", """
+norm AS (SELECT doc_id, sqrt(sum(v * v)) AS z FROM bucket GROUP BY doc_id)""") + """
+SELECT d.doc_id, r.range::integer AS j,
+       round(CASE WHEN z > 0 THEN coalesce(b.v, 0.0) / z ELSE 0.0 END, 6) AS value
+FROM cdocs d CROSS JOIN range(64) r LEFT JOIN norm ON norm.doc_id = d.doc_id
+LEFT JOIN bucket b ON b.doc_id = d.doc_id AND b.j = r.range"""

@@ -48,3 +48,17 @@ def test_language_is_learnable(spark):
     counts = prep.where("split = 'test'").groupBy("label").count().collect()
     majority = max(r["count"] for r in counts) / sum(r["count"] for r in counts)
     assert res["test_acc"] > majority
+
+
+def test_embed_brute_force(spark):
+    texts = [None, "", "ab", "abc", "a naïve 😀 text", "abc" * 50]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = dict(models.embed(got, "t", dim=8).select("k", "embedding").collect())
+    m = models.hash_multipliers(3, 42)
+    for k, t in enumerate(texts):
+        want = [0.0] * 8
+        for i in range(len(t or "") - 2):
+            h = sum(ord(c) * x for c, x in zip(t[i:i + 3], m)) % models.HASH_PRIME
+            want[h % 8] += -1.0 if h // 8 % 2 else 1.0
+        z = sum(v * v for v in want) ** 0.5 or 1.0
+        assert [v / z for v in want] == pytest.approx(got[k])
