@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodlens.functions.paths import normalize_path
@@ -22,25 +22,36 @@ def list_files(spark: SparkSession, directory: str, glob: str = "*",
     return r.select("path", "length", "modificationTime")
 
 
+# scheme and authority of a path: file:, file://, hdfs://host:port, s3a://bucket
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?"
+
+
 def with_file_status(df: DataFrame, files: DataFrame, path_col: str = "image_path",
                      file_col: str = "path", out: str = "status",
-                     strip_scheme: bool = True) -> DataFrame:
+                     strip_scheme: bool = True, root: str | None = None) -> DataFrame:
     """Add ``status``: 'missing_path' (null path), 'missing_file' (no such
-    file) or 'valid'. Paths are normalised on both sides; a ``file:``
-    scheme on the listed files is removed. A left join on the path (one row
-    per distinct listed file)."""
-    f = F.col(file_col)
-    if strip_scheme:
-        f = F.regexp_replace(f, r"^file:(//)?", "")
-    fl = files.select(normalize_path(f).alias("_fp")).distinct().withColumn("_exists", F.lit(True))
-    d = df.withColumn("_np", normalize_path(path_col))
-    # rows without a path cannot match: they skip the join (null keys would
-    # all hash to one shuffle partition)
-    no_path = d.where(F.col("_np").isNull()).withColumn(out, F.lit(MISSING_PATH))
-    j = d.where(F.col("_np").isNotNull()).join(fl, F.col("_np") == fl["_fp"], "left")
-    j = j.withColumn(out, F.when(F.col("_exists").isNull(), F.lit(MISSING_FILE))
-                     .otherwise(F.lit(VALID)))
-    return j.drop("_fp", "_exists").unionByName(no_path).drop("_np")
+    file) or 'valid'. Paths are normalised on both sides and, unless
+    ``strip_scheme`` is off, compared without scheme and authority; paths of
+    ``df`` that do not start with '/' are taken from ``root`` if that is
+    given. One left join on the path (one row per distinct listed file)."""
+    def plain(c: Column) -> Column:
+        return F.regexp_replace(c, SCHEME, "") if strip_scheme else c
+
+    path = plain(normalize_path(path_col))
+    if root is not None:
+        base = plain(F.lit(root.rstrip("/") + "/"))
+        path = F.when(path.startswith("/"), path).otherwise(F.concat(base, path))
+    fl = files.select(plain(normalize_path(file_col)).alias("_fp")).distinct().withColumn("_exists", F.lit(True))
+    # rows without a path match no file; a hash of the row spreads them (null
+    # keys would all go to one shuffle partition)
+    whole = [F.col("`%s`" % f.name) for f in df.schema
+             if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    d = df.withColumn("_none", F.col(path_col).isNull())
+    d = d.withColumn("_np", F.coalesce(path, F.concat(F.lit("\0"), F.xxhash64(*whole).cast("string"))))
+    j = d.join(fl, F.col("_np") == fl["_fp"], "left")
+    return j.withColumn(out, F.when(F.col("_none"), F.lit(MISSING_PATH))
+                        .when(F.col("_exists").isNull(), F.lit(MISSING_FILE))
+                        .otherwise(F.lit(VALID))).drop("_fp", "_exists", "_np", "_none")
 
 
 def coverage_report(df: DataFrame, status: str = "status") -> DataFrame:

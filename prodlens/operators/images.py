@@ -3,6 +3,7 @@ turn decoded images into fixed-size normalised pixel arrays."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,13 @@ IMAGENET_STD = (0.229, 0.224, 0.225)
 def verify_images(df: DataFrame, directory: str, id_col: str = "parent_asin",
                   ext: str = ".jpg") -> DataFrame:
     """Rows of ``df`` whose file ``<directory>/<id><ext>`` exists and
-    decodes: a semi-join on the file name against the decodable images of
-    the folder (Spark's image source with ``dropInvalid``; only the origin
-    column is kept)."""
+    decodes: a semi-join on the path below ``directory`` against the
+    decodable images there (Spark's image source with ``dropInvalid``; only
+    the origin column is kept)."""
     spark = df.sparkSession
+    below = r"^.*?\Q%s\E/+(.*)$" % re.sub(r"^[A-Za-z][A-Za-z0-9+.-]+:(//)?", "", directory).rstrip("/")
     ok = read_images(spark, directory, drop_invalid=True).select(
-        F.regexp_extract(F.col("image.origin"), r"([^/]+)$", 1).alias("_file")).distinct()
+        F.regexp_extract(F.col("image.origin"), below, 1).alias("_file")).distinct()
     d = df.withColumn("_file", F.concat(F.col(id_col).cast("string"), F.lit(ext)))
     return d.join(ok, "_file", "left_semi").drop("_file")
 

@@ -83,6 +83,16 @@ def test_images_and_file_list(spark, tmpdir_path):
     assert st == {1: "valid", 2: "missing_file", 3: "missing_path"}
 
 
+def test_file_status_schemes_and_root(spark):
+    files = spark.createDataFrame([("hdfs://nn:9000/shop/data/images/1.jpg",), ("s3a://b/shop/2.jpg",), ("file:/x/3.jpg",)], "path string")
+    rows = spark.createDataFrame([(1, "data/images/1.jpg"), (2, "2.jpg"), (3, "/x/3.jpg"), (4, "3.jpg"), (5, None), (6, None),
+                                  (7, "file:///x/3.jpg")], "id int, image_path string")
+    st = dict(coverage.with_file_status(rows, files, root="hdfs://nn:9000/shop").select("id", "status").collect())
+    assert st == {1: "valid", 2: "valid", 3: "valid", 4: "missing_file", 5: "missing_path", 6: "missing_path", 7: "valid"}
+    st = dict(coverage.with_file_status(rows, files).select("id", "status").collect())
+    assert (st[1], st[3]) == ("missing_file", "valid")
+
+
 def test_verify_images_and_features(spark, tmpdir_path):
     import numpy as np
     from prodlens.operators import images
@@ -91,6 +101,8 @@ def test_verify_images_and_features(spark, tmpdir_path):
     _bmp(os.path.join(d, "p1.jpg"), w=4, h=3)
     with open(os.path.join(d, "p2.jpg"), "wb") as f:
         f.write(b"corrupt")
+    os.makedirs(os.path.join(d, "sub"))
+    _bmp(os.path.join(d, "sub", "p3.jpg"))  # not the file that p3 asks for
     rows = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "parent_asin string")
     kept = [r[0] for r in images.verify_images(rows, d, "parent_asin", ".jpg").collect()]
     assert kept == ["p1"]
