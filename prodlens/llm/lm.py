@@ -17,9 +17,12 @@ parameter), the occurrences of all others are joined with the count table.
 Tokens beyond the head are rare, so this join has no hot key.
 
 The filter is built by segments: n-grams are dealt by segment, each task sets
-the bits of its segments, and only the finished segments reach the driver. Its
-size follows the number of entries (``bits_per_entry``) up to ``max_bits``,
-the proven bound of the broadcast; beyond it false hits grow.
+the bits of its segments. The number of segments follows the number of entries
+(``bits_per_entry``) at every size. Up to ``max_bits`` the finished segments
+are broadcast; a larger filter stays a table, and the distinct n-grams of
+each slice of texts are sent to their segment by a shuffle and come back with
+their level (the ``head`` most frequent n-grams are answered from a broadcast
+instead). Both ways look into the same bits and give the same scores.
 Bigrams seen once are not entered (``min_bigram``, a parameter); they are
 counted.
 
@@ -100,10 +103,12 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 class LogFrequencyFilter:
-    """Quantised counts in one Bloom filter of equal segments."""
+    """Quantised counts in one Bloom filter of equal segments; ``top`` is the
+    largest level entered (a count has 63 bits at most)."""
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, bits: np.ndarray, top: int = 63):
         self.bits = bits  # (segments, SEGMENT_BITS / 8) uint8
+        self.top = top
 
     @staticmethod
     def segment(h: np.ndarray, n: int) -> np.ndarray:
@@ -122,7 +127,7 @@ class LogFrequencyFilter:
         """The level each n-gram reaches; 0 if it isn't there."""
         out = np.zeros(len(h), dtype=np.int64)
         at, level = np.arange(len(h)), 0
-        while len(at):
+        while len(at) and level < self.top:
             level += 1
             g = h[at]
             seg = self.segment(g, len(self.bits))
@@ -146,11 +151,12 @@ def estimate(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0)))
 
 
-def build_filter(grams: DataFrame, bits_per_entry: int = 12, max_bits: int = 1 << 31) -> np.ndarray:
-    """Bits of the filter of ``grams`` (h, c), as (segments, bytes)."""
+def build_segments(grams: DataFrame, bits_per_entry: int = 12) -> tuple[DataFrame, int, int]:
+    """((seg, bits), segments, largest level) of the filter of ``grams`` (h, c).
+    A segment without entries has no row."""
     g = grams.select("h", quantised(F.col("c")).alias("q"))
-    entries = g.agg(F.sum("q")).first()[0] or 0
-    n = int(min(max(1, -(-entries * bits_per_entry // SEGMENT_BITS)), max_bits // SEGMENT_BITS))
+    r = g.agg(F.sum("q"), F.max("q")).first()
+    n = max(1, -(-(r[0] or 0) * bits_per_entry // SEGMENT_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -174,15 +180,100 @@ def build_filter(grams: DataFrame, bits_per_entry: int = 12, max_bits: int = 1 <
                 [pa.array([k], pa.int32()), pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())],
                 names=["seg", "bits"])
 
-    seg = F.pmod(F.shiftrightunsigned("h", 20), F.lit(n))
-    tasks = max(1, min(n, 4096) // 8)  # about eight segments, a megabyte, in a task
-    t = materialise(g.repartition(tasks, seg).mapInArrow(run, "seg int, bits binary")).toArrow()
+    tasks = max(1, n // 8)  # about eight segments, a megabyte, in a task
+    return materialise(g.repartition(tasks, segment_of("h", n)).mapInArrow(run, "seg int, bits binary")), n, int(r[1] or 0)
+
+
+def segment_of(h: str, n: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(n)).cast("int")
+
+
+def collect_segments(segments: DataFrame, n: int) -> np.ndarray:
+    """The filter's bits as (segments, bytes)."""
+    t = segments.toArrow()
     bits = np.zeros((n, SEGMENT_BITS // 8), dtype=np.uint8)
     for k, m in zip(t.column("seg").to_pylist(), t.column("bits"), strict=True):
         bits[k] = np.frombuffer(m.as_buffer(), dtype=np.uint8)
     return bits
 
 
+def build_filter(grams: DataFrame, bits_per_entry: int = 12) -> np.ndarray:
+    """Bits of the filter of ``grams`` (h, c), as (segments, bytes)."""
+    segments, n, _ = build_segments(grams, bits_per_entry)
+    return collect_segments(segments, n)
+
+
+def lookup(probes: DataFrame, segments: DataFrame, n: int, top: int) -> DataFrame:
+    """(h, level) of distinct n-grams ``probes`` (h): each segment meets its
+    n-grams in one group, some 10^5 of them as hashes spread evenly."""
+    def run(seg: pa.Table, probe: pa.Table) -> pa.Table:
+        h = probe.column("h").to_numpy()
+        level = np.zeros(len(h), dtype=np.int64)
+        if seg.num_rows:
+            bits = np.frombuffer(seg.column("bits")[0].as_buffer(), dtype=np.uint8)
+            level = LogFrequencyFilter(bits[None, :], top).levels(h.view(np.uint64))
+        return pa.table({"h": pa.array(h, pa.int64()), "level": pa.array(level, pa.int64())})
+
+    p = probes.select("h", segment_of("h", n).alias("seg"))
+    return segments.groupBy("seg").cogroup(p.groupBy("seg")).applyInArrow(run, "h long, level long")
+
+
+def sorted_levels(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    h = t.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], t.column("level").to_numpy()[order]
+
+
+def model_scores(h: np.ndarray, owner: np.ndarray, n: int, counts, total: int, kinds: int, share: float) -> np.ndarray:
+    """``score`` of ``n`` texts; ``counts`` gives the estimate of each n-gram."""
+    distinct, back = np.unique(h, return_inverse=True)
+    uni = counts(distinct)[back]
+    p0 = (uni + 0.1) / (total + 0.1 * (kinds + 1))
+    prev, bi = bigrams(h, owner)
+    pairs, pback = np.unique(bi, return_inverse=True)
+    cb = counts(pairs)[pback]
+    ctx = np.empty_like(uni)
+    ctx[1:] = uni[:-1]
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    ctx[first] = counts(prev[first[:1]])
+    k = share * ctx / (ctx + PRIOR)
+    cond = np.minimum(1.0, np.divide(cb, ctx, out=np.zeros_like(cb), where=ctx > 0))
+    p = k * cond + (1.0 - k) * p0
+    return np.bincount(owner, weights=np.log10(p), minlength=n)
+
+
+def shuffled_scores(blocks: DataFrame, grams: DataFrame, segments: DataFrame, n: int, top: int, head: int,
+                    total: int, kinds: int, share: float) -> DataFrame:
+    """(row, score) of ``blocks`` (block, row, text, grams), with the distinct
+    n-grams of a block in its first row, by lookups in the filter's table."""
+    sc = blocks.sparkSession.sparkContext
+    common = materialise(lookup(grams.where(F.col("c") >= head_cut(grams, head)).select("h"), segments, n, top))
+    known = sc.broadcast(sorted_levels(common.toArrow()))
+    probes = blocks.select("block", F.explode("grams").alias("h")).join(
+        F.broadcast(common.select("h")), "h", "left_anti")
+    found = probes.join(lookup(probes.select("h").distinct(), segments, n, top), "h").select("block", "h", "level")
+
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        tables = [known.value, sorted_levels(answers)]
+
+        def counts(g: np.ndarray) -> np.ndarray:
+            level = np.zeros(len(g), dtype=np.int64)
+            for hashes, levels in tables:
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
+                    level = np.where(hashes[at] == g, levels[at], level)
+            return estimate(level)
+
+        score = np.zeros(part.num_rows)
+        for s in K.slices(part.column("text")):
+            h, owner = tokens(s)
+            score[s.lo:s.hi] = model_scores(h, owner, s.n, counts, total, kinds, share)
+        return pa.table({"row": part.column("row"), "score": pa.array(score)})
+
+    texts = blocks.select(F.col("block").alias("of"), "row", "text")  # another name than in ``found``, which comes from ``blocks`` too
+    return texts.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(run, "row long, score double")
+
+
 def head_cut(words: DataFrame, head: int) -> int:
     """The least count such that at most ``head`` tokens reach it."""
     c = F.col("c").cast("double")
@@ -201,7 +292,8 @@ def head_cut(words: DataFrame, head: int) -> int:
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = 1 << 20, min_bigram: int = 2,
                 share: float = 0.3, bits_per_entry: int = 12, max_bits: int = 1 << 31, modulus: int = 10) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens,
-    base_score, score. Rows whose key is held out are not learnt from."""
+    base_score, score. Rows whose key is held out are not learnt from.
+    A filter of more than ``max_bits`` bits is not broadcast."""
     sc = docs.sparkSession.sparkContext
     d = docs.select(F.coalesce(pick(docs, text, "string"), F.lit("")).alias("text"), pick(docs, key, "long").alias("id"))
     d = d.withColumn("held", held_out(F.col("id"), modulus))
@@ -216,12 +308,18 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
     hh = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hh)
     known = sc.broadcast((hh[order], top.column("c").to_numpy()[order]))
-    bits = sc.broadcast(build_filter(grams, bits_per_entry, max_bits))
+    segments, n_seg, top_level = build_segments(grams, bits_per_entry)
+    local = n_seg * SEGMENT_BITS <= max_bits
+    bits = sc.broadcast(collect_segments(segments, n_seg)) if local else None
     norm = float(np.log10(total + 0.1 * (kinds + 1)))
 
+    schema = ("row long, id long, held boolean, n long, known long, base double, tail array<struct<h:long,tf:long>>, "
+              + ("score double" if local else "block long, text string, grams array<long>"))
+    names = ["row", "id", "held", "n", "known", "base", "tail", *(["score"] if local else ["block", "text", "grams"])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, counts = known.value
-        lff = LogFrequencyFilter(bits.value)
+        lff = LogFrequencyFilter(bits.value, top_level) if local else None
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             for s in K.slices(b.column(0)):
@@ -239,36 +337,29 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
                 offs = np.searchsorted(g, np.arange(s.n + 1)).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(offs), pa.StructArray.from_arrays(
                     [pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "tf"]))
-                # the model, all counts from the filter
-                uni = lff.counts(distinct)[back]
-                p0 = (uni + 0.1) / (total + 0.1 * (kinds + 1))
-                prev, bi = bigrams(h, owner)
-                pairs, pback = np.unique(bi, return_inverse=True)
-                cb = lff.counts(pairs)[pback]
-                ctx = np.empty_like(uni)
-                ctx[1:] = uni[:-1]
-                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                ctx[first] = lff.counts(prev[first[:1]])
-                k = share * ctx / (ctx + PRIOR)
-                cond = np.minimum(1.0, np.divide(cb, ctx, out=np.zeros_like(cb), where=ctx > 0))
-                p = k * cond + (1.0 - k) * p0
-                score = np.bincount(owner, weights=np.log10(p), minlength=s.n)
                 part = b.slice(s.lo, s.n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + s.n)), part.column(1), part.column(2),
-                     pa.array((s.n_words + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)),
-                     pa.array(base), pa.array(score), tail],
-                    names=["row", "id", "held", "n", "known", "base", "score", "tail"])
+                cols = [pa.array(np.arange(row, row + s.n)), part.column(1), part.column(2),
+                        pa.array((s.n_words + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), tail]
+                if local:  # the model, all counts from the filter
+                    cols.append(pa.array(model_scores(h, owner, s.n, lff.counts, total, kinds, share)))
+                else:
+                    probe = np.unique(np.r_[distinct, bigrams(h, owner)[1], START & ~U(1)]).view(np.int64)
+                    ends = np.full(s.n + 1, len(probe), dtype=np.int32)
+                    ends[0] = 0
+                    cols += [pa.array(np.full(s.n, row)), part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(probe))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
                 row += s.n
 
     # written once: row numbers are those of the attempts that were kept
-    out = materialise(d.mapInArrow(run, "row long, id long, held boolean, n long, known long, base double, score double, "
-                                        "tail array<struct<h:long,tf:long>>"))
+    out = materialise(d.mapInArrow(run, schema))
     rest = out.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.tf")
     rare = words.where(F.col("c") < cut).select("h", "c")
     rest = rest.join(rare, "h", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("more"),
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("also"))
+    if not local:
+        scores = shuffled_scores(out, grams, segments, n_seg, top_level, head, total, kinds, share)
+        out = out.drop("block", "text", "grams").join(scores, "row")
     out = out.drop("tail").join(rest, "row", "left")
     return out.select(F.col("id").alias(key), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"),
                       (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),

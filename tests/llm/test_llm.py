@@ -346,6 +346,23 @@ def test_filter_never_underestimates(spark):
     assert (lff.levels(RNG.integers(0, 1 << 63, 5000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def test_filter_beyond_the_broadcast_bound_gives_the_same_scores(spark):
+    rows = [(i, t) for i, t in enumerate(family())] + [(i, prose(2000, i)) for i in range(100, 190)] + [(None, "w1 W2")]
+    d = local_rows(spark, rows, "doc_id long, text string").repartition(3)
+
+    def scores(**kw):
+        return sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in lm.score_texts(d, **kw).collect())
+    want = scores()
+    # 0 bits may be broadcast: the filter keeps its size and is looked up by a shuffle
+    assert scores(max_bits=0) == want and scores(max_bits=0, head=5) == want
+    assert lm.score_texts(d.limit(0), max_bits=0).count() == 0
+
+
+def test_levels_end_at_the_largest_entered():
+    full = np.full((1, lm.SEGMENT_BITS // 8), 255, dtype=np.uint8)
+    assert lm.LogFrequencyFilter(full, 3).levels(np.arange(5, dtype=np.uint64)).tolist() == [3] * 5
+
+
 # ----------------------------------------------------------------- outliers
 def test_outliers_are_rejected_and_clean_texts_kept(spark):
     rows = [(i, prose(100 + i % 50, i), "en", "a" if i % 3 else "b") for i in range(400)]
