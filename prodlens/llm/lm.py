@@ -23,8 +23,8 @@ are broadcast; a larger filter stays a table, and the distinct n-grams of
 each slice of texts are sent to their segment by a shuffle and come back with
 their level (the ``head`` most frequent n-grams are answered from a broadcast
 instead). Both ways look into the same bits and give the same scores.
-Bigrams seen once are not entered (``min_bigram``, a parameter); they are
-counted.
+All counted bigrams are entered (``min_bigram`` = 1); a larger value leaves
+out those seen less often.
 
 Edge cases: a null or empty text has one token, the end; null keys are held
 out (crc32 of the empty text); repeated rows are learnt from and scored one
@@ -289,7 +289,7 @@ def head_cut(words: DataFrame, head: int) -> int:
     return cut
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = 1 << 20, min_bigram: int = 2,
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = 1 << 20, min_bigram: int = 1,
                 share: float = 0.3, bits_per_entry: int = 12, max_bits: int = 1 << 31, modulus: int = 10) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens,
     base_score, score. Rows whose key is held out are not learnt from.

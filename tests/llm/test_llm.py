@@ -358,6 +358,17 @@ def test_filter_beyond_the_broadcast_bound_gives_the_same_scores(spark):
     assert lm.score_texts(d.limit(0), max_bits=0).count() == 0
 
 
+def test_bigrams_seen_once_are_known(spark):
+    train = [(1, "red green"), (2, "blue white")]  # neither key is held out
+    assert not any(zlib.crc32(str(i).encode()) % 10 == 0 for i in (1, 2, 3, 4))
+    rows = train + [(k, t) for k, t in ((3, "red green"), (4, "red white"))]
+    d = local_rows(spark, rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(d).collect()}
+    skip = {r["doc_id"]: r["score"] for r in lm.score_texts(d, min_bigram=2).collect()}
+    # "red white" and "white <end>": the former occurs once
+    assert got[4] > skip[4] + 1e-6 and abs(got[1] - got[3]) < 1e-12
+
+
 def test_levels_end_at_the_largest_entered():
     full = np.full((1, lm.SEGMENT_BITS // 8), 255, dtype=np.uint8)
     assert lm.LogFrequencyFilter(full, 3).levels(np.arange(5, dtype=np.uint64)).tolist() == [3] * 5
