@@ -8,10 +8,14 @@ hash-joined with the windows of every document, so a question whose numbers
 or names were exchanged still meets its original.
 
 Texts with a hit are then aligned token by token: hits of one benchmark item
-on one diagonal (document position minus item position) belong together. In
-an alignment every slot value of the item must stand against one and the same
-value of the document (``slots consistent``), and the alignment must cover
-``min_tokens`` tokens or the share ``min_share`` of the item.
+on one diagonal (document position minus item position) belong together. An
+alignment must cover ``min_tokens`` tokens or the share ``min_share`` of the
+item, and either its exchanged slot values are consistent (each value of the
+item that was exchanged stands against one and the same value of the document;
+slots that kept their value need no agreement), or it has that many tokens
+word for word in one run. A number's or unit's value is judged together with
+the token after it, as two quantities may share a value by chance ("2 apples
+and 2 pears"); a name is judged by itself.
 
 Scale: documents are a map (tokens, window hashes) and a join with the
 benchmark's windows, which are broadcast if their counted size is in bounds.
@@ -72,6 +76,16 @@ def window_hashes(tokens: Column, width: int) -> Column:
         F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.xxhash64(F.slice(t, i, width)))))
 
 
+def longest_run(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers in a sorted array."""
+    zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, p: Column) -> Column:
+        run = F.when(p == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+    return F.aggregate(places, zero, step, lambda a: a["best"])
+
+
 def benchmark_windows(bench: DataFrame, width: int, item: str, text: str) -> DataFrame:
     """(item_id, n, w, ipos, h, btokens, bsurf): the windows searched for."""
     b = bench.select(pick(bench, item, "long").alias("item_id"), surfaces(pick(bench, text, "string")).alias("s"))
@@ -119,17 +133,23 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int =
                                                   "n_slots long, verbatim boolean")
     j = at.join(hint_small(bw, n, 64 * width), "h").where("dtokens = btokens")
     tok = j.select("text_key", "item_id", "n", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos",
-                   F.posexplode(F.arrays_zip("btokens", "bsurf", "dsurf")).alias("i", "z"))
+                   F.posexplode(F.arrays_zip("btokens", "bsurf", "dsurf", F.slice(
+                       F.concat("btokens", F.array(F.lit(""))), 2, F.size("btokens")).alias("next"))).alias("i", "z"))
+    # a window's last token has no next one there; another window of the place has it
     tok = (tok.groupBy("text_key", "item_id", "n", "diag", (F.col("ipos") + F.col("i")).alias("place"))
-           .agg(F.first("z").alias("z")))
-    slot = F.col("z.btokens").startswith("\x01")
-    left, pair = F.struct("z.btokens", "z.bsurf"), F.struct("z.btokens", "z.bsurf", "z.dsurf")
+           .agg(F.max(F.struct("z.next", "z.btokens", "z.bsurf", "z.dsurf")).alias("z")))
+    slot, same = F.col("z.btokens").startswith("\x01"), F.col("z.bsurf") == F.col("z.dsurf")
+    exchanged = slot & ~same
+    role = F.when(F.col("z.btokens") != P_NAME, F.col("z.next"))
+    left, pair = F.struct("z.btokens", "z.bsurf", role), F.struct("z.btokens", "z.bsurf", role, "z.dsurf")
     out = tok.groupBy("text_key", "item_id", "n", "diag").agg(
-        F.count(F.lit(1)).alias("matched_tokens"), F.size(F.collect_set(F.when(slot, left))).alias("values"),
-        F.size(F.collect_set(F.when(slot, pair))).alias("pairs"), F.count(F.when(slot, 1)).alias("n_slots"),
-        F.bool_and(F.col("z.bsurf") == F.col("z.dsurf")).alias("verbatim"))
-    out = out.where((F.col("values") == F.col("pairs")) & ((F.col("matched_tokens") >= min_tokens)
-                                                           | (F.col("matched_tokens") >= min_share * F.col("n"))))
+        F.count(F.lit(1)).alias("matched_tokens"), F.size(F.collect_set(F.when(exchanged, left))).alias("values"),
+        F.size(F.collect_set(F.when(exchanged, pair))).alias("pairs"), F.count(F.when(slot, 1)).alias("n_slots"),
+        F.bool_and(same).alias("verbatim"), longest_run(F.sort_array(F.collect_list(F.when(same, F.col("place"))))).alias("run"))
+
+    def enough(c: Column) -> Column:
+        return (c >= min_tokens) | (c >= min_share * F.col("n"))
+    out = out.where(((F.col("values") == F.col("pairs")) & enough(F.col("matched_tokens"))) | enough(F.col("run")))
     # the longest alignment of a text and an item
     best = F.max(F.struct("matched_tokens", "verbatim", "n_slots")).alias("b")
     return out.groupBy("text_key", "item_id", F.col("n").alias("item_tokens")).agg(best).select(

@@ -226,6 +226,17 @@ def test_reparameterised_questions_are_caught(spark):
     assert decontam.contaminated(d, b.limit(0)).count() == 0 and decontam.contaminated(d.limit(0), b).count() == 0
 
 
+def test_one_changed_occurrence_does_not_hide_a_copy(spark):
+    shared = "Tom buys 2 apples and then he also picks 2 pears from the old garden near his house today."
+    rows = [(1, QUESTION.replace("Alice is", "Erin is")),  # all but one token word for word
+            (2, shared.replace("2 apples", "3 apples").replace("2 pears", "4 pears")),  # two roles shared a value
+            (3, QUESTION.replace("Alice has", "Carol has").replace("Alice is", "Erin is"))]  # a run of 15 is left
+    d = local_rows(spark, rows, "doc_id long, text string")
+    b = local_rows(spark, [(9, QUESTION), (8, shared)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in decontam.contaminated(d, b).collect())
+    assert got == [(1, 9, False), (2, 8, False), (3, 9, False)]
+
+
 # --------------------------------------------------------------------- urls
 def test_url_rules(spark):
     rules = local_rows(spark, queries.URL_RULES, "host string, path string, verdict string")
