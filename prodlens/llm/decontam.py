@@ -7,6 +7,13 @@ separates. Windows of ``width`` tokens of the benchmark's templates are
 hash-joined with the windows of every document, so a question whose numbers
 or names were exchanged still meets its original.
 
+Beside them, windows of plain tokens are hash-joined (the exact path): no
+placeholders, a number, a letter run or one letter of a script without blanks
+is a token, and every window of an item is searched whatever it is made of.
+``fold_case`` joins them without regard to letter case (the registered
+queries set it). A text found by this path only is reported with its plain
+tokens, as verbatim and without slots.
+
 Texts with a hit are then aligned token by token: hits of one benchmark item
 on one diagonal (document position minus item position) belong together. An
 alignment must cover ``min_tokens`` tokens or the share ``min_share`` of the
@@ -23,9 +30,10 @@ Only texts with a hit are read again, once per distinct text. No window is
 sampled and no text is cut.
 
 Edge cases: null and empty texts have no tokens and match nothing; an item
-shorter than ``width`` tokens is one window of its own length, if it has at
-least ``MIN_WIDTH`` tokens; windows with fewer than ``MIN_WORDS`` words besides
-placeholders are too general and are not searched; repeated items are all reported;
+shorter than ``width`` tokens is one window of its own length; as templates,
+items of fewer than ``MIN_WIDTH`` tokens and windows with fewer than
+``MIN_WORDS`` words besides placeholders are too general and are only searched
+by the exact path (so a one-word item is held by every text with that word); repeated items are all reported;
 repeated documents are all reported; empty tables give no rows.
 """
 
@@ -46,6 +54,9 @@ UNITS = ("km cm mm kg mg lb lbs oz ml mi mph kmh ft inch inches mile miles metre
 NAME = r"(?<!\p{L})\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*(?!\p{L})"
 NUMBER = r"\d+(?:[.,:/]\d+)*"
 UNIT = r"(?<!\p{L})(?i:" + "|".join(UNITS) + r")(?!\p{L})"
+#: Scripts written without blanks: each letter is a token of the exact path.
+DENSE = "".join(r"\p{Is%s}" % x for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+PLAIN = r"%s|[%s]|[\p{L}\p{M}&&[^%s]]+" % (NUMBER, DENSE, DENSE)
 #: Placeholders; U+0001 occurs in no token.
 P_NAME, P_NUMBER, P_UNIT = "\x01p", "\x01n", "\x01u"
 
@@ -76,6 +87,36 @@ def window_hashes(tokens: Column, width: int) -> Column:
         F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.xxhash64(F.slice(t, i, width)))))
 
 
+def plain_tokens(text: Column, fold_case: bool) -> Column:
+    """The text's tokens for the exact path."""
+    return F.regexp_extract_all(F.lower(F.upper(text)) if fold_case else text, F.lit(PLAIN), F.lit(0))
+
+
+def plain_windows(bench: DataFrame, width: int, item: str, text: str, fold_case: bool) -> DataFrame:
+    """(item_id, n, w, ipos, btokens, h): all windows of the items' plain tokens."""
+    b = bench.select(pick(bench, item, "long").alias("item_id"), plain_tokens(pick(bench, text, "string"), fold_case).alias("t"))
+    b = b.where(F.size("t") > 0).withColumn("n", F.size("t")).withColumn("w", F.least(F.col("n"), F.lit(width)))
+    b = b.select("item_id", "n", "w", "t", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1)).alias("ipos"))
+    b = b.select("item_id", "n", "w", "ipos", F.slice("t", F.col("ipos"), F.col("w")).alias("btokens"))
+    return b.withColumn("h", F.xxhash64("btokens"))
+
+
+def plain_matches(c: DataFrame, pw: DataFrame, n: int, widths: list[int], enough) -> DataFrame:
+    """Rows of ``matches`` for texts ``c`` (text_key, p) that hold an item's plain tokens."""
+    at = None
+    for w in widths:
+        x = c.where(F.size("p") >= w).select("text_key", "p", F.explode(F.sequence(F.lit(1), F.size("p") - (w - 1))).alias("pos"))
+        x = x.select("text_key", "pos", F.slice("p", F.col("pos"), w).alias("dtokens")).withColumn("h", F.xxhash64("dtokens"))
+        at = x if at is None else at.unionByName(x)
+    j = at.join(hint_small(pw, n, 32 * max(widths)), "h").where("dtokens = btokens")
+    places = F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("w") - 1))
+    out = (j.select("text_key", "item_id", "n", (F.col("pos") - F.col("ipos")).alias("diag"), places.alias("place")).distinct()
+           .groupBy("text_key", "item_id", "n", "diag").agg(F.count(F.lit(1)).alias("matched_tokens")))
+    out = out.where(enough(F.col("matched_tokens")))
+    return out.groupBy("text_key", "item_id", F.col("n").alias("item_tokens")).agg(F.max("matched_tokens").alias("matched_tokens")).select(
+        "text_key", "item_id", "matched_tokens", "item_tokens", F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("verbatim"))
+
+
 def longest_run(places: Column) -> Column:
     """Length of the longest run of consecutive numbers in a sorted array."""
     zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -99,19 +140,23 @@ def benchmark_windows(bench: DataFrame, width: int, item: str, text: str) -> Dat
 
 
 def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int = 13, min_share: float = 0.6,
-            text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+            text: str = "text", item: str = "item_id", item_text: str = "text", fold_case: bool = False) -> DataFrame:
     """(text_key, item_id, matched_tokens, item_tokens, n_slots, verbatim): a row
     per distinct text and benchmark item that it holds."""
     bw = materialise(benchmark_windows(bench, width, item, item_text))
     n = bw.count()
     widths = sorted(r["w"] for r in bw.select("w").distinct().collect())  # at most ``width`` numbers
+    pw = materialise(plain_windows(bench, width, item, item_text, fold_case))
+    n_plain = pw.count()
+    plain_widths = sorted(r["w"] for r in pw.select("w").distinct().collect())
     t = pick(docs, text, "string")
     d = docs.select(t.alias("text")).where("text is not null").withColumn("text_key", F.xxhash64("text"))
 
     # texts with a hit
-    hashes = hint_small(bw.select("h").distinct(), n, 16)
+    hashes = hint_small(bw.select("h").union(pw.select("h")).distinct(), n + n_plain, 16)
     split = F.split(template(F.col("text")), " ")
-    found = [window_hashes(split, w) for w in widths]
+    plain = plain_tokens(F.col("text"), fold_case)
+    found = [window_hashes(split, w) for w in widths] + [window_hashes(plain, w) for w in plain_widths]
     if not found:
         found = [F.array().cast("array<bigint>")]
     one = found[0] if len(found) == 1 else F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
@@ -120,8 +165,14 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int =
 
     # align them: every window hit gives its tokens' places
     c = d.join(hint_small(hit, hit.count(), 16), "text_key", "left_semi").dropDuplicates(["text_key"])
+    plain = c.select("text_key", plain.alias("p"))
     c = c.select("text_key", surfaces(F.col("text")).alias("s"))
     c = c.withColumn("t", F.transform("s", token_of))
+
+    def enough(k: Column) -> Column:
+        return (k >= min_tokens) | (k >= min_share * F.col("n"))
+
+    exact = plain_matches(plain, pw, n_plain, plain_widths, enough) if plain_widths else None
     at = None
     for w in widths:
         x = c.where(F.size("t") >= w).select("text_key", "s", "t", F.explode(F.sequence(F.lit(1), F.size("t") - (w - 1))).alias("pos"))
@@ -129,7 +180,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int =
         x = x.withColumn("h", F.xxhash64("dtokens"))
         at = x if at is None else at.unionByName(x)
     if at is None:
-        return c.sparkSession.createDataFrame([], "text_key long, item_id long, matched_tokens long, item_tokens int, "
+        return exact if exact is not None else c.sparkSession.createDataFrame([], "text_key long, item_id long, matched_tokens long, item_tokens int, "
                                                   "n_slots long, verbatim boolean")
     j = at.join(hint_small(bw, n, 64 * width), "h").where("dtokens = btokens")
     tok = j.select("text_key", "item_id", "n", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos",
@@ -146,14 +197,13 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int =
         F.count(F.lit(1)).alias("matched_tokens"), F.size(F.collect_set(F.when(exchanged, left))).alias("values"),
         F.size(F.collect_set(F.when(exchanged, pair))).alias("pairs"), F.count(F.when(slot, 1)).alias("n_slots"),
         F.bool_and(same).alias("verbatim"), longest_run(F.sort_array(F.collect_list(F.when(same, F.col("place"))))).alias("run"))
-
-    def enough(c: Column) -> Column:
-        return (c >= min_tokens) | (c >= min_share * F.col("n"))
     out = out.where(((F.col("values") == F.col("pairs")) & enough(F.col("matched_tokens"))) | enough(F.col("run")))
     # the longest alignment of a text and an item
     best = F.max(F.struct("matched_tokens", "verbatim", "n_slots")).alias("b")
-    return out.groupBy("text_key", "item_id", F.col("n").alias("item_tokens")).agg(best).select(
-        "text_key", "item_id", "b.matched_tokens", "item_tokens", "b.n_slots", "b.verbatim")
+    out = materialise(out.groupBy("text_key", "item_id", F.col("n").alias("item_tokens")).agg(best).select(
+        "text_key", "item_id", "b.matched_tokens", "item_tokens", "b.n_slots", "b.verbatim"))
+    have = hint_small(out.select(F.col("text_key").alias("k"), F.col("item_id").alias("i")), out.count(), 16)
+    return out.unionByName(exact.join(have, (F.col("text_key") == F.col("k")) & F.col("item_id").eqNullSafe(F.col("i")), "left_anti"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:

@@ -237,6 +237,18 @@ def test_one_changed_occurrence_does_not_hide_a_copy(spark):
     assert got == [(1, 9, False), (2, 8, False), (3, 9, False)]
 
 
+def test_exact_copies_are_found_whatever_they_are_made_of(spark):
+    items = [(1, QUESTION), (2, "12 + 7 = 19"), (3, "Oslo, Rome, Paris, Bern, Wien, Riga"), (4, "東京はどこですか"), (5, "8 km 9 km 10 km 11 km 12 km")]
+    b = local_rows(spark, items, "item_id long, text string")
+    docs = [(k, "%s %s. %s" % (prose(30, k), t, prose(30, k + 50))) for k, t in items]
+    docs += [(11, QUESTION.upper()), (12, QUESTION.lower()), (13, "答えて東京はどこですかと"), (14, prose(200, 9)), (15, "12 + 8 = 19")]
+    d = local_rows(spark, docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b, fold_case=True).collect()}
+    assert got == {(k, k) for k, _ in items} | {(11, 1), (12, 1), (13, 4)}
+    short = b.where("item_id = 2")  # no template window at all
+    assert [r["doc_id"] for r in decontam.contaminated(d, short).collect()] == [2]
+
+
 # --------------------------------------------------------------------- urls
 def test_url_rules(spark):
     rules = local_rows(spark, queries.URL_RULES, "host string, path string, verdict string")
