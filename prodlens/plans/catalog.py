@@ -485,8 +485,7 @@ def q_run_baselines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_active_learning(spark: SparkSession, sf: str) -> DataFrame:
-    h = jobs.run_active_learning(_prepared(spark, sf, materialize=True), "doc_id", "text",
-                                 iterations=3, n=50)
+    h = jobs.run_active_learning(_prepared(spark, sf, materialize=True), "doc_id", "text")
     return h.drop("seconds")
 
 

@@ -98,7 +98,7 @@ def run_classifier(prepared: DataFrame, vectors: DataFrame, key: str, vec_col: s
 
 
 def run_active_learning(prepared: DataFrame, key: str = "doc_id", text_col: str = "text",
-                        iterations: int = 3, n: int = 50, strategy: str = "entropy",
+                        iterations: int = 5, n: int = 500, strategy: str = "entropy",
                         frac: int = 10) -> DataFrame:
     """B6: TF-IDF vectors, a labelled set of ``train // frac`` rows, then
     ``iterations`` rounds of naive-Bayes fit, uncertainty selection from

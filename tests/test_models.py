@@ -37,6 +37,18 @@ def test_al_loop_conserves_rows(spark, strategy):
     assert sorted(keys) == list(range(60))
 
 
+def test_active_learning_runs_the_reference_rounds(spark, monkeypatch):
+    seen = {}
+
+    def loop(labelled, pool, val, key, fit, score, evaluate, iterations, n, strategy):
+        seen.update(iterations=iterations, n=n)
+        raise StopIteration
+    monkeypatch.setattr(active, "al_loop", loop)
+    with pytest.raises(StopIteration):
+        catalog.QUERIES["active_learning"](spark, SF)
+    assert seen == {"iterations": 5, "n": 500}
+
+
 def test_unknown_strategy_raises(spark):
     with pytest.raises(ValueError):
         active.score_uncertainty(_pool(spark).withColumn("probs", F.array(F.lit(0.5))), "bogus")
