@@ -48,4 +48,66 @@ SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs:
 FROM f JOIN sub USING (k, d) LEFT JOIN n up ON up.d = f.d - 1 AND up.k = f.k[1:f.d - 1]
 """ % {"crc": crc32("d"), "words": WORDS % "k[d].x"}
 
-SQL = {"op12_conversation_trie": TRIE}
+#: The repair as a pass along the rows: the cheapest (cost, audit, output) that
+#: ends in each state of the pattern, closed under insertion after every row.
+_INF = 1_000_000_000
+
+
+def _ins(state: str, edits: str, said: str) -> str:
+    return "{'c': %s.c + %d, 'e': %s.e || '%s', 'o': %s.o || '%s'}" % (state, 5 * len(edits), state, edits, state, said)
+
+
+def _row(state: str, cost: str, edit: str, said: str) -> str:
+    return "{'c': %s.c + %s, 'e': %s.e || %s, 'o': %s.o || %s}" % (state, cost, state, edit, state, said)
+
+
+def _turn(state: str, initial: str, role: str) -> str:
+    same = "r.i = '%s'" % initial
+    return _row(state, "CASE WHEN r.live THEN CASE WHEN %s THEN 0 ELSE 1 END + CASE WHEN r.t THEN 5 ELSE 0 END ELSE %d END" % (same, _INF),
+                "CASE WHEN %s THEN 'K' ELSE 'R' END" % same, "CASE WHEN %s THEN r.r ELSE '%s' END || ':' || r.x || chr(10)" % (same, role))
+
+
+_DEL = {q: _row("s." + q, "2", "'D'", "''") for q in "zsua"}
+_LEAD = _row("s.z", "CASE WHEN r.live AND r.i = 's' THEN CASE WHEN r.t THEN 5 ELSE 0 END ELSE %d END" % _INF, "'K'", "r.r || ':' || r.x || chr(10)")
+_STEP = "{'z': %s, 's': least(%s, %s), 'u': least(%s, %s), 'a': least(%s, %s)}" % (
+    _DEL["z"], _DEL["s"], _LEAD, _DEL["u"], ", ".join(_turn("s." + q, "u", "user") for q in "zsa"), _DEL["a"], _turn("s.u", "a", "assistant"))
+_U, _A = "user:' || chr(10) || '", "assistant:' || chr(10) || '"
+_CLOSE = "{'z': s.z, 's': s.s, 'u': least(s.u, %s), 'a': least(s.a, %s, %s)}" % (
+    ", ".join(_ins("s." + q, "I", _U) for q in "zsa"), _ins("s.u", "I", _A), ", ".join(_ins("s." + q, "II", _U + _A) for q in "zs"))
+_START = ("{'z': {'c': 0::BIGINT, 'e': '', 'o': ''}, 's': {'c': %d::BIGINT, 'e': '', 'o': ''}, "
+          "'u': {'c': 5::BIGINT, 'e': 'I', 'o': 'user:' || chr(10)}, "
+          "'a': {'c': 10::BIGINT, 'e': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}}") % _INF
+
+REPAIR = r"""
+WITH o AS (
+  SELECT conv_id c, turn, coalesce(role, ' ') r, coalesce(text, ' ') x,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') k FROM conversations),
+h AS (SELECT *, (%(crc)s) %% 20 code FROM o),
+d AS (
+  SELECT c, turn, CASE WHEN code = 4 THEN 'user' ELSE r END r,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END x, u.n
+  FROM h, unnest(range(0, CASE WHEN code = 3 THEN 2 ELSE 1 END)) u(n) WHERE code <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x), n) pos FROM d),
+f AS (
+  SELECT *, NOT regexp_matches(x, '[^ 	-]') blank, row_number() OVER (PARTITION BY c, r, x ORDER BY pos) > 1 dup,
+         regexp_extract(x, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') cut, substr(r, 1, 1) i,
+         lag(substr(r, 1, 1)) OVER (PARTITION BY c ORDER BY pos) before
+  FROM p),
+g AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (blank) blank,
+         count(*) FILTER (NOT blank AND dup) duplicate, count(*) FILTER (NOT blank AND NOT dup AND cut) truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) illegal,
+         list({'r': r, 'x': x, 'i': i, 'live': NOT blank AND NOT dup, 't': cut} ORDER BY pos) rows
+  FROM f GROUP BY c),
+q AS (
+  SELECT *, list_reduce(flatten(list_transform(rows, lambda r: [{'r': r, 'close': false}, {'r': r, 'close': true}])),
+                        lambda s, w: CASE WHEN w.close THEN %(close)s ELSE %(step)s END, %(start)s) s FROM g),
+b AS (SELECT *, least(s.z, s.a) w FROM q)
+SELECT a.c AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost, coalesce(w.e, '') AS audit,
+       sha256(CASE WHEN coalesce(w.o, '') = '' THEN '' ELSE w.o[:-2] END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id c FROM conversations) a LEFT JOIN b ON b.c IS NOT DISTINCT FROM a.c
+""" % {"crc": crc32("k"), "close": _CLOSE, "step": _STEP.replace("r.", "w.r."), "start": _START}
+
+SQL = {"op11_repair_conversations": REPAIR, "op12_conversation_trie": TRIE}
