@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prodlens.llm import chat, decontam, lm, mixing, neardup, oracle, outliers, quality, repair, sharding, trie, urls, warc
+from prodlens.llm import chat, decontam, lm, mixing, neardup, oracle, outliers, quality, repair, secretscan, sharding, trie, urls, warc
 from prodlens.llm.common import local_rows, table
 
 #: The rules of the URL query (fixed values).
@@ -67,7 +67,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_chats, op3_near_duplicates, op4_decontaminate, op5_filter_urls, op6_shard,
                                    op7_warc_round_trip, op8_quality_classifier, op9_score_texts, op10_quality_rules,
-                                   op11_repair_conversations, op12_conversation_trie)}
+                                   op11_repair_conversations, op12_conversation_trie, op13_find_secrets)}
 SQL: dict[str, str] = oracle.SQL
