@@ -249,6 +249,59 @@ def test_exact_copies_are_found_whatever_they_are_made_of(spark):
     assert [r["doc_id"] for r in decontam.contaminated(d, short).collect()] == [2]
 
 
+def test_variants_without_case_digits_or_short_names_are_caught(spark):
+    swapped = "Carol has 7 apples and gives 4 apples to Dan after 9 miles of walking home. Carol is happy."
+    docs = [(1, swapped.lower()), (2, swapped.upper()), (3, "Carol has seven apples and gives four apples to Dan after nine miles of walking home. Carol is happy."),
+            (4, swapped.replace("Carol", "Maria de Souza")), (5, swapped.replace("miles", "verstes")),
+            (6, swapped.replace("apples", "pears").lower()), (7, "carol has seven apples and gives twenty one apples to dan after 9 km of walking home. carol is happy"),
+            (11, swapped.lower().replace("carol is", "erin is")), (12, "carol is walking home and gives apples to dan"), (13, prose(400, 4)),
+            (14, "after five days of walking home they had seven apples and a happy dog, and gives is a word")]
+    docs = [(k, "%s %s %s" % (prose(25, k), t, prose(25, k + 50))) for k, t in docs]
+    b = local_rows(spark, [(9, QUESTION), (8, None), (7, "Anna Bob")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(local_rows(spark, docs, "doc_id long, text string"), b, fold_case=True).collect()}
+    assert got == {(k, 9) for k in range(1, 8)}
+
+
+def brute_template_hits(texts, items, width=8):
+    """Texts that share a template or plain window with an item, window by window."""
+    name, number = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*(?![^\W\d_])"), r"[0-9]+(?:[.,:/][0-9]+)*"
+
+    def template(t):
+        out = []
+        for m in re.finditer("%s|%s|%s" % (name.pattern, number, r"[^\W\d_]+"), t):
+            x = m[0]
+            out.append("P" if name.fullmatch(x) else "N" if x[0].isdigit() else "U" if x.lower() in decontam.UNITS else x.lower())
+        return out
+
+    def plain(t):
+        return re.findall("%s|%s" % (number, r"[^\W\d_]+"), t.lower())
+
+    def windows(tokens, w):
+        return {tuple(tokens[i:i + w]) for i in range(len(tokens) - w + 1)}
+    want = set()
+    for item in items:
+        t, p = template(item), plain(item)
+        if len(t) >= 5:
+            want |= {("t", x) for x in windows(t, min(width, len(t))) if sum(len(y) > 1 or y.islower() for y in x) >= 4}
+        want |= {("p", x) for x in windows(p, min(width, len(p)))}
+    sizes = {(k, len(x)) for k, x in want}
+    return {i for i, t in enumerate(texts) if any((k, x) in want for k, w in sizes for x in windows(template(t) if k == "t" else plain(t), w))}
+
+
+def test_first_search_keeps_every_text_with_a_window(spark):
+    docs = [r["text"] for r in spark.read.parquet(SF + "/documents.parquet").where("text is not null").collect()]
+    items = [r["text"] for r in spark.read.parquet(SF + "/benchmark.parquet").collect()]
+    docs += [" ".join(d.split()[:20]) + " " + " ".join(i.split()[k:k + 9]) + " end" for k, (d, i) in enumerate(zip(docs, items))]
+    b = local_rows(spark, list(enumerate(items)), "item_id long, text string")
+    d = local_rows(spark, list(enumerate(docs)), "i long, text string").withColumn("text_key", F.xxhash64("text"))
+    bw, pw = decontam.benchmark_windows(b, 8, "item_id", "text"), decontam.plain_windows(b, 8, "item_id", "text", True)
+    grams = decontam.best_grams(decontam.literal_runs(bw, "btokens")).union(decontam.best_grams(pw.select(F.concat_ws(" ", "btokens").alias("text"))))
+    kept = {r["i"] for r in decontam.texts_with_grams(d, grams.distinct()).collect()}
+    hits = brute_template_hits(docs, items)
+    assert len(hits) > 20 and hits <= kept
+    assert len(kept) < 0.7 * len(docs) + len(items)
+
+
 # --------------------------------------------------------------------- urls
 def test_url_rules(spark):
     rules = local_rows(spark, queries.URL_RULES, "host string, path string, verdict string")
