@@ -51,14 +51,6 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*["`%s`" % c for c in df.columns if c.lower() not in low])
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name`` with underscores in front until ``df`` has no such column."""
-    low = {c.lower() for c in df.columns}
-    while name.lower() in low:
-        name = "_" + name
-    return name
-
-
 def words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

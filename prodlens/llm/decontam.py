@@ -425,19 +425,23 @@ def _first_of(paths: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """(row, text_key): the columns of ``docs`` in a struct, so that no name of
+    theirs meets one of ours; the key is null for a null text."""
+    t = pick(docs, text, "string")
+    return docs.select(F.struct("*").alias("row"), F.when(t.isNotNull(), F.xxhash64(t)).alias("text_key"))
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """A row per document and benchmark item that it holds."""
     m = materialise(matches(docs, bench, text=text, **kw))
-    d = docs.select(pick(docs, key, "long").alias(key), F.xxhash64(pick(docs, text, "string")).alias("text_key"),
-                    pick(docs, text, "string").isNotNull().alias("has"))
-    return d.where("has").join(hint_small(m, m.count(), 64), "text_key").select(
-        key, "item_id", "matched_tokens", "item_tokens", "n_slots", "verbatim")
+    t = pick(docs, text, "string")
+    d = docs.select(pick(docs, key, "long").alias("id"), F.when(t.isNotNull(), F.xxhash64(t)).alias("text_key"))
+    return d.join(hint_small(m, m.count(), 64), "text_key").select(
+        F.col("id").alias(key), "item_id", "matched_tokens", "item_tokens", "n_slots", "verbatim")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", **kw) -> DataFrame:
     """``docs`` without the texts that hold a benchmark item."""
-    m = materialise(matches(docs, bench, text=text, **kw).select(F.col("text_key").alias("_bad")).distinct())
-    cols = ["`%s`" % c for c in docs.columns]
-    t = pick(docs, text, "string")
-    d = docs.select("*", F.when(t.isNotNull(), F.xxhash64(t)).alias("_tk"))
-    return d.join(hint_small(m, m.count(), 16), F.col("_tk") == F.col("_bad"), "left_anti").select(*cols)
+    m = materialise(matches(docs, bench, text=text, **kw).select("text_key").distinct())
+    return _keyed(docs, text).join(hint_small(m, m.count(), 16), "text_key", "left_anti").select("row.*")

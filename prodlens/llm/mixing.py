@@ -13,7 +13,13 @@ binary tree over the shards splits the vector of draws by source with one
 multivariate-hypergeometric draw in each node, which gives the same
 distribution as shuffling all draws and cutting the list, but on counts only.
 Each shard takes its next draws from each source's permuted list (disjoint by
-construction), and its rows are ordered by a keyed hash inside the shard.
+construction), and its rows are ordered by a keyed hash inside the shard. What
+a document is taken is the sum of what the shards drew.
+
+Documents that agree in id and text share a place. Their copies are counted;
+where the last block ends inside a place, or the place fills the rest, as many
+of its copies are taken as fit (the copies of such a place are numbered from a
+written table of just these rows, in parts, so a place may be large).
 
 Bounds: the driver holds one row per source and one per block (``n_blocks``
 plus the number of sources), never rows per document. Everything per
@@ -22,8 +28,8 @@ texts are not shuffled. All choices are functions of the seed, the document
 and these counts: reruns agree.
 
 Edge cases: a null or empty text has size 0 and is taken 0 words; a null
-source is a source of its own, last in order; rows that agree in id and text
-tie and are taken together; an empty table gives no rows; columns of the
+source is a source of its own, last in order; of rows that agree in id and text
+any may be taken; an empty table gives no rows; columns of the
 input named like an output column are replaced.
 """
 
@@ -36,9 +42,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodlens.llm.common import local_rows, materialise, pick, without, words
+from prodlens.operators.ranking import prefix_sums
 
 #: Sources of a mix are configured by name; this bounds the driver's list.
 MAX_SOURCES = 100_000
+#: Words of an output shard where the caller sets no number of shards.
+SHARD_WORDS = 50_000_000
 
 
 def default_weights(sources: list) -> dict:
@@ -87,9 +96,11 @@ def splitting_tree(draws: np.ndarray, n_shards: int, rng: np.random.Generator) -
 
 @dataclass
 class MixPlan:
-    """The driver's plan: one row per block (``blocks``) and per source."""
-    blocks: DataFrame
+    """The driver's plan: one row per source, per block, and per place that is
+    taken in part (at most two a source)."""
     sources: DataFrame
+    blocks: DataFrame
+    parts: DataFrame
 
 
 def _key(docs: DataFrame, key: str, text: str, seed: int) -> Column:
@@ -103,7 +114,12 @@ def _block(k: Column, p: Column) -> Column:
     return F.shiftright(F.shiftright(k, 32) * p, 31).cast("int")
 
 
-def plan_mix(thin: DataFrame, weights=default_weights, cap: float = 3.0, n_shards: int = 64,
+def shards_for(total: int, n_shards: int | None) -> int:
+    """``n_shards``, or shards of about ``SHARD_WORDS`` words, 64 at least."""
+    return n_shards or max(64, -(-total // SHARD_WORDS))
+
+
+def plan_mix(thin: DataFrame, weights=default_weights, cap: float = 3.0, n_shards: int | None = None,
              n_blocks: int = 16_384, seed: int = 42) -> MixPlan:
     """Plan over ``thin`` (source string, size long, k long)."""
     spark = thin.sparkSession
@@ -114,6 +130,7 @@ def plan_mix(thin: DataFrame, weights=default_weights, cap: float = 3.0, n_shard
     names = sorted(size, key=lambda s: (s is None, s or ""))
     want = targets(size, weights(names), cap) if names else {}
     total = max(1, sum(size.values()))
+    n_shards = shards_for(total, n_shards)
     src = [(i, s, max(1, round(n_blocks * size[s] / total)), size[s], want[s])
            for i, s in enumerate(names)]
     sources = local_rows(spark, src, "sid int, source string, p long, source_size long, target double")
@@ -124,95 +141,110 @@ def plan_mix(thin: DataFrame, weights=default_weights, cap: float = 3.0, n_shard
     for r in placed.groupBy("sid", "block").agg(F.sum("size").alias("w")).collect():
         held[r["sid"]][r["block"]] = int(r["w"])
 
-    # draws of each source: full passes, then permuted blocks up to the target
+    # block quotas of each source: full passes, then permuted blocks up to the target
     lists: list[list[tuple[int, int]]] = []
-    edge: list[tuple] = []  # sid, boundary block, words wanted of it
+    edge: dict[int, tuple[int, int]] = {}  # the block where a source ends, words wanted of it
+    last: dict[int, int] = {}              # and the pass in which it does
     taken: list[set] = []
     for i, _, _, w, t in src:
         rng = np.random.default_rng([seed, i])
         blocks = np.array(sorted(held[i]), dtype=np.int64)
-        r = t / w if w else 0.0
-        full = int(np.floor(r + 1e-9))
+        full = int(np.floor(t / w + 1e-9)) if w else 0
         rest = max(0, round(t - full * w))
         seq = [(int(b), p) for p in range(full) for b in rng.permutation(blocks)]
         got: set[int] = set()
         if rest:
             for b in map(int, rng.permutation(blocks)):
-                n = held[i][b]
                 seq.append((b, full))
-                if n > rest:
-                    edge.append((i, b, rest))
+                if held[i][b] > rest:
+                    edge[i], last[i] = (b, rest), full
                     break
                 got.add(b)
-                rest -= n
+                rest -= held[i][b]
         lists.append(seq)
         taken.append(got)
-    cut = _boundary(spark, placed, edge, taken)
 
+    # the tree deals the quotas; each shard draws its next blocks of every source
     quotas = splitting_tree(np.array([len(x) for x in lists], dtype=np.int64), n_shards,
-                            np.random.default_rng([seed, 1 << 30])) if src else np.zeros((0, 0))
-    edge_of = {i: b for i, b, _ in edge}
-    rows, edge_shard = [], {}
-    for i, seq in enumerate(lists):
-        shard_of = np.repeat(np.arange(n_shards), quotas[:, i])
-        draws: dict[int, list] = {b: [] for b in held[i]}
-        last = seq[-1] if i in edge_of else None
-        for (b, p), s in zip(seq, shard_of, strict=True):
-            if (b, p) == last:
-                edge_shard[i] = (int(s), p)
-            else:
-                draws[b].append((p, int(s)))
-        rows += [(i, b, d, b == edge_of.get(i)) for b, d in draws.items()]
-    blocks = local_rows(spark, rows, "sid int, block int, draws array<struct<pass:int,shard:int>>, "
-                                     "edge boolean")
-    src = [(*x, *cut.get(x[0], (None, None)), *edge_shard.get(x[0], (None, None))) for x in src]
+                            np.random.default_rng([seed, 1 << 30])) if src else np.zeros((n_shards, 0), np.int64)
+    drawn_by: list[dict[int, list]] = [{b: [] for b in held[i]} for i in range(len(src))]
+    edge_shard: dict[int, int] = {}
+    at = [0] * len(src)
+    for shard, quota in enumerate(quotas):
+        for i, n in enumerate(quota):
+            for b, p in lists[i][at[i]:at[i] + int(n)]:
+                if i in edge and (b, p) == (edge[i][0], last[i]):
+                    edge_shard[i] = shard
+                else:
+                    drawn_by[i][b].append((p, shard))
+            at[i] += int(n)
+    rows = [(i, b, draws) for i, by in enumerate(drawn_by) for b, draws in by.items()]
+    blocks = local_rows(spark, rows, "sid int, block int, draws array<struct<pass:int,shard:int>>")
+    cut, parts = _ends(spark, placed, edge, taken)
+    src = [(*x, edge.get(x[0], (None,))[0], cut.get(x[0]), last.get(x[0]), edge_shard.get(x[0])) for x in src]
     sources = local_rows(spark, src, "sid int, source string, p long, source_size long, target double,"
-                                     " cut_k long, fill_k long, edge_shard int, edge_pass int")
-    return MixPlan(blocks, sources)
+                                     " edge_block int, cut_k long, edge_pass int, edge_shard int")
+    return MixPlan(sources, blocks, local_rows(spark, parts, "sid int, k long, copies long"))
 
 
-def _boundary(spark, placed: DataFrame, edge: list, taken: list[set]) -> dict:
-    """For each source with a boundary block: the last place taken of it, and
-    the place of the untaken document that fits the remaining words best."""
+def _ends(spark, placed: DataFrame, edge: dict, taken: list[set]) -> tuple[dict, list]:
+    """For each source with an end block: the last place that is taken whole
+    in it, and the places that are taken in part (sid, k, copies): the one
+    where the block ends, and the one whose size fits the remaining words best."""
     if not edge:
-        return {}
-    e = F.broadcast(local_rows(spark, edge, "sid int, block int, rest long"))
-    w = Window.partitionBy("sid").orderBy("k")  # rows that tie count together
-    run = placed.join(e, ["sid", "block"]).withColumn("cum", F.sum("size").over(w))
-    cuts = {r["sid"]: (r["k"], r["cum"]) for r in run.where("cum <= rest").groupBy("sid").agg(
-        F.max("k").alias("k"), F.max("cum").alias("cum")).collect()}
-    rest = {i: (b, n - (cuts[i][1] if i in cuts else 0), cuts[i][0] if i in cuts else -1)
-            for i, b, n in edge}
-    rows = [(i, b, int(n), int(k)) for i, (b, n, k) in rest.items()]
-    done = [(i, b) for i in rest for b in taken[i]]
-    s = F.broadcast(local_rows(spark, rows, "sid int, eb int, rest long, k0 long"))
-    d = F.broadcast(local_rows(spark, done, "sid int, block int"))
-    open_ = (placed.join(s, "sid").join(d, ["sid", "block"], "left_anti")
-             .where("(block != eb or k > k0) and size > 0")
-             .withColumn("off", F.abs(F.col("size") - F.col("rest"))).where("off < rest"))
-    best = {r["sid"]: r["off"] for r in open_.groupBy("sid").agg(F.min("off").alias("off")).collect()}
-    fill = {}
-    if best:
-        b = F.broadcast(local_rows(spark, list(best.items()), "sid int, off long"))
-        fill = {r["sid"]: r["k"] for r in open_.join(b, ["sid", "off"]).groupBy("sid").agg(
-            F.min("k").alias("k")).collect()}
-    return {i: (rest[i][2], fill.get(i)) for i in rest}
+        return {}, []
+    e = F.broadcast(local_rows(spark, [(i, b, rest) for i, (b, rest) in edge.items()], "sid int, block int, rest long"))
+    places = placed.join(e, ["sid", "block"]).where("size > 0").groupBy("sid", "k", "rest").agg(
+        F.count(F.lit(1)).alias("c"), F.min("size").alias("size"))
+    run = places.withColumn("cum", F.sum(F.col("c") * F.col("size")).over(Window.partitionBy("sid").orderBy("k")))
+    before = F.col("cum") - F.col("c") * F.col("size")
+    rows = run.where(before <= F.col("rest")).groupBy("sid").agg(
+        F.max(F.when(F.col("cum") <= F.col("rest"), F.col("k"))).alias("cut"),
+        F.min(F.when(F.col("cum") > F.col("rest"), F.struct("k", "size", (F.col("rest") - before).alias("rest")))).alias("end"),
+        F.min(F.col("rest") - F.col("cum")).alias("left")).collect()
+    cut, left, part = {}, {}, {}
+    for r in rows:
+        i = r["sid"]
+        cut[i] = -1 if r["cut"] is None else r["cut"]
+        if r["end"] is None:
+            left[i] = r["left"]
+            continue
+        n, rem = divmod(r["end"]["rest"], r["end"]["size"])
+        left[i] = rem
+        if n:
+            part[i, r["end"]["k"]] = n
+    want = [(i, edge[i][0], int(left[i]), cut[i]) for i in left if left[i] > 0]
+    if want:
+        s = F.broadcast(local_rows(spark, want, "sid int, eb int, rest long, k0 long"))
+        d = F.broadcast(local_rows(spark, [(x[0], b) for x in want for b in taken[x[0]]], "sid int, block int"))
+        # the place where the block ends has a copy left, too: fewer than all were taken
+        off = F.abs(F.col("size") - F.col("rest"))
+        open_ = (placed.join(s, "sid").join(d, ["sid", "block"], "left_anti").where("(block != eb or k > k0) and size > 0")
+                 .withColumn("off", off).where("off < rest"))
+        for r in open_.groupBy("sid").agg(F.min(F.struct("off", "k")).alias("b")).collect():
+            at = (r["sid"], r["b"]["k"])
+            part[at] = part.get(at, 0) + 1
+    return cut, [(i, k, int(n)) for (i, k), n in part.items()]
 
 
 def drawn(docs: DataFrame, plan: MixPlan, source: Column, k: Column) -> DataFrame:
-    """``docs`` plus ``mix_draws`` (array of pass and shard, one per time the
-    document is taken), ``mix_target`` and ``mix_source_size``; no shuffle."""
-    docs = without(docs, "mix_draws", "mix_target", "mix_source_size", "mix_k")
-    t = docs.select(F.struct("*").alias("_row"), source.alias("_src"), k.alias("mix_k"))
-    t = t.join(F.broadcast(plan.sources), F.col("_src").eqNullSafe(F.col("source")), "left")
-    t = t.withColumn("block", _block(F.col("mix_k"), F.col("p")))
+    """(row, k, draws, target, source_size): ``row`` holds the columns of
+    ``docs``, ``draws`` the pass and shard of each time the row is taken. Only
+    rows of places that are taken in part are shuffled."""
+    t = docs.select(F.struct("*").alias("row"), source.alias("src"), k.alias("k"))
+    t = t.join(F.broadcast(plan.sources), F.col("src").eqNullSafe(F.col("source")), "left")
+    t = t.withColumn("block", _block(F.col("k"), F.col("p")))
     t = t.join(F.broadcast(plan.blocks), ["sid", "block"], "left")
-    extra = ((F.col("edge") & (F.col("mix_k") <= F.col("cut_k"))) |
-             (F.col("mix_k") == F.coalesce(F.col("fill_k"), F.lit(-1))))
+    t = t.join(F.broadcast(plan.parts), ["sid", "k"], "left")
+    whole = F.coalesce((F.col("block") == F.col("edge_block")) & (F.col("k") <= F.col("cut_k")), F.lit(False))
     one = F.array(F.struct(F.col("edge_pass").alias("pass"), F.col("edge_shard").alias("shard")))
-    return t.select("_row.*", "mix_k", F.when(extra, F.concat("draws", one)).otherwise(F.col("draws"))
-                    .alias("mix_draws"), F.col("target").alias("mix_target"),
-                    F.col("source_size").alias("mix_source_size"))
+
+    def out(d: DataFrame, more: Column) -> DataFrame:
+        return d.select("row", "k", F.when(more, F.concat("draws", one)).otherwise(F.col("draws")).alias("draws"), "target", "source_size")
+    rest = out(t.where("copies is null"), whole)
+    some = materialise(t.where("copies is not null").withColumn("uid", F.monotonically_increasing_id()))
+    some = prefix_sums(some, ["sid", "k"], [F.col("uid")], F.shiftright("uid", 16), {"nth": F.lit(1).cast("long")}, inclusive=True)
+    return rest.unionByName(out(some, F.col("nth") <= F.col("copies")))
 
 
 def _thin(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
@@ -222,7 +254,7 @@ def _thin(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataF
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        weights=default_weights, cap: float = 3.0, n_shards: int = 64, n_blocks: int = 16_384,
+        weights=default_weights, cap: float = 3.0, n_shards: int | None = None, n_blocks: int = 16_384,
         seed: int = 42) -> DataFrame:
     """The mixed corpus: a row of ``docs`` for each time it is taken, plus
     ``mix_shard``, ``mix_pass`` and ``mix_order`` (order inside the shard)."""
@@ -230,26 +262,35 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = plan_mix(materialise(_thin(docs, key, text, source, seed)), weights, cap, n_shards,
                     n_blocks, seed)
     out = drawn(docs, plan, pick(docs, source, "string"), _key(docs, key, text, seed))
-    out = out.withColumn("_draw", F.explode("mix_draws"))
-    return out.select(*["`%s`" % c for c in docs.columns], F.col("_draw.shard").alias("mix_shard"),
-                      F.col("_draw.pass").alias("mix_pass"),
-                      F.xxhash64(F.lit(seed + 1), "mix_k", "_draw.pass").alias("mix_order"))
+    out = out.select("row", "k", F.explode("draws").alias("draw"))
+    return out.select("row.*", F.col("draw.shard").alias("mix_shard"), F.col("draw.pass").alias("mix_pass"),
+                      F.xxhash64(F.lit(seed + 1), "k", "draw.pass").alias("mix_order"))
+
+
+def in_shard_order(mixed: DataFrame) -> DataFrame:
+    """The rows of :func:`mix`, each shard in one partition and shuffled by its
+    order; shards hold about ``SHARD_WORDS`` words."""
+    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
 
 
 def write_mix(mixed: DataFrame, path: str) -> None:
     """Write the shards as folders ``mix_shard=N``, each locally shuffled."""
-    (mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
-     .write.partitionBy("mix_shard").parquet(path))
+    in_shard_order(mixed).write.partitionBy("mix_shard").parquet(path)
 
 
 def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
                **kw) -> DataFrame:
-    """Per document: id, size, source_size, target and taken (words the mix
-    takes of it, repeats counted), from the same plan and draws as :func:`mix`."""
+    """Per document: id, size, source_size, target, taken (words that the
+    shards draw of it, repeats counted), source, and what each shard draws:
+    ``shards``, an array of (shard, copies). Same plan and draws as :func:`mix`."""
     seed = kw.get("seed", 42)
     thin = materialise(_thin(docs, key, text, source, seed))
     d = drawn(thin, plan_mix(thin, **kw), F.col("source"), F.col("k"))
-    return d.select(F.col("id").alias(key), "size", F.col("mix_source_size").alias("source_size"),
-                    F.col("mix_target").alias("target"),
-                    (F.size("mix_draws") * F.col("size")).cast("long").alias("taken"),
-                    "source", F.size("mix_draws").alias("copies"))
+    shard = F.transform("draws", lambda x: x["shard"])
+    by = F.transform(F.array_sort(F.array_distinct(shard)), lambda s: F.struct(
+        s.alias("shard"), F.size(F.filter("draws", lambda x: x["shard"] == s)).alias("copies")))
+    d = d.withColumn("shards", by)
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda a, x: a + x["copies"])
+    return d.select(F.col("row.id").alias(key), F.col("row.size").alias("size"), "source_size", "target",
+                    (taken * F.col("row.size")).alias("taken"), F.col("row.source").alias("source"),
+                    taken.cast("int").alias("copies"), "shards")

@@ -323,18 +323,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) ->
     # the winner of a class has the class's key and, among such rows, the smallest node
     first = big.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("node").alias("_n"))
     lose = big.join(first, "class").where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("_n"))))
-    lose = materialise(lose.select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct())
+    lose = materialise(lose.select(F.col("id").alias("i"), F.col("node").alias("n")).distinct())
     t = pick(docs, text, "string")
-    cols = ["`%s`" % x for x in docs.columns]
-    d = docs.select("*", pick(docs, key, "long").alias("_did"), F.when(t.isNotNull(), node_of(t)).alias("_dnode"))
-    d = d.join(hint_small(lose, lose.count(), 24), (F.col("_dnode") == F.col("_node")) & F.col("_did").eqNullSafe(F.col("_id")), "left_anti")
-    twice = materialise(c.where("node is not null").groupBy(F.col("id").alias("_id"), F.col("node").alias("_node"))
-                        .agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    hit = (F.col("_dnode") == F.col("_node")) & F.col("_did").eqNullSafe(F.col("_id"))
+    # the row is a struct, so that no name of its columns meets one of ours
+    d = docs.select(F.struct("*").alias("row"), pick(docs, key, "long").alias("did"), F.when(t.isNotNull(), node_of(t)).alias("dnode"))
+    hit = (F.col("dnode") == F.col("n")) & F.col("did").eqNullSafe(F.col("i"))
+    d = d.join(hint_small(lose, lose.count(), 24), hit, "left_anti")
+    twice = materialise(c.where("node is not null").groupBy(F.col("id").alias("i"), F.col("node").alias("n"))
+                        .agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     again = hint_small(twice, twice.count(), 24)
     rest = d.join(again, hit, "left_anti")
-    one = d.join(again, hit, "left_semi").dropDuplicates(["_did", "_dnode"])
-    return rest.unionByName(one).select(*cols)
+    one = d.join(again, hit, "left_semi").dropDuplicates(["did", "dnode"])
+    return rest.unionByName(one).select("row.*")
 
 
 def class_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:

@@ -104,6 +104,106 @@ def test_mix_rows_agree_with_report(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def brute_mix(rows, plan_blocks, seed=42):
+    """Words taken by source from (source, size, k) rows: blocks in their
+    permuted order, the last one place by place, then the best fit."""
+    size = Counter()
+    for s, n, _ in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = mixing.targets(dict(size), mixing.default_weights(names))
+    total, taken, copies = sum(size.values()), {}, Counter()
+    for i, s in enumerate(names):
+        p = max(1, round(plan_blocks * size[s] / total))
+        mine = sorted((k, n) for src, n, k in rows if src == s)
+        blocks = defaultdict(list)
+        for k, n in mine:
+            blocks[((k >> 32) * p) >> 31].append((k, n))
+        rng = np.random.default_rng([seed, i])
+        full = int(want[s] / size[s] + 1e-9) if size[s] else 0
+        rest = max(0, round(want[s] - full * size[s]))
+        for _ in range(full):
+            rng.permutation(np.array(sorted(blocks)))
+        words, got, done = full * size[s], Counter(), set()
+        if rest:
+            for b in rng.permutation(np.array(sorted(blocks))):
+                if sum(n for _, n in blocks[b]) <= rest:
+                    got.update(blocks[b])
+                    done.add(b)
+                    rest -= sum(n for _, n in blocks[b])
+                    continue
+                for k, n in blocks[b]:
+                    if n <= rest:
+                        got[k, n] += 1
+                        rest -= n
+                    elif n:
+                        break
+                break
+            last = max((k for b, v in blocks.items() for k, n in v if b not in done and got[k, n]), default=-1)
+            end = b if b not in done else None
+            open_ = [(abs(n - rest), k, n) for x, v in blocks.items() if x not in done for k, n in v
+                     if n and abs(n - rest) < rest and (x != end or k >= last) and got[k, n] < v.count((k, n))]
+            if rest and open_:
+                _, k, n = min(open_)
+                got[k, n] += 1
+        words += sum(n * c for (k, n), c in got.items())
+        taken[s] = words
+        copies.update({(s, k): c for (k, n), c in got.items() if n})
+        for k, n in mine:
+            copies[s, k] += full if n else 0
+    return taken, copies
+
+
+@pytest.mark.parametrize("blocks", [20, 16_384])
+def test_taken_equals_brute_force(spark, blocks):
+    rows = [(None, "t t t t t t t t t t", "a")] * 900 + [(i, " ".join(["w%d" % i] * 10), "a") for i in range(100)]
+    r = np.random.default_rng(3)
+    rows += [(1000 + i, " ".join(["v%d" % i] * int(r.integers(0, 40))), ["b", "c", None][i % 3]) for i in range(500)] + [(7, None, "b")]
+    d = local_rows(spark, rows, "doc_id long, text string, source string").repartition(5)
+    thin = [tuple(x) for x in mixing._thin(d, "doc_id", "text", "source", 42).select("source", "size", "k").collect()]
+    words, copies = brute_mix(thin, blocks)
+    rep = mixing.mix_report(d, n_blocks=blocks).collect()
+    got, target = Counter(), {}
+    for x in rep:
+        got[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+        assert x["taken"] <= 3 * x["size"] and sum(y["copies"] for y in x["shards"]) == x["copies"]
+    assert dict(got) == words
+    assert all(abs(words[s] - target[s]) <= (10 if s == "a" else 20) for s in words)
+    assert sum(x["copies"] for x in rep if x["size"]) == sum(copies.values())
+
+
+def test_shards_draw_what_the_tree_deals(spark, monkeypatch):
+    d = local_rows(spark, [(i, " ".join(["w"] * (i % 9)), "ab"[i % 2]) for i in range(600)], "doc_id long, text string, source string")
+
+    def by_shard():
+        out = Counter()
+        for x in mixing.mix_report(d, n_shards=6, n_blocks=300).collect():
+            out.update({y["shard"]: y["copies"] for y in x["shards"]})
+        return [out[i] for i in range(6)]
+    rows = by_shard()
+    assert min(rows) > 0.5 * max(rows) and sum(rows) > 400
+    mixed = mixing.mix(d, n_shards=6, n_blocks=300)
+    assert rows == [c for _, c in sorted(Counter(x["mix_shard"] for x in mixed.collect()).items())]
+    where = mixing.in_shard_order(mixed).select(F.spark_partition_id().alias("p"), "mix_shard", "mix_order").collect()
+    assert all(a["mix_order"] <= b["mix_order"] for a, b in zip(where, where[1:]) if a["p"] == b["p"] and a["mix_shard"] == b["mix_shard"])
+    real = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda n, k, rng: np.vstack([real(n, 1, rng), np.zeros((k - 1, len(n)), np.int64)]))
+    assert by_shard() != rows  # without the tree the report is another
+
+
+def test_stages_with_clashing_names_nulls_and_repeats(spark):
+    import corpus_pipeline as P
+    names = ("_did", "_node", "_dnode", "_id", "_tk", "_bad", "_draw", "_row", "row", "k", "draws", "i", "n", "text_key", "h", "class", "size", "mix_k")
+    d = edge_docs(spark, names)
+    for name, stage in P.STAGES:
+        out = stage(spark, d, SF)
+        if name != "shard":
+            assert out.columns == d.columns, name
+        rows = out.collect()
+        assert all(r["_draw"] == r["row"] == r["class"] == "mine" for r in rows), name
+
+
 # --------------------------------------------------------------------- chat
 def test_template_folds_constants_and_rejects_unsafe():
     t = chat.Template("{{ 'a' + 'b' }}{% if 1 == 2 %}x{% elif true %}y{% else %}z{% endif %}{# note #}!")
