@@ -11,7 +11,8 @@ a frame that is written as Parquet and read again as the next stage's
 * ``decontaminate`` drops texts that hold a benchmark item, also with other
   numbers, names or units
 * ``mix_sources`` repeats or leaves out documents so that the sources have
-  weights 1, 2, 3, ... by words; a repeated document is a repeated row
+  weights 1, 2, 3, ... by words; a repeated document is a repeated row; the
+  rows of a mixed shard stand together in shuffled order
 * ``shard`` adds ``shard`` (0 to 39) by rendezvous hashing of ``doc_id``
 
 Missing labels or benchmark rows leave the documents as they are; an empty
@@ -42,7 +43,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*["`%s`" % c for c in docs.columns])
+    mixed = mixing.in_shard_order(mixing.mix(docs))
+    return mixed.select(*["`%s`" % c for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
