@@ -455,6 +455,19 @@ def q_fuse_add(spark: SparkSession, sf: str) -> DataFrame:
     return _elements(fusion.fuse_add(t, i, "vec_id", wt, wi, dim=8))
 
 
+def q_fuse_add_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The usual sizes: text vectors of 768, image vectors of 2048, 512 out."""
+    e = si.table(spark, sf, "embeddings")
+
+    def wide(n: int, fn):  # the vector repeated up to ``n`` numbers, each by its place
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(
+            "embedding", F.pmod(i, F.size("embedding")) + 1).cast("double") * fn(i))
+    t = e.select("vec_id", wide(768, lambda i: F.cos(i * 0.5)).alias("text_emb"))
+    i = e.where("label <> 3").select("vec_id", wide(2048, lambda i: F.sin(i * 0.25)).alias("image_emb"))
+    wt, wi = _matrix(spark, 768, 512, 7, 3, F.sin), _matrix(spark, 2048, 512, 5, 11, F.cos)
+    return _elements(fusion.fuse_add(t, i, "vec_id", wt, wi, dim=512))
+
+
 # ---------------------------------------------------------------- coverage
 def _doc_status(spark: SparkSession, sf: str) -> DataFrame:
     d = si.table(spark, sf, "documents").select(
@@ -502,6 +515,24 @@ def q_run_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_classifier(prep, vec, "doc_id", "embedding")
 
 
+def q_run_fusion_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads over both halves of the embeddings; every tenth item has no image."""
+    from prodlens.operators.labels import stratified_split
+    e = stratified_split(si.table(spark, sf, "embeddings"), "label", "vec_id")
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    text = e.select("vec_id", F.slice("embedding", F.lit(1), half).alias("text_emb"))
+    image = e.where("vec_id % 10 <> 0").select("vec_id", F.slice("embedding", half + 1, F.size("embedding")).alias("image_emb"))
+    results, _ = jobs.run_fusion_classifier(e, text, image, "vec_id")
+    return results
+
+
+def q_run_classifier_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    from prodlens.operators import models
+    prep = _prepared(spark, sf, materialize=True)
+    vec = models.embed(prep.select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
+    return jobs.run_classifier(prep, vec, "doc_id", "embedding", class_weights=True)
+
+
 def q_pca_2d(spark: SparkSession, sf: str) -> DataFrame:
     from prodlens.operators import models
     e = models.array_features(si.table(spark, sf, "embeddings"), "embedding")
@@ -517,6 +548,8 @@ QUERIES = {
     "active_learning": q_active_learning,
     "embed": q_embed,
     "run_classifier": q_run_classifier,
+    "run_classifier_weighted": q_run_classifier_weighted,
+    "run_fusion_classifier": q_run_fusion_classifier,
     "pca_2d": q_pca_2d,
     "parse_jsonl": q_parse_jsonl,
     "select_entropy": _selection("entropy"),
@@ -534,6 +567,7 @@ QUERIES = {
     "selection_threshold": q_selection_threshold,
     "fuse_concat": q_fuse_concat,
     "fuse_add": q_fuse_add,
+    "fuse_add_wide": q_fuse_add_wide,
     "with_file_status": q_with_file_status,
     "coverage_report": q_coverage_report,
     "tokens": q_tokens,

@@ -9,6 +9,7 @@ from prodlens.functions.text import clean_text
 from prodlens.operators.assemble import drop_empty_text
 from prodlens.operators.labels import drop_rare_classes, encode_labels, stratified_split
 from prodlens.session import write_table
+from prodlens.sources.store import ModelStore, fingerprint
 
 
 def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category",
@@ -65,36 +66,112 @@ def split_frames(prepared: DataFrame, split: str = "split"):
 
 
 def run_baselines(prepared: DataFrame, key: str = "doc_id", text_col: str = "text",
-                  names=None, max_iter: int | None = None) -> DataFrame:
+                  names=None, max_iter: int | None = None, class_weights: bool = False) -> DataFrame:
     """B4: fit TF-IDF on train, vectorise all splits, train the baselines,
     score train/val/test; the results table rounded to 4 decimals.
-    ``max_iter`` caps the linear solvers (default: the reference's 1000)."""
+    ``max_iter`` caps the linear solvers (default: the reference's 1000);
+    ``class_weights`` gives every class of the training rows equal weight."""
     from prodlens.operators import features, models
+    from prodlens.operators.labels import class_weights as balanced
     train, val, test = split_frames(prepared)
     tm = features.fit_tfidf(train, key, text_col)
     pm = models.tfidf_pipeline(tm, text_col, "features")
-    tr, va, te = (models.vectorize(pm, d).persist() for d in (train, val, test))
-    res, fitted = models.train_all(tr, va, key, names or models.BASELINES,
+    if class_weights:
+        k = train.agg(F.max("label")).first()[0]
+        train = models.with_class_weights(train, balanced(train, (k if k is not None else -1) + 1))
+    parts = [models.vectorize(pm, d).persist() for d in (train, val, test)]
+    res, fitted = models.train_all(*parts[:2], key, names or models.BASELINES,
+                                   weight_col="weight" if class_weights else None,
                                    max_iter=max_iter or models.MAX_ITER)
-    out = models.evaluate_all(res, fitted, te, key)
+    out = models.evaluate_all(res, fitted, parts[2], key)
+    for d in parts:
+        d.unpersist()
     return out
 
 
 def run_classifier(prepared: DataFrame, vectors: DataFrame, key: str, vec_col: str,
-                   hidden: int = 512, max_iter: int = 100) -> DataFrame:
+                   hidden: int = 512, max_iter: int = 100, class_weights: bool = False,
+                   store: ModelStore | None = None) -> DataFrame:
     """B5: an MLP head over per-row vectors (``vectors (key, vec_col)``);
-    trained on train, the best of the hidden sizes ``[hidden, hidden // 2]``
-    kept on validation, then scored on test: per-class report rows."""
-    from prodlens.operators import metrics, models
-    # iterative solvers read the input once per iteration: keep it cached
-    d = models.array_features(prepared.join(vectors, key, "inner"), vec_col).persist()
-    dim = len(d.select(vec_col).first()[0])
-    k = prepared.agg(F.max("label")).first()[0] + 1
-    train, val, test = split_frames(d)
-    cands = {"mlp_%d" % h: models.estimator("mlp", 1, layers=[dim, h, k], maxIter=max_iter)
-             for h in (hidden, max(hidden // 2, 2))}
-    name, model, _ = models.select_on_validation(cands, train, val, key)
-    return metrics.classification_report(models.score(model, test, key))
+    the hidden sizes ``[hidden, hidden // 2]`` are trained on train and saved
+    in ``store`` (default: a new one in the shared checkpoint folder) with
+    their validation F1; the best version of this data is loaded from there
+    and scored on test: per-class report rows."""
+    from prodlens.operators import metrics
+    d = prepared.join(vectors, key, "inner")
+    best = fit_heads(d, vec_col, {"mlp_%d" % h: [h] for h in (hidden, max(hidden // 2, 2))}, key, max_iter,
+                     class_weights, store)
+    return metrics.classification_report(best.where("split = 'test'").select(key, "label", "prediction", "probs"))
+
+
+def fit_heads(d: DataFrame, vec_col: str, heads: dict[str, list[int]], key: str, max_iter: int = 100,
+              class_weights: bool = False, store: ModelStore | None = None, name: str = "classifier") -> DataFrame:
+    """Train MLP heads (name -> widths of the hidden layers) over an array
+    column on the rows of split 'train', save each with its F1 on 'val', load
+    the best version of this data back and score all rows with it:
+    ``(key, split, label, prediction, probs)``."""
+    from prodlens.operators import models
+    from prodlens.operators.labels import class_weights as balanced
+    store = store or ModelStore.temporary(d.sparkSession)
+    # iterative solvers read the input once per iteration: write it once
+    d = write_table(models.array_features(d.select(key, "label", "split", vec_col), vec_col).drop(vec_col))
+    size = d.agg(F.max("label").alias("k"), F.first("features").alias("v")).first()
+    train, val, _ = split_frames(d)
+    weight = "weight" if class_weights else None
+    if weight:
+        train = models.with_class_weights(train, balanced(train, size["k"] + 1))
+    train = train.persist()
+    data = fingerprint(d.select(key, "label", "split"))
+    candidates = {n: models.estimator("mlp", 1, layers=[len(size["v"]), *widths, size["k"] + 1], maxIter=max_iter)
+                  for n, widths in heads.items()}
+    models.select_on_validation(candidates, train, val, key, weight_col=weight, keep=lambda n, m, f1: store.save(
+        m, name, f1, data, {"head": n, "layers": list(m.getOrDefault("layers")), "max_iter": max_iter}))
+    train.unpersist()
+    model = store.load(name, data)
+    return models.score(model, d, key, keep=["split"])
+
+
+def run_fusion_classifier(prepared: DataFrame, text_emb: DataFrame, image_emb: DataFrame, key: str,
+                          text_col: str = "text_emb", image_col: str = "image_emb", hidden: int = 1024, common: int = 512,
+                          max_iter: int = 100, class_weights: bool = True, store: ModelStore | None = None,
+                          forms: tuple[str, ...] = ("concat", "add", "text", "image")) -> tuple[DataFrame, DataFrame]:
+    """M9: heads over the vectors of both modalities. 'concat' joins them
+    (hidden layers ``hidden`` and ``hidden // 2``); 'add' projects both to
+    ``common`` numbers (fitted on train), adds them (one hidden layer of 512);
+    'text' and 'image' are the same as 'concat' over one of them. Missing
+    images are zeros. ``prepared`` has ``key, label, split``.
+
+    Returns ``(results, predictions)``: form, split, accuracy, precision, recall
+    and f1; form, key, split, label, prediction, probs (written once)."""
+    from prodlens.operators import fusion, metrics
+    rows = prepared.select(key, "label", "split")
+    text = text_emb.select(key, F.col(text_col).alias("t")).join(rows, key, "left_semi")
+    image = image_emb.select(key, F.col(image_col).alias("i")).join(rows, key, "left_semi")
+    dims = [f.select(F.max(F.size(c))).first()[0] or 0 for f, c in ((text, "t"), (image, "i"))]
+    train = rows.where("split = 'train'").select(key)
+
+    def vectors(form: str) -> DataFrame:
+        if form == "add":
+            wt, wi = (fusion.fit_projection(f.join(train, key, "left_semi"), c, common, seed)
+                      for f, c, seed in ((text, "t", 1), (image, "i", 2)))
+            return fusion.fuse_add(text, image, key, wt, wi, common, "t", "i", "v")
+        both = fusion.fuse_concat(text, image, key, dims[1], "t", "i", "v")
+        return both.select(key, {"concat": F.col("v"), "text": F.slice("v", 1, dims[0]),
+                                 "image": F.slice("v", dims[0] + 1, dims[1])}[form].alias("v"))
+    found = None
+    for form in forms:
+        heads = {"fused_%s" % form: [512] if form == "add" else [hidden, hidden // 2]}
+        p = fit_heads(rows.join(vectors(form), key), "v", heads, key, max_iter, class_weights, store, "fusion_" + form)
+        p = p.select(F.lit(form).alias("form"), key, "split", "label", "prediction", "probs")
+        found = p if found is None else found.unionByName(p)
+    found = write_table(found)
+    results = None
+    for form in forms:
+        for split in ("train", "val", "test"):
+            m = metrics.metrics(found.where((F.col("form") == form) & (F.col("split") == split)), "weighted")
+            m = m.select(F.lit(form).alias("form"), F.lit(split).alias("split"), *m.columns)
+            results = m if results is None else results.unionByName(m)
+    return results, found
 
 
 def run_active_learning(prepared: DataFrame, key: str = "doc_id", text_col: str = "text",

@@ -505,6 +505,19 @@ pi AS (SELECT vec_id, j, sum(x * w) AS v FROM ey JOIN wi ON ey.i = wi.i GROUP BY
 SELECT pt.vec_id, pt.j::integer AS j, round(pt.v + coalesce(pi.v, 0.0), 6) AS value
 FROM pt LEFT JOIN pi ON pt.vec_id = pi.vec_id AND pt.j = pi.j"""
 
+# sin(7i + 3j) and cos(5i + 11j) are taken apart, so a row needs four sums instead of 2048 x 512 products
+SQL["fuse_add_wide"] = """
+WITH t AS (SELECT vec_id, label, unnest(range(768)) AS i, embedding AS e FROM embeddings),
+ts AS (SELECT vec_id, sum(e[i % len(e) + 1]::double * cos(i * 0.5) * sin(i * 7)) AS s,
+              sum(e[i % len(e) + 1]::double * cos(i * 0.5) * cos(i * 7)) AS c FROM t GROUP BY vec_id),
+m AS (SELECT vec_id, unnest(range(2048)) AS i, embedding AS e FROM embeddings WHERE label <> 3),
+ms AS (SELECT vec_id, sum(e[i % len(e) + 1]::double * sin(i * 0.25) * sin(i * 5)) AS s,
+              sum(e[i % len(e) + 1]::double * sin(i * 0.25) * cos(i * 5)) AS c FROM m GROUP BY vec_id)
+SELECT ts.vec_id, r.range::integer AS j,
+       round((ts.s * cos(r.range * 3) + ts.c * sin(r.range * 3)) / 8.0
+             + coalesce((ms.c * cos(r.range * 11) - ms.s * sin(r.range * 11)) / 8.0, 0.0), 6) AS value
+FROM ts LEFT JOIN ms ON ms.vec_id = ts.vec_id CROSS JOIN range(512) r"""
+
 # ---------------------------------------------------------------- coverage
 DOC_STATUS = """st_docs AS (SELECT doc_id, CASE WHEN n_chars >= 100 THEN 'data/images/' || doc_id::varchar || '.jpg'
                                     END AS image_path FROM documents),
