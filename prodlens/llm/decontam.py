@@ -61,7 +61,7 @@ from prodlens.llm.common import hint_small, materialise, pick
 
 MIN_WIDTH, MIN_WORDS = 5, 4
 #: Tokens of a gram, tokens of a loose tile, words that a name may meet.
-GRAM, TILE, NAME_WORDS = 3, 4, 4
+GRAM, TILE, NAME_WORDS = 5, 4, 4
 
 UNITS = ("km cm mm kg mg lb lbs oz ml mi mph kmh ft inch inches mile miles metre metres meter meters gram grams "
          "litre litres liter liters hour hours hr hrs minute minutes min second seconds sec day days week weeks "
@@ -74,7 +74,7 @@ UNIT = r"(?<!\p{L})(?i:" + "|".join(UNITS) + r")(?!\p{L})"
 DENSE = "".join(r"\p{Is%s}" % x for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 #: The first ranges are Latin letters: tested first, as the intersection is slow.
 PLAIN = r"%s|[%s]|[a-zA-Z[\p{L}\p{M}&&[^%s]]]+" % (NUMBER, DENSE, DENSE)
-GRAM_TOKEN = r"%s|[%s]|[a-z\u00DF-\u00F6\u00F8-\u00FF[\p{L}&&[^%s]]]+" % (NUMBER, DENSE, DENSE)
+GRAM_TOKEN = r"[a-z\u00DF-\u00F6\u00F8-\u00FF[\p{L}&&[^%s]]]++|%s|[%s]" % (DENSE, NUMBER, DENSE)
 #: Words that the loose path reads as numbers (English; a run of them is one number).
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
                 "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
@@ -149,22 +149,53 @@ def gram_tokens(text: Column) -> Column:
 
 
 def best_grams(runs: DataFrame) -> DataFrame:
-    """(h, k) per run of tokens (``text``): the gram of up to ``GRAM`` tokens
-    with the most characters; h is null for a run without tokens."""
-    r = runs.select(gram_tokens(F.col("text")).alias("q")).distinct()
-    r = r.withColumn("k", F.least(F.size("q"), F.lit(GRAM)))
+    """``runs`` with (h, k) of each run of tokens (``text``): its gram of up to
+    ``GRAM`` tokens with the most characters; h is null for a run without tokens."""
+    r = runs.withColumn("q", gram_tokens(F.col("text"))).withColumn("k", F.least(F.size("q"), F.lit(GRAM)))
     grams = F.transform(F.sequence(F.lit(1), F.size("q") - F.col("k") + 1), lambda i: F.slice("q", i, F.col("k")))
     best = F.array_max(F.transform(grams, lambda g: F.struct(F.length(F.concat_ws("", g)).alias("chars"), F.xxhash64(g).alias("h"), g.alias("g"))))
-    r = r.select("k", F.when(F.col("k") > 0, best).alias("b"))
-    return r.select(F.when(F.col("k") > 0, F.xxhash64("b.g")).alias("h"), "k").distinct()
+    r = r.withColumn("b", F.when(F.col("k") > 0, best))
+    return r.withColumn("h", F.when(F.col("k") > 0, F.xxhash64("b.g"))).drop("q", "b", "text")
+
+
+def needed_grams(windows: DataFrame, min_tokens: int, min_share: float) -> DataFrame:
+    """(h, k): the grams to search for of ``windows`` (item_id, n, w, ipos,
+    text). An alignment of an item covers ``min_tokens`` or the share
+    ``min_share`` of it; so windows with short grams, which many texts hold,
+    may be passed over as far as all those of an item cover less than that:
+    an alignment then has another window, too."""
+    g = materialise(best_grams(windows))
+    place = F.explode(F.sequence("ipos", F.col("ipos") + F.col("w") - 1)).alias("place")
+    first = g.select("item_id", "n", place, "k").groupBy("item_id", "n", "place").agg(F.min("k").alias("k"))
+    cover = first.groupBy("item_id", "n").agg(*[F.count(F.when(F.col("k") < k, 1)).alias("c%d" % k) for k in range(2, GRAM + 1)])
+    enough = lambda c: (c >= min_tokens) | (c >= min_share * F.col("n"))
+    least = F.lit(1)
+    for k in range(2, GRAM + 1):
+        least = F.when(~enough(F.col("c%d" % k)), F.lit(k)).otherwise(least)
+    least = cover.select(F.col("item_id").alias("i"), F.col("n").alias("m"), least.alias("least"))
+    j = g.join(hint_small(least, least.count(), 24), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("n") == F.col("m")))
+    return j.where("h is null or k >= least").select("h", "k").distinct()
 
 
 def literal_runs(windows: DataFrame, tokens: str) -> DataFrame:
-    """(text) per row: its longest run of tokens that aren't placeholders."""
+    """``windows`` with ``text``: the longest run of tokens that aren't placeholders."""
     cut = F.transform(tokens, lambda x: F.when(x.startswith("\x01"), F.lit("\x01")).otherwise(x))
     runs = F.split(F.concat_ws("\x02", cut), "\x01")
     sized = F.transform(runs, lambda x: F.struct(F.size(F.filter(F.split(x, "\x02"), lambda w: w != "")).alias("n"), F.length(x).alias("c"), x.alias("x")))
-    return windows.select(F.translate(F.array_max(sized)["x"], "\x02", " ").alias("text"))
+    return windows.withColumn("text", F.translate(F.array_max(sized)["x"], "\x02", " "))
+
+
+def places(tokens: Column) -> Column:
+    """A row for each place of an array, counted from 0."""
+    return F.explode(F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)))
+
+
+def first_grams(bw: DataFrame, pw: DataFrame, min_tokens: int, min_share: float) -> DataFrame:
+    """(h, k): grams of the template and plain windows."""
+    place = ("item_id", "n", "w", "ipos")
+    a = literal_runs(bw, "btokens").select(*place, "text")
+    b = pw.select(*place, F.concat_ws(" ", "btokens").alias("text"))
+    return needed_grams(a, min_tokens, min_share).union(needed_grams(b, min_tokens, min_share)).distinct()
 
 
 def texts_with_grams(d: DataFrame, grams: DataFrame) -> DataFrame:
@@ -175,9 +206,10 @@ def texts_with_grams(d: DataFrame, grams: DataFrame) -> DataFrame:
         return d
     sizes = sorted(r["k"] for r in grams.select("k").distinct().collect())  # at most GRAM numbers
     q, p = F.col("q"), F.col("p")
-    x = d.select("text_key", gram_tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
-    x = x.select("text_key", "q", F.explode(F.sequence(F.lit(0), F.size("q") - 1)).alias("p"))
-    hashes = [F.when(p + k <= F.size(q), F.xxhash64(F.array(*[F.get(q, p + i) for i in range(k)]))) for k in sizes]
+    x = d.select("text_key", gram_tokens(F.col("text")).alias("q"))
+    x = x.select("text_key", "q", places(q).alias("p"))  # a filter on the size would make the tokens twice
+    # the hash of some columns is that of their array
+    hashes = [F.when(p + k <= F.size(q), F.xxhash64(*[F.get(q, p + i) for i in range(k)])) for k in sizes]
     if not hashes:
         return d.limit(0)
     x = x.select("text_key", (hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))).alias("h"))
@@ -189,7 +221,7 @@ def texts_with_grams(d: DataFrame, grams: DataFrame) -> DataFrame:
 def _loose(surfaces: Column, name: bool) -> Column:
     """Loose tokens of surfaces; names are told by capitals if ``name``."""
     def kind(x: Column) -> Column:
-        number = x.rlike(r"^\d") | F.lower(x).rlike("^%s$" % SAID)
+        number = x.rlike(r"^\d") | (F.lower(F.substring_index(F.substring_index(x, " ", 1), "-", 1)).isin(*NUMBER_WORDS) & F.lower(x).rlike("^%s$" % SAID))
         k = F.when(number, F.lit(P_NUMBER))
         return (k.when(x.rlike("^(?:%s)$" % NAME), F.lit(P_NAME)) if name else k).otherwise(F.lower(x))
     # the word after a number is a unit
@@ -259,12 +291,13 @@ def _lay(tiles: Column, text: Column, start: Column, back: bool) -> Column:
 def loose_matches(c: DataFrame, tiles: DataFrame, grams: DataFrame, min_tokens: int, min_share: float) -> DataFrame:
     """Rows of ``matches`` for texts ``c`` (text_key, text) by the loose path."""
     c = c.select("text_key", F.regexp_extract_all(F.lower("text"), F.lit(r"%s|%s|\p{L}+" % (SAID, NUMBER)), F.lit(0)).alias("s"))
-    c = materialise(c.select("text_key", "s", _loose(F.col("s"), False).alias("t")).where(F.size("t") > 0))
+    c = materialise(c.select("text_key", "s", _loose(F.col("s"), False).alias("t")))
     n_tiles, n_grams = tiles.count(), grams.count()
     t, p = F.col("t"), F.col("p")
-    at = c.select("text_key", "t", F.explode(F.sequence(F.lit(0), F.size("t") - 1)).alias("p"))
+    at = c.select("text_key", "t", places(t).alias("p"))
+    sizes = sorted(r["k"] for r in grams.select("k").distinct().collect()) or [1]  # at most GRAM numbers
     at = at.select("text_key", "t", "p", F.explode(F.array(*[
-        F.when(p + k <= F.size(t), F.xxhash64(F.array(*[F.get(t, p + i) for i in range(k)]))) for k in range(1, GRAM + 1)])).alias("h"))
+        F.when(p + k <= F.size(t), F.xxhash64(*[F.get(t, p + i) for i in range(k)])) for k in sizes])).alias("h"))
     # the tile of a gram has to stand there as a whole
     want = grams.join(tiles.select("iid", "tile", "toks"), ["iid", "tile"]).select("iid", "tile", "off", F.xxhash64("gram").alias("h"), "toks")
     hit = at.join(hint_small(want, n_grams, 64 * TILE), "h").where(
@@ -356,9 +389,9 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int =
     d = docs.select(t.alias("text")).where("text is not null").withColumn("text_key", F.xxhash64("text"))
 
     # texts with a gram of a window, then texts with a hit
-    wanted = best_grams(literal_runs(bw, "btokens")).union(best_grams(pw.select(F.concat_ws(" ", "btokens").alias("text"))))
+    wanted = first_grams(bw, pw, min_tokens, min_share)
     if fold_case:
-        wanted = wanted.union(best_grams(grams.select(F.concat_ws(" ", "gram").alias("text"))))
+        wanted = wanted.union(best_grams(grams.select(F.concat_ws(" ", "gram").alias("text"))).select("h", "k"))
     d = materialise(texts_with_grams(d, wanted.distinct()).dropDuplicates(["text_key"]))
     loose = loose_matches(d, tiles, grams, min_tokens, min_share) if fold_case else None
     hashes = hint_small(bw.select("h").union(pw.select("h")).distinct(), n + n_plain, 16)

@@ -395,13 +395,24 @@ def test_first_search_keeps_every_text_with_a_window(spark):
     b = local_rows(spark, list(enumerate(items)), "item_id long, text string")
     d = local_rows(spark, list(enumerate(docs)), "i long, text string").withColumn("text_key", F.xxhash64("text"))
     bw, pw = decontam.benchmark_windows(b, 8, "item_id", "text"), decontam.plain_windows(b, 8, "item_id", "text", True)
-    grams = decontam.best_grams(decontam.literal_runs(bw, "btokens")).union(decontam.best_grams(pw.select(F.concat_ws(" ", "btokens").alias("text"))))
-    kept = {r["i"] for r in decontam.texts_with_grams(d, grams.distinct()).collect()}
+    # with one token as enough no window may be passed over
+    grams = decontam.first_grams(bw, pw, 1, 0.0)
+    kept = {r["i"] for r in decontam.texts_with_grams(d, grams).collect()}
     hits = brute_template_hits(docs, items)
     assert len(hits) > 20 and hits <= kept
     assert len(kept) < 0.7 * len(docs) + len(items)
 
 
+def test_first_search_changes_no_result(spark, monkeypatch):
+    docs, b = (spark.read.parquet("%s/%s.parquet" % (SF, n)) for n in ("documents", "benchmark"))
+    b = b.unionByName(local_rows(spark, [(900, QUESTION), (901, "12 + 7 = 19"), (902, "東京 はどこ")], "item_id long, text string"))
+    more = [(9000, QUESTION.replace("Alice", "Zoë").replace("3", "8")), (9001, "so 12 + 7 = 19."), (9002, "x東京はどこy"), (9003, QUESTION[8:70])]
+    docs = docs.select("doc_id", "text").unionByName(local_rows(spark, more, "doc_id long, text string"))
+    got = sorted(map(tuple, decontam.contaminated(docs, b, fold_case=True).collect()))
+    monkeypatch.setattr(decontam, "texts_with_grams", lambda d, grams: d)
+    assert got == sorted(map(tuple, decontam.contaminated(docs, b, fold_case=True).collect())) and len(got) > 10
+
+
 # --------------------------------------------------------------------- urls
 def test_url_rules(spark):
     rules = local_rows(spark, queries.URL_RULES, "host string, path string, verdict string")
