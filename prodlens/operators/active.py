@@ -81,8 +81,8 @@ def al_loop(labelled: DataFrame, pool: DataFrame, val: DataFrame, key: str,
     Returns ``(history, labelled, pool)``; history has ``iteration,
     n_samples_added, train_size, unlabeled_size, strategy, val_f1,
     seconds``. The two start tables are written once under
-    ``spark.checkpoint.dir``; a round writes only its ``n`` selected keys
-    there and scores the pool once. Labelled set and pool are the start
+    ``spark.checkpoint.dir``; a round scores the pool once, into a table of
+    keys and scores, and writes its ``n`` selected keys. Labelled set and pool are the start
     tables joined with the keys selected so far (``n`` keys a round), so
     lineage does not grow and a lost executor does not replay earlier rounds.
     """
@@ -99,7 +99,8 @@ def al_loop(labelled: DataFrame, pool: DataFrame, val: DataFrame, key: str,
         if strategy == "random":
             sel = select_random(pool, n, key, seed=it)
         else:
-            sel = select_samples(score(model, pool), n, key, strategy)
+            scores = score_uncertainty(score(model, pool), strategy).select(key, "uncertainty")
+            sel = select_uncertain(scores, n, key)
         sel = write_table(sel.select(key))
         added = sel.count()
         picked = sel if picked is None else picked.unionByName(sel)

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prodlens.session import write_table
+
 DEFAULT_HASH_HEX = 4  # 65,536 buckets
 
 
@@ -198,37 +200,78 @@ def key_bucket(df: DataFrame, key: str) -> Column:
     return F.when(F.col(key).isNotNull(), range_bucket(F.col(key), sorted(r["_k"] for r in rows)))
 
 
+#: Rows up to this number are fetched to find the last row of a top-n.
+FETCH_ROWS = 10_000
+#: Bins of a narrowing pass.
+BINS = 4096
+
+
+def _last_of_top(t: DataFrame, n: int, value: str, key: str):
+    """``(value, key)`` of the ``n``-th row of ``t`` by value (largest first)
+    and key; None if there are fewer rows.
+
+    Rows are counted by exponent and leading mantissa bits of the value, then
+    by equal bins of the bucket that holds the ``n``-th row, until few rows or
+    a single value are left. Each pass reads two columns and returns a count
+    per bin."""
+    from pyspark.sql.types import NumericType
+    v, k = F.col(value), F.col(key)
+    x = v.cast("double") if isinstance(t.schema[value].dataType, NumericType) else None
+    bucket = key_bucket(t.select(v), value) if x is None else double_bucket(x, 6)
+    spans = t.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    rows = sorted(spans.collect(), key=lambda r: (r["b"] is None, 0 if r["b"] is None else -r["b"]))
+    inside, left = None, n
+    while True:
+        for r in rows:
+            if left <= r["c"]:
+                break
+            left -= r["c"]
+        else:
+            return None
+        inside = bucket.eqNullSafe(F.lit(r["b"])) if inside is None else inside & (bucket == r["b"])
+        single = r["lo"] == r["hi"] or r["b"] is None
+        if r["c"] <= FETCH_ROWS or single or x is None:
+            break
+        lo, hi = float(r["lo"]), float(r["hi"])
+        if not hi - lo > 0 or hi - lo == float("inf") or hi != hi:
+            break
+        bucket = F.least(F.floor((x - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("long")
+        rows = sorted(t.where(inside).groupBy(bucket.alias("b")).agg(
+            F.count(F.lit(1)).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect(), key=lambda r: -r["b"])
+    rest = t.where(inside).select(v.alias("v"), k.alias("k"))
+    if r["c"] <= FETCH_ROWS:
+        return rest.orderBy(F.col("v").desc_nulls_last(), F.col("k").asc()).limit(left).collect()[-1]
+    at = F.struct("v", "k")
+    if single:  # many rows of one value: the last key among them
+        return nth_row(rest, left, [F.col("k")], key_bucket(rest, "k"), at).first()["_cut"]
+    # values that the bins can't part: in the order of their own type
+    down = F.col("v").desc_nulls_last()
+    vc = rest.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    vc = prefix_sums(vc, [], [down], F.coalesce(-key_bucket(vc, "v"), F.lit(2 ** 62)), {"off": F.col("c")})
+    last = vc.where((F.col("off") < left) & (F.col("off") + F.col("c") >= left)).first()
+    ties = rest.where(F.col("v").eqNullSafe(F.lit(last["v"])))
+    return nth_row(ties, left - last["off"], [F.col("k")], key_bucket(ties, "k"), at).first()["_cut"]
+
+
 def top_n(df: DataFrame, n: int, value: str, key: str) -> DataFrame:
     """The ``n`` rows with the largest ``value`` (NaN is the largest number,
     nulls last; ties by ``key`` ascending, null first).
 
-    Values are compared in their own type. The value of the ``n``-th row is
-    found over counted distinct values, so a value shared by a large part
-    of the rows is one row there; among the rows of that value the last key
-    is found with :func:`nth_row`. What remains is a filter in the scan.
+    ``df`` is computed once, into a table under ``spark.checkpoint.dir``, so a
+    model behind ``value`` runs once per row. The last row is found there from
+    counts (:func:`_last_of_top`; values are compared in their own type), and
+    the result is a comparison with it: no row is shuffled, whatever ``n`` is.
     ``key`` identifies a row; rows that repeat the last row's value and key
     are kept with it.
     """
     if n <= 0:
         return df.limit(0)
+    t = write_table(df)
+    last = _last_of_top(t, n, value, key)
+    if last is None:
+        return t
+    types = {c: t.schema[c].dataType for c in (value, key)}
+    cv, ck = F.lit(last["v"]).cast(types[value]), F.lit(last["k"]).cast(types[key])
     v, k = F.col(value), F.col(key)
-    down = v.desc_nulls_last()
-    d = df.select(v, k) if value != key else df.select(v)
-    vc = d.groupBy(v).agg(F.count(F.lit(1)).alias("_c"))
-    bkt = F.coalesce(-key_bucket(d, value), F.lit(2 ** 62))
-    vc = prefix_sums(vc, [], [down], bkt, {"_off": F.col("_c")})
-    hit = vc.where((F.col("_off") < n) & (F.col("_off") + F.col("_c") >= n))
-    last = hit.select(F.struct(v.alias("v"), (F.lit(n) - F.col("_off")).alias("r")).alias("_s")).scalar()
-    ties = d.where(v.eqNullSafe(last["v"]) & last.isNotNull())
-    # rows of the last value along the key: their position is a subquery
-    tot = ties.groupBy(key_bucket(d, key).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = tot.withColumn("_hi", F.sum("_c").over(w))
-    tot = tot.where((F.col("_hi") >= last["r"]) & (F.col("_hi") - F.col("_c") < last["r"]))
-    b = tot.select(F.struct(F.col("_b").alias("b"), (last["r"] - F.col("_hi") + F.col("_c")).alias("r"))).scalar()
-    cut = (ties.withColumn("_b", key_bucket(d, key)).where(F.col("_b").eqNullSafe(b["b"]))
-           .withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(k.asc())))
-           .where(F.col("_rn") == b["r"]).select(F.struct(k.alias("k"))).scalar())
-    before = F.when(last["v"].isNull(), v.isNotNull()).otherwise(F.coalesce(v > last["v"], F.lit(False)))
-    return df.where(last.isNull() | before
-                    | (v.eqNullSafe(last["v"]) & (F.struct(k.alias("k")) <= cut)))
+    before = v.isNotNull() if last["v"] is None else F.coalesce(v > cv, F.lit(False))
+    return t.where(before | (v.eqNullSafe(cv) & (F.struct(k.alias("k")) <= F.struct(ck.alias("k")))))

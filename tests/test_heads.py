@@ -91,7 +91,7 @@ def test_weighted_baselines(spark):
     assert [x["model"] for x in plain] == [x["model"] for x in weighted] and plain != weighted
 
 
-@pytest.mark.parametrize("panel", [8 * 7 * 3, 1 << 20])
+@pytest.mark.parametrize("panel", [7 * 3, 1 << 20])
 def test_projection_equals_numpy(spark, panel):
     r = np.random.default_rng(2)
     w = r.standard_normal((7, 10))
