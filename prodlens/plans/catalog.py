@@ -127,6 +127,16 @@ def q_build_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("review_id", "text", "category", "parent_asin", _r("rating"), "image_url")
 
 
+def q_publish_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The full build, published and read back with its label codes."""
+    import uuid
+
+    from prodlens.session import ensure_checkpoint_dir
+    path = "%s/prodlens-published/%s" % (ensure_checkpoint_dir(spark).rstrip("/"), uuid.uuid4().hex)
+    d = jobs.publish_dataset(si.reviews(spark, sf), si.products(spark, sf), path)
+    return d.select("review_id", "text", "category", "parent_asin", _r("rating"), "image_url", "label")
+
+
 def q_build_dataset_full(spark: SparkSession, sf: str) -> DataFrame:
     d = assemble.build_dataset(si.reviews(spark, sf), si.products(spark, sf), key="review_id")
     return d.select("review_id", "text", "category", "parent_asin", _r("rating"), "image_url")
@@ -594,6 +604,7 @@ QUERIES = {
     "latest_per_key": q_latest_per_key,
     "build_dataset": q_build_dataset,
     "build_dataset_full": q_build_dataset_full,
+    "publish_dataset": q_publish_dataset,
     "build_training_table": q_build_training_table,
     "prepare_raw": q_prepare_raw,
     "top_classes_by_f1": q_top_classes_by_f1,

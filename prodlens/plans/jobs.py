@@ -60,6 +60,19 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     return stratified_split(d, "label", key, test=test, val=val, seed=seed, keys=keys)
 
 
+def publish_dataset(reviews: DataFrame, products: DataFrame, path: str, fmt: str = "parquet", **kw) -> DataFrame:
+    """B1 with its guard and sinks: build the dataset, refuse it if no row has
+    an image link, publish it with its category map under ``path``, and return
+    the published rows with their label codes. Safe to rerun: see
+    :mod:`prodlens.sources.publish`."""
+    from prodlens.operators.assemble import build_dataset
+    from prodlens.sources.publish import publish, read_published
+    built = build_dataset(reviews, products, **kw)
+    version = publish(built, path, fmt=fmt)
+    data, cmap = read_published(reviews.sparkSession, path, version, built.schema if fmt != "csv" else None)
+    return encode_labels(data, "category", cmap=cmap)
+
+
 def split_frames(prepared: DataFrame, split: str = "split"):
     """The train / val / test rows of a prepared table."""
     return tuple(prepared.where(F.col(split) == s) for s in ("train", "val", "test"))
@@ -176,10 +189,11 @@ def run_fusion_classifier(prepared: DataFrame, text_emb: DataFrame, image_emb: D
 
 def run_active_learning(prepared: DataFrame, key: str = "doc_id", text_col: str = "text",
                         iterations: int = 5, n: int = 500, strategy: str = "entropy",
-                        frac: int = 10) -> DataFrame:
+                        frac: int = 10, journal: str | None = None) -> DataFrame:
     """B6: TF-IDF vectors, a labelled set of ``train // frac`` rows, then
     ``iterations`` rounds of naive-Bayes fit, uncertainty selection from
-    the pool, move, refit and validation F1. Returns the history."""
+    the pool, move, refit and validation F1. Returns the history. A call with
+    the ``journal`` of an earlier one that broke off goes on from there."""
     from prodlens.operators import active, features, models
     train, val, _ = split_frames(prepared)
     tm = features.fit_tfidf(train, key, text_col)
@@ -199,5 +213,5 @@ def run_active_learning(prepared: DataFrame, key: str = "doc_id", text_col: str
         return models._acc_f1(models.score(m, df, key))[1]
 
     hist, _, _ = active.al_loop(labelled, pool, va, key, fit, score, evaluate, iterations, n,
-                                strategy)
+                                strategy, **({"journal": journal} if journal else {}))
     return hist

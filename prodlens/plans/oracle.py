@@ -194,6 +194,9 @@ SELECT review_id, text, category, parent_asin, round(rating, 6) AS rating, image
 FROM j WHERE length(text) > 10"""
 SQL["build_dataset"] = SQL["build_dataset_full"] + "\nORDER BY md5('42:' || review_id::varchar), review_id LIMIT 10000"
 
+SQL["publish_dataset"] = "WITH built AS (%s),\ncodes AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS label " \
+    "FROM (SELECT DISTINCT category FROM built))\nSELECT built.*, codes.label::integer AS label FROM built JOIN codes USING (category)" % SQL["build_dataset_full"]
+
 SQL["build_training_table"] = _w(REVIEWS, PRODUCTS_B, LATEST, """
 r AS (SELECT review_id, parent_asin, title AS title_review, rating, verified_purchase, helpful_vote,
              %s AS review_text FROM latest)""" % strip("coalesce(title, '') || ' ' || coalesce(text, '')"),
