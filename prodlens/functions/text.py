@@ -45,6 +45,15 @@ def clean_text(c) -> Column:
     return F.trim(s)
 
 
+def has_clean_text(c) -> Column:
+    """Whether :func:`clean_text` leaves anything. A text without a tag or
+    link start keeps its first letter or digit, so only the others are
+    cleaned for the answer."""
+    s = F.lower(F.coalesce(_col(c).cast("string"), F.lit("")))
+    odd = s.contains("<") | s.contains("http") | s.contains("www")
+    return F.when(odd, F.length(clean_text(c)) > 0).otherwise(s.rlike("[a-z0-9]"))
+
+
 def clean_pair(text, description) -> Column:
     """Cleaned text followed by one space and the cleaned description."""
     return F.concat(clean_text(text), F.lit(" "), clean_text(description))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prodlens.functions.text import clean_text
+from prodlens.functions.text import clean_text, has_clean_text
 from prodlens.operators.assemble import drop_empty_text
 from prodlens.operators.labels import drop_rare_classes, encode_labels, stratified_split
 from prodlens.session import write_table
@@ -29,7 +29,7 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
 
     The cut values of the split come from a table of keys, classes and
     labels of the kept rows, written once under ``spark.checkpoint.dir``, so
-    the text is cleaned for that table and for the result and never
+    the text is read for that table, cleaned for the result and never
     shuffled. ``materialize`` writes the cleaned rows there instead and
     reads everything from them (lineage cut, survives executor loss,
     columnar reads): use it when several passes follow (TF-IDF fit and
@@ -41,14 +41,15 @@ def prepare(df: DataFrame, text_col: str = "text", category_col: str = "category
     if materialize:
         df = df.repartition(F.col(key))
     if route == "processed":
-        d = df.withColumn("text", clean_text("text"))
-        d = encode_labels(d, category_col)
-        d = drop_empty_text(d, "text")
+        # empty texts are told from the raw text: the cleaned one is made once
+        d = encode_labels(df, category_col).where(has_clean_text("text"))
+        d = d.withColumn("text", clean_text("text"))
     elif route == "raw":
-        t = clean_text(text_col)
         if description_col and description_col in df.columns:
-            t = F.concat(t, F.lit(" "), clean_text(description_col))
-        d = drop_empty_text(df.withColumn("text", t), "text")
+            t = F.concat(clean_text(text_col), F.lit(" "), clean_text(description_col))
+            d = drop_empty_text(df.withColumn("text", t), "text")
+        else:
+            d = df.where(has_clean_text(text_col)).withColumn("text", clean_text(text_col))
         d = encode_labels(d, category_col)
     else:
         raise ValueError("Unknown route: %s" % route)

@@ -111,3 +111,12 @@ def test_softmax(spark):
     df = spark.createDataFrame([([1000.0, 1000.0],), ([0.0, math.log(3.0)],)], "z array<double>")
     got = [r[0] for r in df.select(scores.softmax("z")).collect()]
     assert np.allclose(got[0], [0.5, 0.5]) and np.allclose(got[1], [0.25, 0.75])
+
+
+def test_has_clean_text_says_what_cleaning_leaves(spark):
+    from prodlens.functions import text
+    texts = [None, "", " ", "a", "É", "Kelvin \u212a", "\u212a", "<b>", "<b>x</b>", "< b", "http", "http://x", "see http://x", "www.a.b", "WWW.A",
+             "ht<b>tp://x", "www", "!?", "<a><b>", "7", "ï", "<>", "http 1", "Http\u00a0z"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(text.has_clean_text("t").alias("has"), F.length(text.clean_text("t")).alias("n")).collect()
+    assert [r["has"] for r in got] == [r["n"] > 0 for r in got]
