@@ -6,11 +6,16 @@ numpy, then summed in Spark). A count ``c`` is quantised to ``q = 1 +
 floor(log2 c)`` and the n-gram is entered ``q`` times, as (n-gram, 1) ..
 (n-gram, q). The filter is broadcast; a lookup probes levels 1, 2, .. until
 one is missing, and the level reached stands for the count. Errors are
-one-sided: a false hit can only raise an estimate.
+one-sided: a false hit can only raise a level. A level's value is the mean
+count of the training n-grams on it, taken apart for tokens and for bigrams, so
+that the estimates add up to the counts.
 
 ``score`` is the log10 probability of the text in the model
 ``P(w | v) = k(v) c(v, w) / c(v) + (1 - k(v)) P(w)``, with all counts from
 the filter, ``k(v) = share * c(v) / (c(v) + PRIOR)`` and add-0.1 unigrams.
+Over the vocabulary ``P(w)`` adds up to 1, and ``P(w | v)`` to 1 within
+a hundredth or two on average; a single context is off by ``k(v)`` times what
+its own count and those of its bigrams differ from their levels' means.
 ``base_score`` is the exact add-0.1 unigram score: the most frequent
 ``head`` tokens are looked up in a broadcast table (its number of rows is a
 parameter), the occurrences of all others are joined with the count table.
@@ -35,6 +40,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -138,17 +144,29 @@ class LogFrequencyFilter:
             out[at] = level
         return out
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return estimate(self.levels(h))
-
 
 def quantised(c: Column) -> Column:
     return (F.floor(F.log2(c.cast("double")) + F.lit(1e-9)) + 1).cast("int")
 
 
-def estimate(level: np.ndarray) -> np.ndarray:
-    """The count a level stands for: 0, 1, then 1.5 times the level's least."""
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0)))
+@dataclass
+class Estimates:
+    """What levels stand for: the mean count of tokens and of bigrams by level
+    (0 at level 0)."""
+    token: np.ndarray
+    bigram: np.ndarray
+
+
+def level_values(grams: DataFrame) -> Estimates:
+    """Mean counts of the training n-grams ``grams`` (h, c); at most 64 levels."""
+    q = quantised(F.col("c"))
+    out = np.zeros((2, 65))
+    for r in grams.groupBy(F.col("h").bitwiseAND(F.lit(1)).alias("odd"), q.alias("q")).agg(F.avg("c").alias("c")).collect():
+        out[r["odd"], r["q"]] = r["c"]
+    for v in out:  # a level that no n-gram has is only reached by a false hit
+        for i in range(1, 65):
+            v[i] = v[i] or (1.0 if i == 1 else 1.5 * 2.0 ** (i - 1))
+    return Estimates(out[0], out[1])
 
 
 def build_segments(grams: DataFrame, bits_per_entry: int = 12) -> tuple[DataFrame, int, int]:
@@ -224,26 +242,31 @@ def sorted_levels(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return h[order], t.column("level").to_numpy()[order]
 
 
-def model_scores(h: np.ndarray, owner: np.ndarray, n: int, counts, total: int, kinds: int, share: float) -> np.ndarray:
-    """``score`` of ``n`` texts; ``counts`` gives the estimate of each n-gram."""
+def token_probabilities(h: np.ndarray, owner: np.ndarray, levels, est: Estimates, total: int, kinds: int, share: float) -> np.ndarray:
+    """``P(w | v)`` of every token; ``levels`` gives the level of each n-gram."""
     distinct, back = np.unique(h, return_inverse=True)
-    uni = counts(distinct)[back]
+    uni = est.token[levels(distinct)][back]
     p0 = (uni + 0.1) / (total + 0.1 * (kinds + 1))
     prev, bi = bigrams(h, owner)
     pairs, pback = np.unique(bi, return_inverse=True)
-    cb = counts(pairs)[pback]
+    cb = est.bigram[levels(pairs)][pback]
     ctx = np.empty_like(uni)
     ctx[1:] = uni[:-1]
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    ctx[first] = counts(prev[first[:1]])
+    ctx[first] = est.token[levels(prev[first[:1]])]
     k = share * ctx / (ctx + PRIOR)
     cond = np.minimum(1.0, np.divide(cb, ctx, out=np.zeros_like(cb), where=ctx > 0))
-    p = k * cond + (1.0 - k) * p0
+    return k * cond + (1.0 - k) * p0
+
+
+def model_scores(h: np.ndarray, owner: np.ndarray, n: int, levels, est: Estimates, total: int, kinds: int, share: float) -> np.ndarray:
+    """``score`` of ``n`` texts."""
+    p = token_probabilities(h, owner, levels, est, total, kinds, share)
     return np.bincount(owner, weights=np.log10(p), minlength=n)
 
 
 def shuffled_scores(blocks: DataFrame, grams: DataFrame, segments: DataFrame, n: int, top: int, head: int,
-                    total: int, kinds: int, share: float) -> DataFrame:
+                    est: Estimates, total: int, kinds: int, share: float) -> DataFrame:
     """(row, score) of ``blocks`` (block, row, text, grams), with the distinct
     n-grams of a block in its first row, by lookups in the filter's table."""
     sc = blocks.sparkSession.sparkContext
@@ -256,18 +279,18 @@ def shuffled_scores(blocks: DataFrame, grams: DataFrame, segments: DataFrame, n:
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
         tables = [known.value, sorted_levels(answers)]
 
-        def counts(g: np.ndarray) -> np.ndarray:
+        def levels_of(g: np.ndarray) -> np.ndarray:
             level = np.zeros(len(g), dtype=np.int64)
             for hashes, levels in tables:
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
                     level = np.where(hashes[at] == g, levels[at], level)
-            return estimate(level)
+            return level
 
         score = np.zeros(part.num_rows)
         for s in K.slices(part.column("text")):
             h, owner = tokens(s)
-            score[s.lo:s.hi] = model_scores(h, owner, s.n, counts, total, kinds, share)
+            score[s.lo:s.hi] = model_scores(h, owner, s.n, levels_of, est, total, kinds, share)
         return pa.table({"row": part.column("row"), "score": pa.array(score)})
 
     texts = blocks.select(F.col("block").alias("of"), "row", "text")  # another name than in ``found``, which comes from ``blocks`` too
@@ -308,6 +331,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
     hh = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hh)
     known = sc.broadcast((hh[order], top.column("c").to_numpy()[order]))
+    est = level_values(grams)
     segments, n_seg, top_level = build_segments(grams, bits_per_entry)
     local = n_seg * SEGMENT_BITS <= max_bits
     bits = sc.broadcast(collect_segments(segments, n_seg)) if local else None
@@ -341,7 +365,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
                 cols = [pa.array(np.arange(row, row + s.n)), part.column(1), part.column(2),
                         pa.array((s.n_words + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), tail]
                 if local:  # the model, all counts from the filter
-                    cols.append(pa.array(model_scores(h, owner, s.n, lff.counts, total, kinds, share)))
+                    cols.append(pa.array(model_scores(h, owner, s.n, lff.levels, est, total, kinds, share)))
                 else:
                     probe = np.unique(np.r_[distinct, bigrams(h, owner)[1], START & ~U(1)]).view(np.int64)
                     ends = np.full(s.n + 1, len(probe), dtype=np.int32)
@@ -358,7 +382,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
         F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("more"),
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("also"))
     if not local:
-        scores = shuffled_scores(out, grams, segments, n_seg, top_level, head, total, kinds, share)
+        scores = shuffled_scores(out, grams, segments, n_seg, top_level, head, est, total, kinds, share)
         out = out.drop("block", "text", "grams").join(scores, "row")
     out = out.drop("tail").join(rest, "row", "left")
     return out.select(F.col("id").alias(key), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"),

@@ -533,6 +533,53 @@ def test_filter_never_underestimates(spark):
     assert (lff.levels(RNG.integers(0, 1 << 63, 5000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def language(n, seed):
+    """Texts of a small language: frequent words, and pairs that keep company."""
+    r = np.random.default_rng(seed)
+    follow = r.integers(0, 300, 300)
+    out = []
+    for _ in range(n):
+        w = [int(x) for x in np.minimum(299, r.zipf(1.3, 40))]
+        for j in range(1, len(w)):
+            if r.random() < 0.4:
+                w[j] = int(follow[w[j - 1]])
+        out.append(" ".join("t%d" % x for x in w))
+    return out
+
+
+def test_probabilities_add_up_and_follow_exact_counts(spark):
+    texts = language(700, 4)
+    d = local_rows(spark, list(enumerate(texts)), "doc_id long, text string")
+    grams = lm.materialise(lm.count_ngrams(d.where(~lm.held_out(F.col("doc_id")))))
+    learnt = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    c1, c2 = Counter(), Counter()
+    for t in learnt:
+        w = ["^", *WORD.findall(t), "$"]
+        c1.update(w)
+        c2.update(zip(w, w[1:]))
+    kinds = sorted(set(c1) - {"^", "$"})
+    total, v = sum(c1.values()) - c1["^"], len(kinds) + 1
+    est = lm.level_values(grams)
+    lff = lm.LogFrequencyFilter(lm.build_filter(grams))
+
+    def p_of(text):  # the probability of each token, the end included
+        [s] = K.slices(pa.array([text]))
+        return lm.token_probabilities(*lm.tokens(s), lff.levels, est, total, v, 0.3)
+    mass, gap = [], []
+    for ctx in kinds[:12] + kinds[-60:]:
+        p = [p_of("%s %s" % (ctx, w))[1] for w in kinds] + [p_of(ctx)[1]]
+        mass.append(sum(p) + (1 - 0.3 * c1[ctx] / (c1[ctx] + lm.PRIOR)) * 0.1 / (total + 0.1 * (v + 1)))  # and any unseen word
+        for w, x in zip([*kinds, "$"], p, strict=True):
+            k = 0.3 * c1[ctx] / (c1[ctx] + lm.PRIOR)
+            exact = k * c2[ctx, w] / c1[ctx] + (1 - k) * (c1[w] + 0.1) / (total + 0.1 * (v + 1))
+            gap.append(math.log10(x / exact))
+    [one] = K.slices(pa.array([" ".join(kinds)]))
+    uni = (est.token[lff.levels(lm.tokens(one)[0])] + 0.1) / (total + 0.1 * (v + 1))
+    assert abs(uni.sum() + 0.1 / (total + 0.1 * (v + 1)) - 1) < 0.01  # words, the end, any unseen word
+    assert abs(np.mean(mass) - 1) < 0.02 and max(abs(m - 1) for m in mass) < 0.3 * 0.5, mass
+    assert abs(np.mean(gap)) < 0.03 and np.mean(np.abs(gap)) < 0.12
+
+
 def test_filter_beyond_the_broadcast_bound_gives_the_same_scores(spark):
     rows = [(i, t) for i, t in enumerate(family())] + [(i, prose(2000, i)) for i in range(100, 190)] + [(None, "w1 W2")]
     d = local_rows(spark, rows, "doc_id long, text string").repartition(3)
