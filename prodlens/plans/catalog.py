@@ -532,7 +532,7 @@ def q_run_fusion_classifier(spark: SparkSession, sf: str) -> DataFrame:
     half = F.floor(F.size("embedding") / 2).cast("int")
     text = e.select("vec_id", F.slice("embedding", F.lit(1), half).alias("text_emb"))
     image = e.where("vec_id % 10 <> 0").select("vec_id", F.slice("embedding", half + 1, F.size("embedding")).alias("image_emb"))
-    results, _ = jobs.run_fusion_classifier(e, text, image, "vec_id")
+    results, _ = jobs.run_fusion_classifier(e, text, image, "vec_id", forms=("concat", "add"))
     return results
 
 
