@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline: mixing, chat formatting, near
 duplicates, benchmark decontamination, URL rules, sharding, WARC archives,
-quality classification, language-model scoring and quality outliers.
+quality classification, language-model scoring, quality outliers, repair and
+prefix tries of conversations, and secret scans.
 
 Nothing outside this package imports it, apart from the guarded registration
 in ``__spark_entry__.py``.

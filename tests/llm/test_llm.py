@@ -192,6 +192,15 @@ def test_shards_draw_what_the_tree_deals(spark, monkeypatch):
     assert by_shard() != rows  # without the tree the report is another
 
 
+def test_written_shards_hold_the_mix(spark, tmpdir_path):
+    d = local_rows(spark, [(i, " ".join(["w"] * (1 + i % 9)), "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    mixed = mixing.mix(d, n_shards=3, n_blocks=100)
+    mixing.write_mix(mixed, tmpdir_path + "/mix")
+    back = spark.read.parquet(tmpdir_path + "/mix")
+    key = ("mix_shard", "mix_order", "doc_id", "text")
+    assert sorted(map(tuple, back.select(*key).collect())) == sorted(map(tuple, mixed.select(*key).collect()))
+
+
 def test_stages_with_clashing_names_nulls_and_repeats(spark):
     import corpus_pipeline as P
     names = ("_did", "_node", "_dnode", "_id", "_tk", "_bad", "_draw", "_row", "row", "k", "draws", "i", "n", "text_key", "h", "class", "size", "mix_k")
