@@ -341,9 +341,10 @@ def test_network_finds_unknown_forms_and_leaves_plain_text(spark):
     rows = planted(700, 1)
     unknown = ["our signing_key = '9hQx2LmZr8TbV3kWc7Ns5Pd1' and more", "bearer: qk_Zt81LmQ0xR4vTn29sWbYc73hJ",
                "the credential: wJalrXUtnFEMIK7MDENGbPxRfiCYzzEXAMPLEKEY here"]
+    # labels are the rules': a network is trained on text without the unknown secrets, as they'd be label 0
+    net = secretscan.train(secretscan.labelled_findings(local_rows(spark, rows, "doc_id long, text string")), variants=1500)
     rows += [(10_000 + i, t) for i, t in enumerate(unknown)] + [(None, unknown[0]), (None, unknown[0])]
     d = local_rows(spark, rows, "doc_id long, text string").repartition(3)
-    net = secretscan.train(secretscan.labelled_findings(d), variants=1500)
     assert net.report["recall"] >= 0.97 and net.report["false_rate"] <= 0.02, net.report
     got = secretscan.scan(d, net).collect()
     net_hits = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "net"] for r in got}
