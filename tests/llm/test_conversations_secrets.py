@@ -376,3 +376,32 @@ def test_scan_edges(spark):
     d = local_rows(spark, [(1, "password=" + "a" * 300_000), (2, None), (3, ""), (1, "x" * 100_000)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["spans"]) for r in secretscan.secret_report(d).collect())  # one label only: rules alone
     assert got == [(1, ""), (1, "assign:0:300009,hex:9:300009"), (2, ""), (3, "")]
+
+
+def test_network_learns_from_all_findings(spark):
+    r = np.random.default_rng(5)
+    texts = ["the page %d of %s-%s" % (10_000_000 + i, "".join(chr(97 + c) for c in r.integers(0, 26, 5)), i) for i in range(4000)]
+    texts += ["set password=" + secretscan._draw(r, "0123456789abcdef", 20, 20) for _ in range(500)]
+    d = local_rows(spark, list(enumerate(texts)) + [(5000, texts[0])], "doc_id long, text string")
+    nets = []
+    for parts in (1, 5):
+        found = secretscan.labelled_findings(d.repartition(parts))
+        nets.append(secretscan.train(found))
+    n = [found.where("label = %d" % y).count() for y in (0, 1)]
+    assert n[0] >= 4000 and n[1] == 500
+    report = nets[0].report
+    assert report["train"] + report["held_out"] == 2 * n[0] + 5 * n[1]  # each with its variants, none left out
+    assert report["recall"] >= 0.97 and report["false_rate"] <= 0.02, report
+    assert report == nets[1].report and all((nets[0].w[k] == nets[1].w[k]).all() for k in nets[0].w)
+
+
+def test_thresholds_are_exact_order_statistics(spark):
+    r = np.random.default_rng(6)
+    blocks = [(i, np.round(r.standard_normal(300), 2).astype(np.float32), r.integers(0, 2, 300), r.random(300) < 0.5, r.integers(0, 2, 300))
+              for i in range(7)]
+    sizes, kept = secretscan.lowest_kept(spark.sparkContext.parallelize(blocks, 3), 0.9)
+    _, z, y, held, shape = (np.concatenate(x) if np.ndim(x[0]) else x for x in zip(*blocks))
+    for i in (0, 1, 3):
+        v = np.sort(z[held & (y == 1) & ((shape == i) | (i == 3))])
+        assert sizes[i] == len(v) and kept[i] == v[int(np.floor((1 - 0.9) * len(v)))]
+    assert sizes[2] == 0
