@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prodlens.llm import kernels as K
-from prodlens.llm.common import hint_small, materialise, pick
+from prodlens.llm.common import counted, hint_small, materialise, observed, pick
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -178,11 +178,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
-    """(node, root) for all nodes of ``links`` (a, b); root is the smallest
-    node of the component. Large-star and small-star steps until both leave
-    the links as they are."""
-    e = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = _state(e)
+    """(node, root) for the nodes of ``links`` (a, b) that are not the smallest
+    of their component; root is that smallest node. Large-star and small-star
+    steps until both leave the links as they are."""
+    e, state = _step(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     for _ in range(max_steps):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -191,19 +190,19 @@ def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        e = materialise(small)
-        now = _state(e)
+        e, now = _step(small)
         if now == state:
             break
         state = now
     else:
         raise RuntimeError("components did not settle in %d steps" % max_steps)
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _step(e: DataFrame) -> tuple[DataFrame, dict]:
+    """The links, written, and what tells whether they changed."""
+    return observed(e, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("sum"),
+                    F.bit_xor(F.xxhash64("u", "v")).alias("xor"))
 
 
 #: Elements that at most so many nodes have are rare.
@@ -232,37 +231,37 @@ def links(sigs: DataFrame, docs: DataFrame, text: str, threshold: float, width:
     members = materialise(rows.join(crowded, "bucket"))
     # the pivot of a bucket is its node with the most company over all bands:
     # in a group of near copies that is the text the others were made from
-    company = members.groupBy("node").agg(F.sum("m").alias("company"))
-    members = materialise(members.join(company, "node"))
-    pivots = (members.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("p"))
+    nodes, n_nodes = counted(members.groupBy("node").agg(F.sum("m").alias("company"), F.first("total").alias("total")))
+    pivots = (members.select("bucket", "node").join(nodes.select("node", "company"), "node")
+              .groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("p"))
               .select("bucket", F.col("p.node").alias("pivot")))
     members = materialise(members.select("bucket", "node", "total").join(pivots, "bucket"))
-    sizes = members.select("node", "total").distinct()
-    nodes = materialise(sizes)
-    sets = materialise(node_shingles(docs, nodes.select("node"), nodes.count(), text, width, weights))
+    sets = materialise(node_shingles(docs, nodes.select("node"), n_nodes, text, width, weights))
 
     def near(p: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the threshold."""
-        return p.where(F.least("ta", "tb") >= threshold * F.greatest("ta", "tb") - 1e-9).select("a", "b").distinct()
+        return p.where(F.least("ta", "tb") >= threshold * F.greatest("ta", "tb") - 1e-9).select("a", "b")
 
     size_a = nodes.select(F.col("node").alias("a"), F.col("total").alias("ta"))
     star = (members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("total").alias("tb"))
             .distinct().join(size_a, "a"))
     arms = materialise(compared(near(star), sets, threshold))
     first = arms.where("link").select("a", "b")
-    comp = materialise(components(first))
+    comp = components(first)
 
     # buckets that hold several components: compare across them
     m = members.join(comp, "node", "left").select("bucket", "pivot", "node", "total", F.coalesce("root", "node").alias("root"))
     split = (m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket"))
     # what each member has in common with its bucket's pivot, where they were compared
     arm = arms.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "i")
-    m = materialise(m.join(split, "bucket").join(arm, ["pivot", "node"], "left"))
+    m, n_split = counted(m.join(split, "bucket").join(arm, ["pivot", "node"], "left"))
+    if not n_split:
+        return first, comp
     count = m.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = count.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
-    left = (m.join(main, "bucket").where("root != main")
-            .select("bucket", "pivot", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("total").alias("ta"),
-                    F.col("i").alias("ix"), "main"))
+    left = materialise(m.join(main, "bucket").where("root != main")
+                       .select("bucket", "pivot", F.col("node").alias("x"), F.col("root").alias("rx"),
+                               F.col("total").alias("ta"), F.col("i").alias("ix"), "main"))
     rare = materialise(rare_elements(sets))
     own = materialise(rare.groupBy("node").agg(F.count(F.lit(1)).alias("u")))
     # pairs that share a rare element: at most RARE - 1 for each such element
@@ -273,6 +272,7 @@ def links(sigs: DataFrame, docs: DataFrame, text: str, threshold: float, width:
     two = shared.select("e", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("total").alias("tb"))
     kin = (one.join(two, (one["e"] == two["e"]) & F.expr("rx != ry") & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb") - 1e-9))
            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ta", "tb"))
+    kin = materialise(near(kin).distinct())  # each kind by itself: a smaller plan, fewer joins at a time
     # other pairs share no rare element: each node has only ``total - u`` to share
     left = left.join(own.withColumnRenamed("node", "x"), "x", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     of_pivot = own.select(F.col("node").alias("pivot"), F.col("u").alias("up"))
@@ -296,9 +296,10 @@ def links(sigs: DataFrame, docs: DataFrame, text: str, threshold: float, width:
                 "rx != ry and (ry = main or x < y) and x != pivot and y != pivot")
                 & (most >= threshold * (F.col("ta") + F.col("tb") - most) - 1e-9))
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ta", "tb"))
-    second = materialise(verified(near(cross.unionByName(kin)), sets, threshold))
-    both = first.unionByName(second)
-    return both, (materialise(components(both)) if second.limit(1).count() else comp)
+    cross = materialise(near(cross).distinct())
+    second, n_second = counted(verified(cross.unionByName(kin).distinct(), sets, threshold))
+    known = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return first.unionByName(second), (components(known.unionByName(second)) if n_second else comp)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 36,
@@ -323,15 +324,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) ->
     # the winner of a class has the class's key and, among such rows, the smallest node
     first = big.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("node").alias("_n"))
     lose = big.join(first, "class").where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("_n"))))
-    lose = materialise(lose.select(F.col("id").alias("i"), F.col("node").alias("n")).distinct())
+    lose, n_lose = counted(lose.select(F.col("id").alias("i"), F.col("node").alias("n")).distinct())
     t = pick(docs, text, "string")
     # the row is a struct, so that no name of its columns meets one of ours
     d = docs.select(F.struct("*").alias("row"), pick(docs, key, "long").alias("did"), F.when(t.isNotNull(), node_of(t)).alias("dnode"))
     hit = (F.col("dnode") == F.col("n")) & F.col("did").eqNullSafe(F.col("i"))
-    d = d.join(hint_small(lose, lose.count(), 24), hit, "left_anti")
-    twice = materialise(c.where("node is not null").groupBy(F.col("id").alias("i"), F.col("node").alias("n"))
-                        .agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    again = hint_small(twice, twice.count(), 24)
+    d = d.join(hint_small(lose, n_lose, 24), hit, "left_anti")
+    twice, n_twice = counted(c.where("node is not null").groupBy(F.col("id").alias("i"), F.col("node").alias("n"))
+                             .agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    if not n_twice:
+        return d.select("row.*")
+    again = hint_small(twice, n_twice, 24)
     rest = d.join(again, hit, "left_anti")
     one = d.join(again, hit, "left_semi").dropDuplicates(["did", "dnode"])
     return rest.unionByName(one).select("row.*")
