@@ -57,7 +57,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodlens.functions.core import let
-from prodlens.llm.common import hint_small, materialise, pick
+from prodlens.llm.common import counted, hint_small, materialise, pick
 
 MIN_WIDTH, MIN_WORDS = 5, 4
 #: Tokens of a gram, tokens of a loose tile, words that a name may meet.
@@ -200,8 +200,7 @@ def first_grams(bw: DataFrame, pw: DataFrame, min_tokens: int, min_share: float)
 
 def texts_with_grams(d: DataFrame, grams: DataFrame) -> DataFrame:
     """The texts of ``d`` (text, text_key) that hold one of ``grams`` (h, k)."""
-    grams = materialise(grams)
-    n = grams.count()
+    grams, n = counted(grams)
     if grams.where("h is null").limit(1).count():
         return d
     sizes = sorted(r["k"] for r in grams.select("k").distinct().collect())  # at most GRAM numbers
@@ -213,8 +212,8 @@ def texts_with_grams(d: DataFrame, grams: DataFrame) -> DataFrame:
     if not hashes:
         return d.limit(0)
     x = x.select("text_key", (hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))).alias("h"))
-    hit = materialise(x.join(hint_small(grams.select("h"), n, 16), "h", "left_semi").select("text_key").distinct())
-    return d.join(hint_small(hit, hit.count(), 16), "text_key", "left_semi")
+    hit, n_hit = counted(x.join(hint_small(grams.select("h"), n, 16), "h", "left_semi").select("text_key").distinct())
+    return d.join(hint_small(hit, n_hit, 16), "text_key", "left_semi")
 
 
 # ---------------------------------------------------------------- loose path
@@ -378,11 +377,9 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int =
             text: str = "text", item: str = "item_id", item_text: str = "text", fold_case: bool = False) -> DataFrame:
     """(text_key, item_id, matched_tokens, item_tokens, n_slots, verbatim): a row
     per distinct text and benchmark item that it holds."""
-    bw = materialise(benchmark_windows(bench, width, item, item_text))
-    n = bw.count()
+    bw, n = counted(benchmark_windows(bench, width, item, item_text))
     widths = sorted(r["w"] for r in bw.select("w").distinct().collect())  # at most ``width`` numbers
-    pw = materialise(plain_windows(bench, width, item, item_text, fold_case))
-    n_plain = pw.count()
+    pw, n_plain = counted(plain_windows(bench, width, item, item_text, fold_case))
     plain_widths = sorted(r["w"] for r in pw.select("w").distinct().collect())
     tiles, grams = loose_tiles(bench, item, item_text) if fold_case else (None, None)
     t = pick(docs, text, "string")
@@ -402,10 +399,10 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, min_tokens: int =
         found = [F.array().cast("array<bigint>")]
     one = found[0] if len(found) == 1 else F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
     hit = (d.select("text_key", F.explode(one).alias("h")).join(hashes, "h", "left_semi").select("text_key").distinct())
-    hit = materialise(hit)
+    hit, n_hit = counted(hit)
 
     # align them: every window hit gives its tokens' places
-    c = d.join(hint_small(hit, hit.count(), 16), "text_key", "left_semi")
+    c = d.join(hint_small(hit, n_hit, 16), "text_key", "left_semi")
     plain = c.select("text_key", plain.alias("p"))
     c = c.select("text_key", surfaces(F.col("text")).alias("s"))
     c = c.withColumn("t", F.transform("s", token_of))
@@ -452,8 +449,8 @@ def _first_of(paths: list[DataFrame]) -> DataFrame:
     items that no earlier path has."""
     out = paths[0]
     for more in paths[1:]:
-        have = materialise(out.select(F.col("text_key").alias("k"), F.col("item_id").alias("i")))
-        have = hint_small(have, have.count(), 16)
+        have, n = counted(out.select(F.col("text_key").alias("k"), F.col("item_id").alias("i")))
+        have = hint_small(have, n, 16)
         out = out.unionByName(more.join(have, (F.col("text_key") == F.col("k")) & F.col("item_id").eqNullSafe(F.col("i")), "left_anti"))
     return out
 
@@ -467,14 +464,14 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """A row per document and benchmark item that it holds."""
-    m = materialise(matches(docs, bench, text=text, **kw))
+    m, n = counted(matches(docs, bench, text=text, **kw))
     t = pick(docs, text, "string")
     d = docs.select(pick(docs, key, "long").alias("id"), F.when(t.isNotNull(), F.xxhash64(t)).alias("text_key"))
-    return d.join(hint_small(m, m.count(), 64), "text_key").select(
+    return d.join(hint_small(m, n, 64), "text_key").select(
         F.col("id").alias(key), "item_id", "matched_tokens", "item_tokens", "n_slots", "verbatim")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", **kw) -> DataFrame:
     """``docs`` without the texts that hold a benchmark item."""
-    m = materialise(matches(docs, bench, text=text, **kw).select("text_key").distinct())
-    return _keyed(docs, text).join(hint_small(m, m.count(), 16), "text_key", "left_anti").select("row.*")
+    m, n = counted(matches(docs, bench, text=text, **kw).select("text_key").distinct())
+    return _keyed(docs, text).join(hint_small(m, n, 16), "text_key", "left_anti").select("row.*")
