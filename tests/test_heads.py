@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from prodlens.operators import fusion, labels, models
-from prodlens.plans import jobs
+from prodlens.plans import catalog, jobs
 from prodlens.sources.store import ModelStore, fingerprint
 
+SF = "/root/testdata/sf0.001"
+
 
 def two_halves(spark, n=900, seed=0):
     """Label = 2a + b; the text tells a, the image b; a tenth has no image."""
@@ -48,6 +50,17 @@ def test_fused_heads_beat_either_half(spark):
         assert got[form, split]["accuracy"] == pytest.approx(acc) and got[form, split]["f1"] == pytest.approx(f1)
 
 
+def test_fusion_query_trains_every_form(spark, monkeypatch):
+    whole = jobs.run_fusion_classifier
+
+    def small(*args, **kw):
+        return whole(*args, hidden=4, common=6, max_iter=2, **kw)
+    monkeypatch.setattr(jobs, "run_fusion_classifier", small)
+    got = catalog.QUERIES["run_fusion_classifier"](spark, SF).collect()
+    assert {(r["form"], r["split"]) for r in got} == {
+        (f, s) for f in ("concat", "add", "text", "image") for s in ("train", "val", "test")} and len(got) == 12
+
+
 def rare(spark, n=2000):
     r = np.random.default_rng(5)
     rows = [(k, int(k % 20 == 0), "test" if k % 3 == 0 else "val" if k % 3 == 1 else "train") for k in range(n)]
