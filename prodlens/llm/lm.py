@@ -25,9 +25,11 @@ The filter is built by segments: n-grams are dealt by segment, each task sets
 the bits of its segments. The number of segments follows the number of entries
 (``bits_per_entry``) at every size. Up to ``max_bits`` the finished segments
 are broadcast; a larger filter stays a table, and the distinct n-grams of
-each slice of texts are sent to their segment by a shuffle and come back with
-their level (the ``head`` most frequent n-grams are answered from a broadcast
-instead). Both ways look into the same bits and give the same scores.
+each block of texts are sent to their segments by a shuffle, packed in order, and
+only their levels come back, a byte each, in that order (the ``head`` most
+frequent n-grams are answered from a broadcast instead). The blocks go in
+``ROUNDS`` rounds, and the shuffle files of a round are gone before the next.
+Both ways look into the same bits and give the same scores.
 All counted bigrams are entered (``min_bigram`` = 1); a larger value leaves
 out those seen less often.
 
@@ -49,13 +51,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prodlens.llm import kernels as K
-from prodlens.llm.common import materialise, pick
+from prodlens.llm.common import discard, materialise_lean, pick
 
 U = np.uint64
 END, START = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 SEGMENT_BITS = 1 << 20
 PROBES = 5
 PRIOR = 50.0
+#: Of the filter that is looked up by a shuffle: bytes of text in a block,
+#: segments that are looked up together, rounds of blocks.
+BLOCK_BYTES, GROUP_SEGMENTS, ROUNDS = 8 << 20, 8, 4
 
 
 def held_out(key: Column, modulus: int = 10) -> Column:
@@ -129,14 +134,15 @@ class LogFrequencyFilter:
             yield (x >> U(44)).astype(np.int64)  # 20 bits
             x = x + step
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level each n-gram reaches; 0 if it isn't there."""
+    def levels(self, h: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+        """The level each n-gram reaches; 0 if it isn't there. ``row``: where
+        each one's segment is in ``bits``, if these are not all segments."""
         out = np.zeros(len(h), dtype=np.int64)
         at, level = np.arange(len(h)), 0
         while len(at) and level < self.top:
             level += 1
             g = h[at]
-            seg = self.segment(g, len(self.bits))
+            seg = self.segment(g, len(self.bits)) if row is None else row[at]
             ok = np.ones(len(at), dtype=bool)
             for p in self.places(g, level):
                 ok &= (self.bits[seg, p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
@@ -199,7 +205,7 @@ def build_segments(grams: DataFrame, bits_per_entry: int = 12) -> tuple[DataFram
                 names=["seg", "bits"])
 
     tasks = max(1, n // 8)  # about eight segments, a megabyte, in a task
-    return materialise(g.repartition(tasks, segment_of("h", n)).mapInArrow(run, "seg int, bits binary")), n, int(r[1] or 0)
+    return materialise_lean(g.repartition(tasks, segment_of("h", n)).mapInArrow(run, "seg int, bits binary")), n, int(r[1] or 0)
 
 
 def segment_of(h: str, n: int) -> Column:
@@ -221,25 +227,67 @@ def build_filter(grams: DataFrame, bits_per_entry: int = 12) -> np.ndarray:
     return collect_segments(segments, n)
 
 
-def lookup(probes: DataFrame, segments: DataFrame, n: int, top: int) -> DataFrame:
-    """(h, level) of distinct n-grams ``probes`` (h): each segment meets its
-    n-grams in one group, some 10^5 of them as hashes spread evenly."""
-    def run(seg: pa.Table, probe: pa.Table) -> pa.Table:
-        h = probe.column("h").to_numpy()
-        level = np.zeros(len(h), dtype=np.int64)
-        if seg.num_rows:
-            bits = np.frombuffer(seg.column("bits")[0].as_buffer(), dtype=np.uint8)
-            level = LogFrequencyFilter(bits[None, :], top).levels(h.view(np.uint64))
-        return pa.table({"h": pa.array(h, pa.int64()), "level": pa.array(level, pa.int64())})
+def frequent(grams: DataFrame, head: int) -> np.ndarray:
+    """The most frequent n-grams, ``head`` at most."""
+    return grams.where(F.col("c") >= head_cut(grams, head)).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+
 
-    p = probes.select("h", segment_of("h", n).alias("seg"))
-    return segments.groupBy("seg").cogroup(p.groupBy("seg")).applyInArrow(run, "h long, level long")
+def known_levels(segments: DataFrame, h: np.ndarray, n: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams ``h`` in order, and their levels: looked up where the segments are."""
+    h = np.sort(h)
+    held = segments.sparkSession.sparkContext.broadcast(h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LogFrequencyFilter.segment(held.value, n)
+        for b in batches:
+            for k, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at = np.flatnonzero(own == k)
+                level = LogFrequencyFilter(np.frombuffer(m.as_buffer(), np.uint8)[None, :], top).levels(held.value[at], np.zeros(len(at), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(level)], names=["at", "level"])
+
+    t = segments.select("seg", "bits").mapInArrow(run, "at long, level long").toArrow()
+    levels = np.zeros(len(h), dtype=np.uint8)
+    levels[t.column("at").to_numpy()] = t.column("level").to_numpy()
+    held.destroy()
+    return h, levels
+
+
+def group_probes(texts: pa.Array, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, where they are in ``known`` or -1, order to send the others
+    in): the distinct n-grams of the texts, sorted; those to be sent are dealt
+    by group of segments."""
+    found = [np.array([START & ~U(1)])]
+    for s in K.slices(texts):
+        h, owner = tokens(s)
+        found.append(np.unique(np.r_[h, bigrams(h, owner)[1]]))
+    grams = np.unique(np.concatenate(found))
+    at = np.full(len(grams), -1)
+    if len(known):
+        near = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        at = np.where(known[near] == grams, near, -1)
+    ask = np.flatnonzero(at < 0)
+    group = LogFrequencyFilter.segment(grams[ask], n) // GROUP_SEGMENTS
+    return grams, at, ask[np.argsort(group, kind="stable")]
 
 
-def sorted_levels(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    h = t.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], t.column("level").to_numpy()[order]
+def lookup(probes: DataFrame, segments: DataFrame, n: int, top: int) -> DataFrame:
+    """(block, part, levels) of packed n-grams ``probes`` (part, block, grams): a
+    part is a group of segments and meets all its n-grams in one place."""
+    def run(seg: pa.Table, probe: pa.Table) -> pa.Table:
+        levels = []
+        if probe.num_rows:
+            first = probe.column("part")[0].as_py() * GROUP_SEGMENTS
+            bits = np.zeros((GROUP_SEGMENTS, SEGMENT_BITS // 8), dtype=np.uint8)
+            for k, m in zip(seg.column("seg").to_pylist(), seg.column("bits"), strict=True):
+                bits[k - first] = np.frombuffer(m.as_buffer(), dtype=np.uint8)
+            lff = LogFrequencyFilter(bits, top)
+            for m in probe.column("grams"):
+                h = np.frombuffer(m.as_buffer(), dtype=np.uint64)
+                levels.append(lff.levels(h, LogFrequencyFilter.segment(h, n) - first).astype(np.uint8).tobytes())
+        return pa.table({"block": probe.column("block"), "part": probe.column("part"), "levels": pa.array(levels, pa.binary())})
+
+    s = segments.select(F.floor(F.col("seg") / GROUP_SEGMENTS).cast("int").alias("part"), "seg", "bits")
+    return s.groupBy("part").cogroup(probes.groupBy("part")).applyInArrow(run, "block long, part int, levels binary")
 
 
 def token_probabilities(h: np.ndarray, owner: np.ndarray, levels, est: Estimates, total: int, kinds: int, share: float) -> np.ndarray:
@@ -265,36 +313,46 @@ def model_scores(h: np.ndarray, owner: np.ndarray, n: int, levels, est: Estimate
     return np.bincount(owner, weights=np.log10(p), minlength=n)
 
 
-def shuffled_scores(blocks: DataFrame, grams: DataFrame, segments: DataFrame, n: int, top: int, head: int,
+def shuffled_scores(blocks: DataFrame, segments: DataFrame, n: int, top: int, common: tuple[np.ndarray, np.ndarray],
                     est: Estimates, total: int, kinds: int, share: float) -> DataFrame:
-    """(row, score) of ``blocks`` (block, row, text, grams), with the distinct
-    n-grams of a block in its first row, by lookups in the filter's table."""
-    sc = blocks.sparkSession.sparkContext
-    common = materialise(lookup(grams.where(F.col("c") >= head_cut(grams, head)).select("h"), segments, n, top))
-    known = sc.broadcast(sorted_levels(common.toArrow()))
-    probes = blocks.select("block", F.explode("grams").alias("h")).join(
-        F.broadcast(common.select("h")), "h", "left_anti")
-    found = probes.join(lookup(probes.select("h").distinct(), segments, n, top), "h").select("block", "h", "level")
+    """(row, score) of ``blocks`` (block, number, row, text), by lookups in the
+    filter's table; ``common`` are n-grams whose levels are known."""
+    known = blocks.sparkSession.sparkContext.broadcast(common)
+
+    def ask(part: pa.Table) -> pa.Table:
+        grams, _, order = group_probes(part.column("text"), known.value[0], n)
+        h = grams[order]
+        group = LogFrequencyFilter.segment(h, n) // GROUP_SEGMENTS
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(h) else np.zeros(1, np.int64)
+        packed = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(h)])
+        return pa.table({"part": pa.array(group[edges[:-1]].astype(np.int32)),
+                         "block": pa.array(np.full(len(edges) - 1, part.column("block")[0].as_py())), "grams": packed})
 
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
-        tables = [known.value, sorted_levels(answers)]
-
-        def levels_of(g: np.ndarray) -> np.ndarray:
-            level = np.zeros(len(g), dtype=np.int64)
-            for hashes, levels in tables:
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
-                    level = np.where(hashes[at] == g, levels[at], level)
-            return level
-
+        if not part.num_rows:
+            return pa.table({"row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        hashes, levels = known.value
+        grams, at, order = group_probes(part.column("text"), hashes, n)
+        level = levels[at] if len(levels) else np.zeros(len(grams), np.uint8)
+        got = answers.sort_by("part").column("levels").to_pylist()
+        level[order] = np.frombuffer(b"".join(got), dtype=np.uint8)
         score = np.zeros(part.num_rows)
         for s in K.slices(part.column("text")):
             h, owner = tokens(s)
-            score[s.lo:s.hi] = model_scores(h, owner, s.n, levels_of, est, total, kinds, share)
+            score[s.lo:s.hi] = model_scores(h, owner, s.n, lambda g: level[np.searchsorted(grams, g)].astype(np.int64),
+                                            est, total, kinds, share)
         return pa.table({"row": part.column("row"), "score": pa.array(score)})
 
-    texts = blocks.select(F.col("block").alias("of"), "row", "text")  # another name than in ``found``, which comes from ``blocks`` too
-    return texts.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(run, "row long, score double")
+    scores = None
+    for k in range(ROUNDS):
+        own = blocks.where(F.pmod("number", F.lit(ROUNDS)) == k)
+        # other names on each side, as both come from ``blocks``; their exchange is the same
+        asked, texts = (own.select(F.col("block").alias(b), "row", "text") for b in ("block", "of"))
+        probes = asked.groupBy("block").applyInArrow(ask, "part int, block long, grams binary")
+        found = lookup(probes, segments, n, top)
+        done = materialise_lean(texts.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(run, "row long, score double"))
+        scores = done if scores is None else scores.unionByName(done)
+    return scores
 
 
 def head_cut(words: DataFrame, head: int) -> int:
@@ -321,9 +379,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
     d = docs.select(F.coalesce(pick(docs, text, "string"), F.lit("")).alias("text"), pick(docs, key, "long").alias("id"))
     d = d.withColumn("held", held_out(F.col("id"), modulus))
     even = F.col("h").bitwiseAND(F.lit(1)) == 0
-    grams = materialise(count_ngrams(d.where(~F.col("held"))).where(even | (F.col("c") >= min_bigram)))
+    grams = materialise_lean(count_ngrams(d.where(~F.col("held"))).where(even | (F.col("c") >= min_bigram)))
     begin = int((START & ~U(1)).view(np.int64))
-    words = grams.where(even & (F.col("h") != begin))
+    words = materialise_lean(grams.where(even & (F.col("h") != begin)))
     r = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, kinds = int(r[0] or 0), int(r[1])
     cut = head_cut(words, head)
@@ -335,18 +393,24 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
     segments, n_seg, top_level = build_segments(grams, bits_per_entry)
     local = n_seg * SEGMENT_BITS <= max_bits
     bits = sc.broadcast(collect_segments(segments, n_seg)) if local else None
+    common = None if local else known_levels(segments, frequent(grams, head), n_seg, top_level)
+    discard(grams)  # all that follows is in ``words`` and the filter
     norm = float(np.log10(total + 0.1 * (kinds + 1)))
 
     schema = ("row long, id long, held boolean, n long, known long, base double, tail array<struct<h:long,tf:long>>, "
-              + ("score double" if local else "block long, text string, grams array<long>"))
-    names = ["row", "id", "held", "n", "known", "base", "tail", *(["score"] if local else ["block", "text", "grams"])]
+              + ("score double" if local else "block long, number long, text string"))
+    names = ["row", "id", "held", "n", "known", "base", "tail", *(["score"] if local else ["block", "number", "text"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, counts = known.value
         lff = LogFrequencyFilter(bits.value, top_level) if local else None
-        row = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId()
+        row, block, number, size = task << 40, task << 40, task, 0
         for b in batches:
             for s in K.slices(b.column(0)):
+                if size >= BLOCK_BYTES:
+                    block, number, size = row, number + 1, 0
+                size += len(s.buf)
                 h, owner = tokens(s)
                 distinct, back = np.unique(h, return_inverse=True)
                 at = np.searchsorted(heads, distinct)
@@ -367,23 +431,20 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
                 if local:  # the model, all counts from the filter
                     cols.append(pa.array(model_scores(h, owner, s.n, lff.levels, est, total, kinds, share)))
                 else:
-                    probe = np.unique(np.r_[distinct, bigrams(h, owner)[1], START & ~U(1)]).view(np.int64)
-                    ends = np.full(s.n + 1, len(probe), dtype=np.int32)
-                    ends[0] = 0
-                    cols += [pa.array(np.full(s.n, row)), part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(probe))]
+                    cols += [pa.array(np.full(s.n, block)), pa.array(np.full(s.n, number)), part.column(0)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 row += s.n
 
     # written once: row numbers are those of the attempts that were kept
-    out = materialise(d.mapInArrow(run, schema))
+    out = materialise_lean(d.mapInArrow(run, schema))
     rest = out.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.tf")
     rare = words.where(F.col("c") < cut).select("h", "c")
     rest = rest.join(rare, "h", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("more"),
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("also"))
     if not local:
-        scores = shuffled_scores(out, grams, segments, n_seg, top_level, head, est, total, kinds, share)
-        out = out.drop("block", "text", "grams").join(scores, "row")
+        scores = shuffled_scores(out, segments, n_seg, top_level, common, est, total, kinds, share)
+        out = out.drop("block", "number", "text").join(scores, "row")
     out = out.drop("tail").join(rest, "row", "left")
     return out.select(F.col("id").alias(key), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"),
                       (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),

@@ -5,6 +5,7 @@ import base64
 import hashlib
 import io
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -601,6 +602,24 @@ def test_filter_beyond_the_broadcast_bound_gives_the_same_scores(spark):
     assert lm.score_texts(d.limit(0), max_bits=0).count() == 0
 
 
+def test_filter_beyond_the_broadcast_bound_takes_little_disk(spark):
+    from prodlens.session import ensure_checkpoint_dir
+    sc, texts = spark.sparkContext, [(i, prose(3000, i)) for i in range(400)]
+    d = local_rows(spark, texts, "doc_id long, text string").repartition(4).persist()
+    d.count()
+    places = [*sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(),
+              ensure_checkpoint_dir(spark).removeprefix("file:")]
+
+    def on_disk():
+        return sum(os.lstat(os.path.join(f, n)).st_size for p in places for f, _, names in os.walk(p) for n in names if not n.endswith(".crc"))
+    before = on_disk()
+    scored = lm.score_texts(d, max_bits=0, head=100)
+    took = (on_disk() - before) / sum(len(t) for _, t in texts)
+    assert took < 2, took
+    assert scored.count() == len(texts)
+    d.unpersist()
+
+
 def test_bigrams_seen_once_are_known(spark):
     train = [(1, "red green"), (2, "blue white")]  # neither key is held out
     assert not any(zlib.crc32(str(i).encode()) % 10 == 0 for i in (1, 2, 3, 4))
