@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prodlens.llm import kernels as K
-from prodlens.llm.common import discard, materialise_lean, pick
+from prodlens.llm.common import discard, materialise, pick
 
 U = np.uint64
 END, START = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
@@ -205,7 +205,7 @@ def build_segments(grams: DataFrame, bits_per_entry: int = 12) -> tuple[DataFram
                 names=["seg", "bits"])
 
     tasks = max(1, n // 8)  # about eight segments, a megabyte, in a task
-    return materialise_lean(g.repartition(tasks, segment_of("h", n)).mapInArrow(run, "seg int, bits binary")), n, int(r[1] or 0)
+    return materialise(g.repartition(tasks, segment_of("h", n)).mapInArrow(run, "seg int, bits binary"), lean=True), n, int(r[1] or 0)
 
 
 def segment_of(h: str, n: int) -> Column:
@@ -350,7 +350,7 @@ def shuffled_scores(blocks: DataFrame, segments: DataFrame, n: int, top: int, co
         asked, texts = (own.select(F.col("block").alias(b), "row", "text") for b in ("block", "of"))
         probes = asked.groupBy("block").applyInArrow(ask, "part int, block long, grams binary")
         found = lookup(probes, segments, n, top)
-        done = materialise_lean(texts.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(run, "row long, score double"))
+        done = materialise(texts.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(run, "row long, score double"), lean=True)
         scores = done if scores is None else scores.unionByName(done)
     return scores
 
@@ -379,9 +379,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
     d = docs.select(F.coalesce(pick(docs, text, "string"), F.lit("")).alias("text"), pick(docs, key, "long").alias("id"))
     d = d.withColumn("held", held_out(F.col("id"), modulus))
     even = F.col("h").bitwiseAND(F.lit(1)) == 0
-    grams = materialise_lean(count_ngrams(d.where(~F.col("held"))).where(even | (F.col("c") >= min_bigram)))
+    grams = materialise(count_ngrams(d.where(~F.col("held"))).where(even | (F.col("c") >= min_bigram)), lean=True)
     begin = int((START & ~U(1)).view(np.int64))
-    words = materialise_lean(grams.where(even & (F.col("h") != begin)))
+    words = materialise(grams.where(even & (F.col("h") != begin)), lean=True)
     r = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, kinds = int(r[0] or 0), int(r[1])
     cut = head_cut(words, head)
@@ -436,7 +436,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", head:
                 row += s.n
 
     # written once: row numbers are those of the attempts that were kept
-    out = materialise_lean(d.mapInArrow(run, schema))
+    out = materialise(d.mapInArrow(run, schema), lean=True)
     rest = out.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.tf")
     rare = words.where(F.col("c") < cut).select("h", "c")
     rest = rest.join(rare, "h", "left").groupBy("row").agg(
